@@ -126,15 +126,21 @@ def explode_series(df: DataFrame, document: str, series_key: str, ticker_path: s
 
 
 def to_number(value: Column) -> Column:
-    """A double out of text; text that is no number, and NaN, become null."""
-    plain = F.when(~F.coalesce(value.cast("string").rlike(r"[0-9.][dDfF]\s*$"), F.lit(False)), value)
-    return no_nan(plain.try_cast("double"))
+    """A double out of text; text that is no number, and NaN, become null.
+
+    Type suffixes (``1d``) and hexadecimal text are refused, although a plain cast takes them.
+    """
+    text = value.cast("string")
+    number = F.when(~text.rlike(r"[xX]|[0-9.][dDfF]\s*$"), text).try_cast("double")
+    return F.nanvl(number, F.lit(None).cast("double"))
 
 
 def to_count(value: Column) -> Column:
     """A whole number out of text such as ``100`` or ``100.0``; a fractional value becomes null."""
-    number = to_number(value)
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    text = value.cast("string")
+    whole = F.regexp_replace(text, r"\.0*\s*$", "").try_cast("bigint")
+    number = to_number(value)  # only text such as 1e3 gets here
+    return F.coalesce(whole, F.when(number == F.floor(number), number.try_cast("bigint")))
 
 
 def to_canonical(

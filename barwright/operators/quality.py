@@ -52,6 +52,10 @@ class Rule:
     broken: Column
     value: Column
 
+    @property
+    def hits(self) -> Column:
+        return F.coalesce(self.broken, F.lit(False))
+
     def as_error(self) -> Column:
         error = F.struct(
             F.lit(self.column).alias("column"),
@@ -59,7 +63,7 @@ class Rule:
             F.lit(self.message).alias("reason_message"),
             self.value.cast("string").alias("failure_value"),
         )
-        return F.when(F.coalesce(self.broken, F.lit(False)), error)
+        return F.when(self.hits, error)
 
 
 def coerce(df: DataFrame) -> DataFrame:
@@ -91,7 +95,7 @@ def price_rules(
         if column in text:
             raw = F.col("_raw")[column]
             given = raw.isNotNull() & ~F.lower(F.trim(raw)).isin("", "nan")
-            rules.append(Rule(column, code, message, given & F.col(column).isNull(), raw))
+            rules.append(Rule(column, code, message, F.col(column).isNull() & given, raw))
 
     unparsed("date", BAD_DATE, "date does not parse")
     for column in OHLC:
@@ -101,7 +105,7 @@ def price_rules(
         empty = F.col(column).isNull()
         if column == "date" and column in text:
             raw = F.col("_raw")[column]
-            empty = raw.isNull() | F.lower(F.trim(raw)).isin("", "nan")
+            empty = empty & (raw.isNull() | F.lower(F.trim(raw)).isin("", "nan"))
         rules.append(
             Rule(column, VALIDATION_ERROR, "value must not be null", empty, F.lit(None).cast("string"))
         )

@@ -82,11 +82,11 @@ def read_price_csv(
 def write_snapshot(prices: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """CSV files per ticker, sorted by date inside, with ISO dates and empty nulls.
 
-    Rows are ranged by (ticker, date), so a long series spreads over several files instead of one task.
+    Rows are rebalanced by ticker: AQE packs short series together and splits a long one over several files.
     """
     (
         prices.select(F.col("ticker").alias("_ticker"), *sorted(prices.columns))
-        .repartitionByRange(F.col("_ticker"), F.col("date"))
+        .hint("rebalance", F.col("_ticker"))
         .sortWithinPartitions("_ticker", "date")
         .write.partitionBy("_ticker")
         .option("dateFormat", "yyyy-MM-dd")

@@ -36,20 +36,29 @@ class IngestResult:
     report: DataFrame
 
 
-def canonical_rows(raw: DataFrame, fetched_at: datetime, source: str = "snapshot") -> DataFrame:
-    """Snapshot rows made canonical: stored ticker form, defaults for missing metadata, row checksum."""
-    filled = raw
-    for name, value in (("source", F.lit(source)), ("fetched_at", F.lit(fetched_at).cast("timestamp"))):
-        given = F.col(name) if name in raw.columns else F.lit(None)
-        filled = filled.withColumn(name, F.coalesce(given, value))
-    if "raw_checksum" not in filled.columns:
-        filled = filled.withColumn("raw_checksum", F.lit("pending"))
-    rows = filled.withColumn("ticker", lenient_ticker(F.nullif(F.trim("ticker"), F.lit(""))))
-    checked = valid_rows(annotate(rows.withColumn("raw_checksum", F.coalesce("raw_checksum", F.lit("pending")))))
-    typed = checked.withColumn("raw_checksum", row_checksum())
+def checked_rows(raw: DataFrame, fetched_at: datetime, source: str = "snapshot") -> DataFrame:
+    """Snapshot rows with the stored ticker form, defaults for missing metadata, and their errors."""
+    defaults = {
+        "source": F.lit(source),
+        "fetched_at": F.lit(fetched_at).cast("timestamp"),
+        "raw_checksum": F.lit("pending"),  # the row checksum replaces it once the values are typed
+    }
+    given = {name: F.col(name) if name in raw.columns else F.lit(None) for name in defaults}
+    filled = raw.withColumns({name: F.coalesce(given[name], value) for name, value in defaults.items()})
+    return annotate(filled.withColumn("ticker", lenient_ticker(F.nullif(F.trim("ticker"), F.lit("")))))
+
+
+def finished_rows(valid: DataFrame) -> DataFrame:
+    """Valid rows in canonical form, with their row checksum."""
+    typed = valid.withColumn("raw_checksum", row_checksum())
     return typed.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in PRICES))
 
 
+def canonical_rows(raw: DataFrame, fetched_at: datetime, source: str = "snapshot") -> DataFrame:
+    """The valid snapshot rows in canonical form."""
+    return finished_rows(valid_rows(checked_rows(raw, fetched_at, source)))
+
+
 def apply_changes(table: YearTable, incoming: DataFrame, batch_id: int = -1) -> tuple[int, DataFrame]:
     """Write the new and changed rows of a frame that is unique by key; returns version and counts."""
     classified = classify_in_range(incoming, table.read())

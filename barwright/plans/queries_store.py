@@ -322,7 +322,7 @@ def prices_after_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_feed_files(views.incoming(spark, sf_dir), f"{folder}/inbox")
     for _ in range(2):  # the second run finds no new files
         start_ingest(
-            spark, f"{folder}/inbox", prices, f"{folder}/checkpoint", f"{folder}/quarantine", views.FETCHED
+            spark, f"{folder}/inbox", prices, f"{folder}/checkpoint", f"{folder}/work", views.FETCHED
         ).awaitTermination()
     return stable(prices.read())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,27 +56,27 @@ def last_days(prices: DataFrame, as_of: date, days: int) -> DataFrame:
 def read_price_csv(
     spark: SparkSession, path: str | list[str], fields: tuple[Field, ...] = PRICES, typed: bool = False
 ) -> DataFrame:
-    """Price rows of CSV files with a header, as text (or typed), with the file each row came from.
+    """Price rows of the ``*.csv`` files below a folder, as text (or typed), with the file each row came from.
 
-    Lines that do not fit are kept in ``_corrupt``. Columns match the header by name, not by position.
+    The header gives the columns, in any order; all files of one read must have the same header, and one that
+    differs raises instead of shifting its values. Lines that do not fit are kept in ``_corrupt``.
     """
-    text = struct_type(fields, text=True)
-    schema = T.StructType([*text.fields, T.StructField("_corrupt", T.StringType())])
+    reader = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").option("header", "true")
+    header = reader.csv(path).columns  # reads one line
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_corrupt")])
     raw = (
-        spark.read.schema(schema)
-        .option("enforceSchema", "false")
-        .csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+        reader.schema(schema)
+        .csv(path, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
         .withColumn("file", F.col("_metadata.file_path"))
     )
     if not typed:
         return raw
-    return raw.select(
-        *(
-            (lenient_date(F.col(f.name)) if f.kind == "date" else F.col(f.name).try_cast(f.spark_type)).alias(f.name)
-            for f in fields
-        ),
-        "file",
-    )
+
+    def value(f: Field) -> Column:
+        text = F.col(f.name) if f.name in header else F.lit(None).cast("string")
+        return lenient_date(text) if f.kind == "date" else text.try_cast(f.spark_type)
+
+    return raw.select(*(value(f).alias(f.name) for f in fields), "file")
 
 
 def write_snapshot(prices: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:

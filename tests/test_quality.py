@@ -160,8 +160,8 @@ def test_mapping(spark):
 
 
 def test_mapping_verdict_refuses_flat_bar(spark):
-    flat = feed(spark).withColumn("High", feed(spark).Low)
-    frame = to_canonical(feed(spark).unionByName(flat), "desk", "PETR4")
+    good = feed(spark)
+    frame = to_canonical(good.unionByName(good.withColumn("High", good.Low)), "desk", "PETR4")
     assert not mapping_verdicts(frame).first().mapped
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.functions.names import basename, snapshot_name_parts
+from barwright.functions.names import basename, is_snapshot_name, named_stamp, named_ticker
 from barwright.functions.tickers import SUFFIX, lenient_ticker
 
 
@@ -85,10 +85,10 @@ def prune_list(files: DataFrame, keep: int = 1, name: str = "name") -> DataFrame
     files of a ticker are never ranked in one place.
     """
     keep = max(1, keep)
-    parsed = files.withColumn("_parts", snapshot_name_parts(F.col(name))).filter("_parts IS NOT NULL")
-    ranked = parsed.select(
-        name, F.col("_parts.ticker").alias("ticker"), F.col("_parts.stamp").alias("stamp")
-    ).withColumn("_at", F.coalesce(F.col("stamp"), F.lit("0001-01-01 00:00:00").cast("timestamp")))
+    ranked = files.filter(is_snapshot_name(F.col(name))).select(
+        name, named_ticker(F.col(name)).alias("ticker"), named_stamp(F.col(name)).alias("stamp")
+    )
+    ranked = ranked.withColumn("_at", F.coalesce("stamp", F.lit("0001-01-01 00:00:00").cast("timestamp")))
     newest_first = Window.partitionBy("ticker").orderBy(F.desc("_at"), name)
     last_kept = (
         ranked.select("ticker", "_at", name)

@@ -59,12 +59,25 @@ def canonical_rows(raw: DataFrame, fetched_at: datetime, source: str = "snapshot
     return finished_rows(valid_rows(checked_rows(raw, fetched_at, source)))
 
 
-def apply_changes(table: YearTable, incoming: DataFrame, batch_id: int = -1) -> tuple[int, DataFrame]:
-    """Write the new and changed rows of a frame that is unique by key; returns version and counts."""
-    classified = classify_in_range(incoming, table.read())
-    counts = change_counts(classified)
-    changed = classified.filter("change_type != 'unchanged'").drop("change_type")
-    return table.upsert(changed, batch_id=batch_id), counts
+def staged(spark: SparkSession, df: DataFrame, path: str, mode: str = "errorifexists", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a frame that several steps need and read it back, so that it is computed once."""
+    df.write.mode(mode).partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def apply_changes(
+    table: YearTable, incoming: DataFrame, folder: str, batch_id: int = -1, mode: str = "errorifexists"
+) -> tuple[int, DataFrame]:
+    """Write the new and changed rows of a frame that is unique by key; returns version and counts per ticker.
+
+    The compared rows are kept in ``folder``, split by what is to be done with them: the comparison runs once, and
+    the counts describe the state before the upsert.
+    """
+    compared = staged(
+        table.spark, classify_in_range(incoming, table.read()), f"{folder}/changes", mode, ("change_type",)
+    )
+    changed = compared.filter("change_type != 'unchanged'").drop("change_type")
+    return table.upsert(changed, batch_id=batch_id), change_counts(compared)
 
 
 def ingest_snapshot(
@@ -79,30 +92,24 @@ def ingest_snapshot(
 ) -> IngestResult:
     """Cache decision per ticker, snapshot files for the ones to refresh, then diff and upsert.
 
-    ``folder`` must be new. The canonical rows and the report are written there, so that the counts describe the
-    state before the upsert and neither is computed twice.
+    ``folder`` must be new: it keeps the canonical rows, the decisions, the snapshot files and the compared rows.
     """
-    canonical_path, report_path = f"{folder}/canonical", f"{folder}/report"
-    last_per_key(rows.select(*names(PRICES)), sequence=("fetched_at",)).write.mode("errorifexists").parquet(
-        canonical_path
+    canonical = staged(
+        spark, last_per_key(rows.select(*names(PRICES)), sequence=("fetched_at",)), f"{folder}/canonical"
     )
-    canonical = spark.read.schema(rows.select(*names(PRICES)).schema).parquet(canonical_path)
     last = latest_per_ticker(catalog).select(
         "ticker", F.col("checksum").alias("last_checksum"), F.col("created_at").alias("generated_at")
     )
-    decisions = cache_decisions(ticker_fingerprints(canonical), last, as_of, ttl_seconds, force)
+    decisions = staged(
+        spark,
+        cache_decisions(ticker_fingerprints(canonical), last, as_of, ttl_seconds, force),
+        f"{folder}/decisions",
+    )
     fresh = rows_to_refresh(canonical, decisions)
     write_snapshot(fresh, f"{folder}/snapshot")
-    classified = classify_in_range(fresh, table.read())
-    counts = change_counts(classified)
-    (
-        decisions.join(counts, "ticker", "left")
-        .na.fill(0, ["processed_rows", "skipped_rows"])
-        .write.mode("errorifexists")
-        .parquet(report_path)
-    )
-    version = table.upsert(classified.filter("change_type != 'unchanged'").drop("change_type"))
-    return IngestResult(version, spark.read.parquet(report_path))
+    version, counts = apply_changes(table, fresh, folder)
+    report = decisions.join(counts, "ticker", "left").na.fill(0, ["processed_rows", "skipped_rows"])
+    return IngestResult(version, report)
 
 
 def catalog_entries(report: DataFrame, folder: str, as_of: datetime) -> DataFrame:
@@ -156,14 +163,12 @@ def ingest_csv_folder(
         .join(tickers, "path", "left")
         .select("path", "sha256", decision.alias("decision"))
     )
-    files.write.mode("errorifexists").parquet(f"{work}/files")
-    report = spark.read.schema(files.schema).parquet(f"{work}/files")
+    report = staged(spark, files, f"{work}/files")
     wanted = report.filter("decision = 'ingest'").select("path")
     rows = last_per_key(
         canonical_rows(raw.join(wanted, "path", "left_semi"), as_of), sequence=("fetched_at",)
     )
-    rows.write.mode("errorifexists").parquet(f"{work}/rows")
-    version, _ = apply_changes(table, spark.read.schema(rows.schema).parquet(f"{work}/rows"))
+    version, _ = apply_changes(table, staged(spark, rows, f"{work}/rows"), work)
     return IngestResult(version, report)
 
 

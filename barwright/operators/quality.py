@@ -241,6 +241,7 @@ def validation_events(
     return (
         bad.join(sizes.withColumn("parts", parts), list(by))
         .withColumn("part", spread)
+        .repartition(*by, "part")  # otherwise the join's partitioning would keep a large group in one task
         .groupBy(*by, "invalid_count", "part", "parts")
         .agg(F.sort_array(F.collect_list(F.struct(*id_columns, "errors"))).alias("error_details"))
     )

@@ -3,7 +3,9 @@
 A plain window over a ticker puts its whole history into one task. Here the window runs inside
 (ticker, calendar year), which a unique (ticker, date) key bounds at 366 rows, and what one segment hands to
 the next travels in a side table of one row per segment. That table comes from a map-side aggregation, is a few
-hundred times smaller than the rows, and joins back on the partitioning that the window already has.
+hundred times smaller than the rows, and joins back on the partitioning that the window already has. Every
+segment has its row there, so a left join keeps the rows as they are; unlike an inner one it adds no filter to one
+side only, and Spark can share the shuffle that both sides start from.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ SEGMENT = "_segment"
 Keys = tuple[str, ...]
 
 
-def _segmented(df: DataFrame, date: str) -> DataFrame:
-    return df.withColumn(SEGMENT, F.year(date))
+def _segmented(df: DataFrame, by: Keys, date: str) -> DataFrame:
+    """Rows with their segment; a row without a key belongs to no series."""
+    return df.filter(" AND ".join(f"{key} IS NOT NULL" for key in by)).withColumn(SEGMENT, F.year(date))
 
 
 def _inside(by: Keys, date: str) -> WindowSpec:
@@ -38,7 +41,7 @@ def with_previous_filled(
     df: DataFrame, column: str, out: str, by: Keys = ("ticker",), date: str = "date"
 ) -> DataFrame:
     """Add the last value that is not null before each row: a forward fill up to the row before."""
-    rows = _segmented(df, date)
+    rows = _segmented(df, by, date)
     inside = _inside(by, date).rowsBetween(Window.unboundedPreceding, -1)
     across = _across(by).rowsBetween(Window.unboundedPreceding, -1)
     carried = _carried(
@@ -48,29 +51,29 @@ def with_previous_filled(
         F.last("_total", ignorenulls=True).over(across),
     )
     local = rows.withColumn("_local", F.last(column, ignorenulls=True).over(inside))
-    return local.join(carried, [*by, SEGMENT]).select(*df.columns, F.coalesce("_local", "_carried").alias(out))
+    return local.join(carried, [*by, SEGMENT], "left").select(*df.columns, F.coalesce("_local", "_carried").alias(out))
 
 
 def with_lag(df: DataFrame, column: str, out: str, by: Keys = ("ticker",), date: str = "date") -> DataFrame:
     """Add the value of the row before, null when that row has none: a plain shift by one."""
-    rows = _segmented(df, date)
+    rows = _segmented(df, by, date)
     inside = _inside(by, date)
     carried = _carried(rows, by, F.max_by(column, date), F.lag("_total").over(_across(by)))
     local = rows.withColumns(
         {"_local": F.lag(column).over(inside), "_first": F.row_number().over(inside) == 1}
     )
     value = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_local"))
-    return local.join(carried, [*by, SEGMENT]).select(*df.columns, value.alias(out))
+    return local.join(carried, [*by, SEGMENT], "left").select(*df.columns, value.alias(out))
 
 
 def with_running_product(
     df: DataFrame, factor: Column, out: str, by: Keys = ("ticker",), date: str = "date"
 ) -> DataFrame:
     """Add the product of ``factor`` from the first row of the series to the current one."""
-    rows = _segmented(df, date).withColumn("_factor", factor)
+    rows = _segmented(df, by, date).withColumn("_factor", factor)
     inside = _inside(by, date).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     across = _across(by).rowsBetween(Window.unboundedPreceding, -1)
     carried = _carried(rows, by, F.product("_factor"), F.product("_total").over(across))
     local = rows.withColumn("_local", F.product("_factor").over(inside))
     value = F.col("_local") * F.coalesce("_carried", F.lit(1.0))
-    return local.join(carried, [*by, SEGMENT]).select(*df.columns, value.alias(out))
+    return local.join(carried, [*by, SEGMENT], "left").select(*df.columns, value.alias(out))

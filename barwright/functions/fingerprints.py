@@ -9,8 +9,8 @@ WORDS = 8  # a SHA-256 digest is eight words of 32 bits
 
 
 def number_text(value: Column) -> Column:
-    """Text of a number that every engine writes the same way: ten decimals."""
-    return F.round(value, 10).cast("decimal(28,10)").cast("string")
+    """Text of a number that every engine writes the same way: ten decimals. NaN has none."""
+    return value.try_cast("decimal(28,10)").cast("string")
 
 
 def row_checksum(

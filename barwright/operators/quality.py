@@ -308,7 +308,8 @@ def handle(
     schema = T.StructType([*annotated.schema.fields])
     stored = spark.read.schema(schema).parquet(checked)
     bad = stored.filter(~F.col("is_valid")).drop("is_valid")
-    bad.drop("errors").write.partitionBy(*by).csv(f"{folder}/invalid", header=True)
+    spread = bad.drop("errors").hint("rebalance", *(F.col(c) for c in by))
+    spread.write.partitionBy(*by).csv(f"{folder}/invalid", header=True)
     validation_events(bad, by, id_columns).write.mode("append").json(f"{folder}/events")
     passed = check_threshold(summarize(stored), threshold, abort)
     return stored.filter("is_valid").drop("is_valid", "errors"), passed

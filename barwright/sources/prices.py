@@ -105,6 +105,7 @@ def write_raw_feed(feed: DataFrame, path: str, stamp: str, by: tuple[str, ...] =
     """Append a raw feed below ``provider=/ticker=/ingest_ts=`` as CSV."""
     (
         feed.withColumn("ingest_ts", F.lit(stamp))
+        .hint("rebalance", *(F.col(c) for c in by))  # one writer per folder, more for a large one
         .write.mode("append")
         .partitionBy(*by, "ingest_ts")
         .csv(path, header=True)

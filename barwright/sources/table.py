@@ -12,7 +12,6 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +37,24 @@ class YearTable:
         self.fields = fields
         self.keys = keys
 
+    def _numbers(self) -> list[int]:
+        """Every version number in use, newest first, including one whose writer died before publishing."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.root}/versions")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        taken = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+        return sorted((int(name.removeprefix("v=")) for name in taken if name.startswith("v=")), reverse=True)
+
     def _published(self, version: int | None = None) -> list:
-        """The rows of one published list: one per calendar year the table covers."""
-        try:
-            lists = self.spark.read.schema(VERSION_SCHEMA).json(f"{self.root}/versions/v=*")
-        except AnalysisException:
-            return []
-        if version is None:
-            version = lists.agg(F.max("version")).first()[0]
-        return [] if version is None else lists.filter(F.col("version") == version).collect()
+        """The rows of one published list, one per calendar year the table covers; the newest by default.
+
+        Only that list is read, however many versions there are. A folder without a list is not published.
+        """
+        for number in self._numbers() if version is None else [version]:
+            path = f"{self.root}/versions/v={number}"
+            if rows := self.spark.read.schema(VERSION_SCHEMA).json(path).collect():
+                return rows
+        return []
 
     def version(self) -> int:
         rows = self._published()
@@ -56,14 +64,6 @@ class YearTable:
         """The highest micro-batch that has been published, -1 before the first."""
         return max((r["batch_id"] for r in self._published()), default=-1)
 
-    def _next_version(self) -> int:
-        """One above every version number in use, including one whose writer died before publishing."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(f"{self.root}/versions")
-        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        taken = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
-        return 1 + max((int(name.removeprefix("v=")) for name in taken if name.startswith("v=")), default=0)
-
     def _load(self, paths: list[str]) -> DataFrame:
         schema = struct_type(self.fields)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -104,7 +104,7 @@ class YearTable:
         stored = self._load([r["path"] for r in current if r["year"] in years])
         rows = incoming.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in self.fields))
         merged = (combine or (lambda old, new: merge(old, new, self.keys)))(stored, rows)
-        version = self._next_version()
+        version = max(self._numbers(), default=0) + 1
         target = f"{self.root}/data/v={version}-{uuid.uuid4().hex}"
         (
             merged.withColumn("_year", F.year("date"))

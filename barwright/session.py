@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -40,13 +39,6 @@ def build_session(
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder that every executor can reach, below ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to the machine's temporary folder.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        return tempfile.mkdtemp(prefix=f"barwright-{purpose}-")
+    """A new folder that every executor can reach: below ``spark.checkpoint.dir``, or else in the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/barwright-{purpose}-{uuid.uuid4().hex}"

@@ -47,7 +47,7 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = whole.select("doc_id", *measures(prefix_chars))
     lengths = sized.groupBy("n_bytes").count().where("count > 1").select("n_bytes", F.lit(True).alias("same_length"))
-    sized = sized.join(lengths, "n_bytes", "left")
+    sized = stored(spark, "exact-sized", sized.join(lengths, "n_bytes", "left"))  # so that a hot length can be split
     prefixes = (
         sized.where("same_length")
         .groupBy("n_bytes", "prefix")
@@ -60,10 +60,15 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
         "exact-refined",
         sized.join(prefixes, ["n_bytes", "prefix"], "left").select("doc_id", "n_bytes", "prefix", "same_prefix"),
     )
-    wanted = refined.where("same_prefix").select(F.col("doc_id").alias("wanted_id")).distinct()
-    hashed = whole.join(wanted, whole["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
-    digest = text_digest(F.col("text")).alias("digest")
-    hashed = stored(spark, "exact-hashed", hashed.select("doc_id", *measures(prefix_chars), digest).distinct())
+    wanted = refined.where("same_prefix").select(F.col("doc_id").alias("wanted_id"), "n_bytes", "prefix").distinct()
+    whole = whole.select("doc_id", *measures(prefix_chars), "text")
+    same = (
+        whole["doc_id"].eqNullSafe(wanted["wanted_id"])
+        & (whole["n_bytes"] == wanted["n_bytes"])
+        & (whole["prefix"] == wanted["prefix"])
+    )
+    hashed = whole.join(wanted, same, "left_semi").withColumn("digest", text_digest(F.col("text"))).drop("text")
+    hashed = stored(spark, "exact-hashed", hashed.distinct())
     groups = hashed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     repeated = hashed.join(groups, "digest")
     return (

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,38 +152,52 @@ def shares(logs: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, penalty:
     return out
 
 
+def _predicted(batch: pa.RecordBatch, names: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every row: whether its language is known, the number of the language, its share."""
+    lettered = pc.match_substring_regex(batch.column("text"), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+    texts = flat(batch.column("text"))
+    words = texts.words()
+    if not names:
+        return np.zeros(len(texts), bool), np.zeros(len(texts), int), np.zeros(len(texts))
+    grams, starts = word_grams(texts, words)
+    logs = np.add.reduceat(table[grams], starts, axis=0) if len(starts) else np.zeros((0, len(names)))
+    share = shares(logs.astype(np.float64), words.bounds)
+    best = share.argmax(axis=1)
+    return lettered, best, np.clip(share[np.arange(len(texts)), best], 0, 1)
+
+
 def identify(docs: DataFrame, model: Languages) -> DataFrame:
     """``doc_id, lang_pred, score`` per row."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.names, model.logs))  # languages x BUCKETS floats at most
+    sent = docs.sparkSession.sparkContext.broadcast((model.names, model.logs))  # languages x BUCKETS floats
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = sent.value
         for whole in batches:
             for batch in parts(whole):
-                lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
-                texts = flat(batch.column("text"))
-                words = texts.words()
-                grams, starts = word_grams(texts, words)
-                logs = np.add.reduceat(table[grams], starts, axis=0) if len(starts) and names else np.zeros((len(starts), len(names)))
-                share = shares(logs.astype(np.float64), words.bounds)
-                best = share.argmax(axis=1) if names else np.zeros(len(texts), int)
-                known = lettered & (np.diff(words.bounds) > 0) if names else np.zeros(len(texts), bool)
-                score = share[np.arange(len(texts)), best] if names else np.zeros(len(texts))
+                known, best, score = _predicted(batch, names, table)
                 labels = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(labels, pa.string()), pa.array(np.clip(np.where(known, score, 0.0), 0, 1))],
+                    [batch.column("doc_id"), pa.array(labels, pa.string()), pa.array(np.where(known, score, 0.0))],
                     names=["doc_id", "lang_pred", "score"],
                 )
 
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
+def known_rows(docs: DataFrame, model: Languages) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is not ``und``."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.names, model.logs))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table = sent.value
+        for whole in batches:
+            for batch in parts(whole):
+                yield batch.filter(pa.array(_predicted(batch, names, table)[0]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % n

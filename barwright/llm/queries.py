@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import exact, language, quality, secrets
+from barwright.llm import bpe, exact, language, licenses, minhash, packing, quality, repeats, scoring, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = exact.exact_duplicates(docs)
@@ -44,16 +54,59 @@ def _joined(spans: Column) -> Column:
     )
 
 
-def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def byte_bpe(name: str) -> bpe.Bpe:
+    import public_tokenizers
+
+    return bpe.Bpe(bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coder = byte_bpe("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = F.col("secret_spans")
-    counts = [
-        F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(secrets.KINDS[:3])
-    ]
+    ids = F.col("ids")
+    return bpe.encode(docs, coder).select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(coder.decode(ids), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(language.fold(F.col("doc_id"), 10) == 0, F.lit(False))
+    scored = scoring.score_texts(table(spark, sf_dir, "documents"), ~held_out, vocabulary("word_bpe_49k.json"))
+    return scored.withColumn("held_out", held_out)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("found")
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+
+    counts = [number(kind) for kind in range(3)]
     base = _joined(F.filter(spans, lambda s: s["kind"] < 3))
-    return secrets.find_secrets(docs).select(
-        "doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans")
+    found = secrets.find_secrets(table(spark, sf_dir, "documents")).withColumnRenamed("spans", "found")
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licences(table(spark, sf_dir, "documents"))
+    shown = F.transform("sentences", lambda s: F.concat_ws(":", s["id"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        "doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join(shown, ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
     )
 
 
@@ -63,7 +116,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs, trees).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op6_secret_scan, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup, op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_lm_score, op6_secret_scan,
+        op7_substring_dedup, op8_packing, op9_license_scan, op10_quality_rules,
+    )
+}
 
 ORACLES = {
     "op2_exact_dedup": """

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barwright.llm.flat import parts
 
@@ -138,48 +139,65 @@ def spans(text: str, may_assign: bool, may_access: bool, may_hex: bool, may_cont
     return found
 
 
+def _scanned(batch: pa.RecordBatch, min_cost: float) -> Iterator[tuple[int, str, list[tuple[int, int, int]]]]:
+    """Row number, text and spans of the rows that may have any."""
+    texts = batch.column("text").fill_null("")
+    flags = [
+        pc.match_substring_regex(texts, MAY_ASSIGN),
+        pc.match_substring(texts, "AKIA"),
+        pc.match_substring_regex(texts, MAY_HEX),
+        pc.match_substring_regex(texts, MAY_CONTEXT),
+    ]
+    for i in pc.indices_nonzero(pc.or_(pc.or_(flags[0], flags[1]), pc.or_(flags[2], flags[3]))).to_pylist():
+        text = texts[i].as_py()
+        yield i, text, spans(text, *(f[i].as_py() for f in flags), min_cost)
+
+
 def find_secrets(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
-    """All columns of the input, and ``secret_spans``: array of (start, kind, end), ordered by start and kind."""
-    names = docs.columns
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "secret_spans"]
+    """``doc_id`` and ``spans``: array of (start, kind, end), ordered by start and kind, per row."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         for whole in batches:
             for batch in parts(whole):
-                texts = batch.column("text").fill_null("")
-                flags = [
-                    pc.match_substring_regex(texts, MAY_ASSIGN),
-                    pc.match_substring(texts, "AKIA"),
-                    pc.match_substring_regex(texts, MAY_HEX),
-                    pc.match_substring_regex(texts, MAY_CONTEXT),
-                ]
-                any_flag = pc.or_(pc.or_(flags[0], flags[1]), pc.or_(flags[2], flags[3]))
                 out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                for i in pc.indices_nonzero(any_flag).to_pylist():
-                    out[i] = [
-                        {"start": s, "kind": k, "end": e}
-                        for s, k, e in spans(texts[i].as_py(), *(f[i].as_py() for f in flags), min_cost)
-                    ]
-                columns = [batch.column(n) for n in names if n != "secret_spans"]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(out, kind)], names=[*(n for n in names if n != "secret_spans"), "secret_spans"]
-                )
+                for i, _, found in _scanned(batch, min_cost):
+                    out[i] = [{"start": s, "kind": k, "end": e} for s, k, e in found]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
-    schema = ", ".join([*kept, "secret_spans array<struct<start: int, kind: int, end: int>>"])
-    return docs.mapInArrow(scan, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(scan, "doc_id long, spans array<struct<start: int, kind: int, end: int>>")
 
 
-def redact(text: str, found: list) -> str:
+def redact(text: str, found: list[tuple[int, int, int]]) -> str:
     """The text with every span, overlapping ones as one, replaced by the kind of its first span in brackets."""
     out, at = [], 0
-    merged: list[list] = []
-    for s in found:
-        if merged and s["start"] < merged[-1][2]:
-            merged[-1][2] = max(merged[-1][2], s["end"])
+    merged: list[list[int]] = []
+    for start, kind, end in found:
+        if merged and start < merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], end)
         else:
-            merged.append([s["start"], s["kind"], s["end"]])
+            merged.append([start, kind, end])
     for start, kind, end in merged:
         out += [text[at:start], f"[{KINDS[kind]}]"]
         at = end
     return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
+    """All rows and columns of ``docs`` with the secrets of ``text`` replaced; ``n_chars``, if it is there, follows the new text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole):
+                new = {i: redact(text, found) for i, text, found in _scanned(batch, min_cost) if found}
+                for name, value in (("text", lambda t: t), ("n_chars", len)):
+                    if new and name in batch.schema.names:
+                        at = batch.schema.get_field_index(name)
+                        column = batch.column(at).to_pylist()
+                        for i, text in new.items():
+                            column[i] = value(text)
+                        batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
+                yield batch
+
+    return docs.mapInArrow(scan, docs.schema)

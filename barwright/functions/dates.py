@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The forms of stamps and of dates in paths.
 STAMP_FORMAT = "yyyyMMdd'T'HHmmss'Z'"
 STAMP_PATTERN = r"^\d{8}T\d{6}Z$"
 ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}$"

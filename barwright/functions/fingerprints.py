@@ -9,8 +9,11 @@ WORDS = 8  # a SHA-256 digest is eight words of 32 bits
 
 
 def number_text(value: Column) -> Column:
-    """Text of a number that every engine writes the same way: ten decimals. NaN has none."""
-    return value.try_cast("decimal(28,10)").cast("string")
+    """Text of a number that every engine writes the same way: ten decimals. NaN has none.
+
+    Numbers of 10^28 and more have their engine's own exact text.
+    """
+    return F.coalesce(value.try_cast("decimal(38,10)").cast("string"), F.when(~F.isnan(value), value.cast("string")))
 
 
 def row_checksum(
@@ -34,6 +37,6 @@ def group_fingerprint(digest: Column) -> Column:
     combine on the map side, so a group of any size needs no sort and never meets in one task as a list.
     """
     words = [
-        F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(10,0)")) for i in range(WORDS)
+        F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(28,0)")) for i in range(WORDS)
     ]
     return F.sha2(F.concat_ws(",", F.count(digest).cast("string"), *(w.cast("string") for w in words)), 256)

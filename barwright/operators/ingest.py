@@ -7,24 +7,27 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barwright.functions.fingerprints import row_checksum
+from barwright.functions.paths import decoded_path, plain_path
 from barwright.functions.tickers import lenient_ticker
 from barwright.operators.catalog import latest_per_ticker
 from barwright.operators.diff import (
     cache_decisions,
     change_counts,
-    classify_in_range,
+    classify,
+    date_bounds,
     file_cache_decisions,
     last_per_key,
     rows_to_refresh,
     ticker_fingerprints,
 )
 from barwright.operators.integrity import verify_sidecars
-from barwright.operators.quality import annotate, valid_rows
-from barwright.schema import PRICES, names
-from barwright.sources.files import file_hashes, plain_path, sidecar_hashes
-from barwright.sources.prices import read_price_csv, write_snapshot
+from barwright.operators.quality import MALFORMED_LINE, Rule, annotate, valid_rows
+from barwright.schema import PRICES, names, struct_type
+from barwright.sources.files import file_hashes, sidecar_hashes, write_sidecars
+from barwright.sources.prices import INPUT_ORDER, read_price_csv, read_snapshot, write_snapshot
 from barwright.sources.table import YearTable
 
 
@@ -45,13 +48,21 @@ def checked_rows(raw: DataFrame, fetched_at: datetime, source: str = "snapshot")
     }
     given = {name: F.col(name) if name in raw.columns else F.lit(None) for name in defaults}
     filled = raw.withColumns({name: F.coalesce(given[name], value) for name, value in defaults.items()})
-    return annotate(filled.withColumn("ticker", lenient_ticker(F.nullif(F.trim("ticker"), F.lit("")))))
+    rules = ()
+    if "_corrupt" in raw.columns:
+        rules = (Rule(None, MALFORMED_LINE, "line does not fit the header", F.col("_corrupt").isNotNull(), F.col("_corrupt")),)
+    return annotate(filled.withColumn("ticker", lenient_ticker(F.nullif(F.trim("ticker"), F.lit("")))), extra_rules=rules)
 
 
-def finished_rows(valid: DataFrame) -> DataFrame:
-    """Valid rows in canonical form, with their row checksum."""
+def finished_rows(valid: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Valid rows in canonical form, with their row checksum and the columns to ``keep``."""
     typed = valid.withColumn("raw_checksum", row_checksum())
-    return typed.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in PRICES))
+    return typed.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in PRICES), *keep)
+
+
+def last_input_rows(finished: DataFrame) -> DataFrame:
+    """One row per key: the one fetched last, then the one that stands last in the input (:data:`INPUT_ORDER`)."""
+    return last_per_key(finished, sequence=("fetched_at", *INPUT_ORDER))
 
 
 def canonical_rows(raw: DataFrame, fetched_at: datetime, source: str = "snapshot") -> DataFrame:
@@ -61,23 +72,44 @@ def canonical_rows(raw: DataFrame, fetched_at: datetime, source: str = "snapshot
 
 def staged(spark: SparkSession, df: DataFrame, path: str, mode: str = "errorifexists", by: tuple[str, ...] = ()) -> DataFrame:
     """Write a frame that several steps need and read it back, so that it is computed once."""
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+    df.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def apply_changes(
-    table: YearTable, incoming: DataFrame, folder: str, batch_id: int = -1, mode: str = "errorifexists"
+    table: YearTable,
+    incoming: DataFrame,
+    folder: str,
+    source: str | None = None,
+    batch_id: int = -1,
+    mode: str = "errorifexists",
+    by: tuple[str, ...] = ("ticker",),
 ) -> tuple[int, DataFrame]:
-    """Write the new and changed rows of a frame that is unique by key; returns version and counts per ticker.
+    """Write the new and changed rows of a frame that is unique by key; returns version and counts per group.
 
     The compared rows are kept in ``folder``, split by what is to be done with them: the comparison runs once, and
-    the counts describe the state before the upsert.
+    the counts describe the state before the upsert. Only stored units in the incoming date range are listed.
     """
-    compared = staged(
-        table.spark, classify_in_range(incoming, table.read()), f"{folder}/changes", mode, ("change_type",)
+    low, high = date_bounds(incoming)
+    stored = table.read(start=low, end=high) if low is not None else table.read().limit(0)
+    compared = staged(table.spark, classify(incoming, stored), f"{folder}/changes", mode, ("change_type",))
+    changed = compared.filter("change_type != 'unchanged'")
+    return table.upsert(changed, source=source, batch_id=batch_id), change_counts(compared, by)
+
+
+def file_counts(checked: DataFrame, applied: DataFrame) -> DataFrame:
+    """Per file ``path, rows, processed_rows, skipped_rows, superseded_rows, invalid_rows``: every input row is in one of the four."""
+    totals = checked.groupBy("_path").agg(F.count("*").alias("rows"), F.count_if(~F.col("is_valid")).alias("invalid_rows"))
+    none = F.lit(0).cast("long")
+    joined = totals.join(applied, "_path", "left").select(
+        F.col("_path").alias("path"),
+        "rows",
+        F.coalesce("processed_rows", none).alias("processed_rows"),
+        F.coalesce("skipped_rows", none).alias("skipped_rows"),
+        "invalid_rows",
     )
-    changed = compared.filter("change_type != 'unchanged'").drop("change_type")
-    return table.upsert(changed, batch_id=batch_id), change_counts(compared)
+    left_over = F.col("rows") - F.col("processed_rows") - F.col("skipped_rows") - F.col("invalid_rows")
+    return joined.withColumn("superseded_rows", left_over)
 
 
 def ingest_snapshot(
@@ -95,7 +127,11 @@ def ingest_snapshot(
     ``folder`` must be new: it keeps the canonical rows, the decisions, the snapshot files and the compared rows.
     """
     canonical = staged(
-        spark, last_per_key(rows.select(*names(PRICES)), sequence=("fetched_at",)), f"{folder}/canonical"
+        spark,
+        last_per_key(
+            rows.select(*names(PRICES)).withColumn("ticker", lenient_ticker(F.col("ticker"))), sequence=("fetched_at",)
+        ),
+        f"{folder}/canonical",
     )
     last = latest_per_ticker(catalog).select(
         "ticker", F.col("checksum").alias("last_checksum"), F.col("created_at").alias("generated_at")
@@ -133,6 +169,39 @@ def catalog_entries(report: DataFrame, folder: str, as_of: datetime) -> DataFram
     )
 
 
+def create_snapshots(
+    spark: SparkSession, prices: DataFrame, folder: str, as_of: datetime, job_id: str | None = None
+) -> DataFrame:
+    """Snapshot files of every ticker with their ``.checksum`` files; returns the catalog rows.
+
+    Rows and checksum of a catalog row are those of the rows as the files give them back, the size is that of the
+    files. ``folder`` must be new; it also keeps the report of the hashing, so the files are hashed once.
+    """
+    write_snapshot(prices, f"{folder}/snapshot")
+    report = staged(spark, write_sidecars(file_hashes(spark, f"{folder}/snapshot", "*.csv")), f"{folder}/sidecars")
+    ticker = F.url_decode(F.replace(F.regexp_extract("path", "/_ticker=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+    sizes = report.groupBy(ticker.alias("ticker")).agg(F.sum("size_bytes").alias("_size"))
+    rows = read_snapshot(spark, f"{folder}/snapshot")
+    entries = catalog_entries(ticker_fingerprints(rows).withColumn("decision", F.lit("miss")), folder, as_of)
+    sized = entries.join(sizes, "ticker", "left").withColumns({"size_bytes": F.col("_size"), "job_id": F.lit(job_id).cast("string")})
+    return sized.select(*entries.columns)
+
+
+def latest_snapshot_rows(spark: SparkSession, catalog: DataFrame, root: str) -> DataFrame:
+    """The rows of the latest live snapshot of every ticker, from the files below ``root``; ready for an export."""
+    live = catalog.filter(~F.coalesce("archived", F.lit(False)))
+    latest = latest_per_ticker(live).select(plain_path(F.col("snapshot_path")).alias("_folder"))
+    ordered = T.StructType(sorted(struct_type(PRICES).fields, key=lambda f: f.name))
+    files = (
+        spark.read.schema(ordered)
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.csv")
+        .csv(root, header=True)
+        .withColumn("_folder", F.regexp_replace(decoded_path(F.col("_metadata.file_path")), "/[^/]+$", ""))
+    )
+    return files.join(latest, "_folder", "left_semi").select(*names(PRICES))
+
+
 def ingest_csv_folder(
     spark: SparkSession,
     folder: str,
@@ -145,13 +214,15 @@ def ingest_csv_folder(
     """Ingest the CSV files of a folder: sidecars first, then the file cache, then diff and upsert.
 
     Files whose sidecar does not fit, or that hold several tickers, are refused and stay in the report. A file
-    that the cache covers is skipped. ``work`` must be new.
+    that the cache covers is skipped. The report has, per file, ``path, sha256, decision`` and the counts of
+    :func:`file_counts`; invalid rows and malformed lines stay below ``work`` (:func:`quarantined_file_rows`). ``work`` must
+    be new.
     """
     verified = verify_sidecars(file_hashes(spark, folder, "*.csv"), sidecar_hashes(spark, folder))
     cached = file_cache_decisions(verified.select("path", "sha256"), processed, as_of, ttl_seconds)
-    raw = read_price_csv(spark, folder).withColumn("path", plain_path(F.col("file"))).drop("file", "_corrupt")
-    given = F.nullif(F.trim("ticker"), F.lit(""))
-    tickers = raw.groupBy("path").agg(F.min(given).alias("_low"), F.max(given).alias("_high"))
+    raw = read_price_csv(spark, folder).drop("file")
+    given = F.nullif(lenient_ticker(F.col("ticker")), F.lit(""))
+    tickers = raw.groupBy("_path").agg(F.min(given).alias("_low"), F.max(given).alias("_high"))
     decision = (
         F.when(F.col("status") == "mismatch", "bad_checksum")
         .when(F.col("cached"), "cached")
@@ -160,16 +231,22 @@ def ingest_csv_folder(
     )
     files = (
         verified.join(cached.select("path", "cached"), "path")
-        .join(tickers, "path", "left")
+        .join(tickers.withColumnRenamed("_path", "path"), "path", "left")
         .select("path", "sha256", decision.alias("decision"))
     )
     report = staged(spark, files, f"{work}/files")
-    wanted = report.filter("decision = 'ingest'").select("path")
-    rows = last_per_key(
-        canonical_rows(raw.join(wanted, "path", "left_semi"), as_of), sequence=("fetched_at",)
-    )
-    version, _ = apply_changes(table, staged(spark, rows, f"{work}/rows"), work)
-    return IngestResult(version, report)
+    wanted = report.filter("decision = 'ingest'").select(F.col("path").alias("_path"))
+    checked = checked_rows(raw.join(wanted, "_path", "left_semi"), as_of).withColumn("is_valid", F.size("errors") == 0)
+    checked = staged(spark, checked, f"{work}/checked", by=("is_valid",))
+    rows = last_input_rows(finished_rows(checked.filter("is_valid"), INPUT_ORDER))
+    version, counts = apply_changes(table, staged(spark, rows, f"{work}/rows"), work, by=("_path",))
+    counted = report.join(file_counts(checked, counts), "path", "left")
+    return IngestResult(version, counted.na.fill(0))
+
+
+def quarantined_file_rows(spark: SparkSession, work: str) -> DataFrame:
+    """The invalid rows of a file ingest, malformed lines among them, with their file and their errors."""
+    return spark.read.parquet(f"{work}/checked").filter("NOT is_valid").drop("is_valid")
 
 
 def processed_entries(report: DataFrame, as_of: datetime) -> DataFrame:

@@ -26,6 +26,7 @@ NON_NUMERIC_VOLUME = "NON_NUMERIC_VOLUME"
 TYPE_ERROR = "TYPE_ERROR"
 CONSTRAINT_VIOLATION = "CONSTRAINT_VIOLATION"
 VALIDATION_ERROR = "VALIDATION_ERROR"
+MALFORMED_LINE = "MALFORMED_LINE"  # our own: a line of a file that does not fit its header
 REASON_CODES = (
     MISSING_COL,
     BAD_DATE,
@@ -46,7 +47,7 @@ class ThresholdExceeded(ValueError):
 class Rule:
     """``broken`` says when a row breaks the rule; ``value`` is the text to report."""
 
-    column: str
+    column: str | None
     code: str
     message: str
     broken: Column

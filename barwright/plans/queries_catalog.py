@@ -261,8 +261,9 @@ def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """One file per document source, the ids of its documents as lines."""
-    docs = views.table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("value"))
+    """Files per document source, its documents with their whole texts as JSON lines."""
+    line = F.to_json(F.struct("doc_id", "text")).alias("value")
+    docs = views.table(spark, sf_dir, "documents").select("source", line)
     docs.hint("rebalance", F.col("source")).sortWithinPartitions("value").write.partitionBy("source").text(folder)
 
 

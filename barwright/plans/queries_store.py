@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,20 @@ from barwright.operators.diff import (
     new_rows,
     ticker_fingerprints,
 )
-from barwright.operators.ingest import catalog_entries, ingest_csv_folder, ingest_snapshot
+from barwright.operators.ingest import (
+    catalog_entries,
+    create_snapshots,
+    ingest_csv_folder,
+    ingest_snapshot,
+    latest_snapshot_rows,
+)
+from barwright.operators.integrity import verify_sidecars
 from barwright.plans import views
 from barwright.plans.registry import query
 from barwright.schema import PRICES, names
 from barwright.session import scratch_dir
+from barwright.sources.files import file_hashes, sidecar_hashes
+from barwright.sources.prices import export_csv
 from barwright.sources.table import YearTable
 from barwright.streaming.ingest import start_ingest
 
@@ -327,6 +338,123 @@ def prices_after_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable(prices.read())
 
 
+@query(
+    "created_snapshots",
+    f"""SELECT p.ticker, p.rows, p.checksum, true AS sized, 'ok' AS status FROM ({prints_sql('stored')}) p""",
+    ("stored",),
+)
+def created_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, sidecars and catalog rows of one operator; every file is then verified against its sidecar."""
+    folder = scratch_dir(spark, "create")
+    catalog = create_snapshots(spark, views.stored(spark, sf_dir), folder, views.AS_OF, "job-1")
+    files = verify_sidecars(file_hashes(spark, folder, "*.csv"), sidecar_hashes(spark, folder))
+    ticker = F.regexp_extract("path", "_ticker=([^/]+)/", 1).alias("ticker")
+    status = files.groupBy(ticker).agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias("status"))
+    return catalog.join(status, "ticker").select("ticker", "rows", "checksum", (F.col("size_bytes") > 0).alias("sized"), "status")
+
+
+@query("latest_snapshot_export", MERGED_SQL, ("incoming", "stored"))
+def latest_snapshot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generations of snapshots; the export holds the rows of the later one."""
+    folder = scratch_dir(spark, "generations")
+    older = views.stored(spark, sf_dir)
+    newer = merge(older, views.incoming(spark, sf_dir))
+    catalogs = [
+        create_snapshots(spark, rows, f"{folder}/{n}", views.AS_OF + timedelta(days=n)) for n, rows in enumerate((older, newer))
+    ]
+    rows = latest_snapshot_rows(spark, concat(*catalogs), folder)
+    export_csv(rows, f"{folder}-export/csv")
+    back = spark.read.schema(rows.schema).csv(f"{folder}-export/csv", header=True)
+    return stable(back)
+
+
+def feed_with_faults(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """An older file set with a wrong bar and a bad date here and there, then the right bars in later files."""
+    feed = views.incoming(spark, sf_dir)
+    older = feed.filter("volume % 10 = 1").withColumn("open", F.col("high") + 1000)  # the larger values must not win
+    wrong = feed.filter("volume % 10 = 0").withColumn("date", F.lit("no day"))
+    columns = [F.col(c).cast("string").alias(c) for c in feed.columns]
+    write_feed_files(older.withColumn("high", F.col("open")), f"{folder}/one 1+")
+    rows = feed.select(*columns).unionByName(wrong.select(*columns))
+    rows = rows.select(F.col("ticker").alias("_t"), *names(PRICES))
+    rows.repartition("_t").write.partitionBy("_t").csv(f"{folder}/two 2%", header=True)
+
+
+def faulty_ingest(spark: SparkSession, sf_dir: str):
+    folder = scratch_dir(spark, "faults")
+    prices = stored_table(spark, sf_dir, folder)
+    feed_with_faults(spark, sf_dir, f"{folder}/inbox")
+    nothing = spark.createDataFrame([], "path string, sha256 string, processed_at string")
+    return prices, ingest_csv_folder(spark, f"{folder}/inbox", prices, nothing, f"{folder}/work", views.AS_OF)
+
+
+@query("prices_after_faulty_files", MERGED_SQL, ("incoming", "stored"))
+def prices_after_faulty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later files correct earlier ones, and bad rows do not hide good ones; folder names hold blanks, ``+`` and ``%``."""
+    prices, _ = faulty_ingest(spark, sf_dir)
+    return stable(prices.read())
+
+
+@query(
+    "file_ingest_counts",
+    f"""SELECT ticker, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(p) AS BIGINT) AS processed_rows, CAST(sum(k) AS BIGINT) AS skipped_rows,
+      CAST(sum(older) AS BIGINT) AS superseded_rows, CAST(sum(wrong) AS BIGINT) AS invalid_rows FROM (
+      SELECT ticker, 1 + older + wrong AS n, CASE WHEN c <> 'unchanged' THEN 1 ELSE 0 END AS p,
+        CASE WHEN c = 'unchanged' THEN 1 ELSE 0 END AS k, older, wrong FROM (
+        SELECT i.ticker, {CHANGE} AS c, CASE WHEN i.volume % 10 = 1 THEN 1 ELSE 0 END AS older,
+          CASE WHEN i.volume % 10 = 0 THEN 1 ELSE 0 END AS wrong FROM {JOINED})) GROUP BY ticker""",
+    ("incoming", "stored"),
+)
+def file_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of every file is new or changed, unchanged, superseded or invalid."""
+    _, result = faulty_ingest(spark, sf_dir)
+    counts = ("rows", "processed_rows", "skipped_rows", "superseded_rows", "invalid_rows")
+    by_ticker = result.report.groupBy(F.regexp_extract("path", "_t=([^/]+)", 1).alias("ticker"))
+    return by_ticker.agg(*(F.sum(c).alias(c) for c in counts))
+
+
+@query("prices_after_two_streams", MERGED_SQL, ("incoming", "stored"))
+def prices_after_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams feed one table, with a plain upsert between them and both run again after it."""
+    folder = scratch_dir(spark, "streams")
+    prices = stored_table(spark, sf_dir, folder)
+    feed = views.incoming(spark, sf_dir)
+    halves = [feed.filter(F.crc32(F.col("ticker").cast("binary")) % 2 == n) for n in range(2)]
+    for n, half in enumerate(halves):
+        write_feed_files(half, f"{folder}/inbox{n}")
+
+    def run(n: int) -> None:
+        start_ingest(
+            spark, f"{folder}/inbox{n}", prices, f"{folder}/checkpoint{n}", f"{folder}/work", views.FETCHED
+        ).awaitTermination()
+
+    run(0)
+    prices.upsert(halves[1].withColumn("close", F.lit(1.0)).filter("volume % 2 = 0"))  # the second stream corrects these
+    run(1)
+    run(0)
+    return stable(prices.read())
+
+
+@query("prices_after_renamed_upsert", MERGED_SQL, ("incoming", "stored"))
+def prices_after_renamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that name their ticker in other forms meet the stored rows of the same ticker."""
+    prices = stored_table(spark, sf_dir, scratch_dir(spark, "forms"))
+    other = F.concat(F.lit(" "), F.lower("ticker"), F.lit(".sa "))
+    prices.upsert(views.incoming(spark, sf_dir).withColumn("ticker", F.when(F.col("volume") % 2 == 0, other).otherwise(F.col("ticker"))))
+    return stable(prices.read())
+
+
+@query(
+    "prices_of_tickers",
+    f"SELECT {BAR} FROM stored WHERE ticker IN ('S0000001', 'S0000002', 'S0000007') AND date >= DATE '1993-01-01'",
+    ("stored",),
+)
+def prices_of_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named tickers, in any form, from the buckets and years that hold them."""
+    prices = stored_table(spark, sf_dir, scratch_dir(spark, "tickers"))
+    return stable(prices.read(["S0000001", " s0000002.sa", "S0000007.SA", "S9999999"], start="1993-01-01"))
+
+
 @query(
     "latest_snapshots",
     """SELECT id, ticker, strftime(created_at, '%Y-%m-%d') AS created_on, snapshot_path, rows FROM (SELECT *,

@@ -2,40 +2,72 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barwright.functions.paths import decoded_path, plain_path
+
 # The functions that run inside tasks travel with their code: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-COPY_SCHEMA = "path string, target string, error string"
+CHUNK = 8 << 20
+TASKS = 64  # by default; the number is given, so that adaptive execution doesn't put a small plan of large files into one task
+HASH_SCHEMA = "path string, sha256 string, size_bytes long"
+HASH_NAMES = ["path", "sha256", "size_bytes"]
+COPY_SCHEMA = "path string, target string, sha256 string, error string"
 REMOVE_SCHEMA = "path string, deleted boolean"
 
 
-def plain_path(path: Column) -> Column:
-    """A path without the ``file:`` scheme that file listings add."""
-    return F.regexp_replace(path, "^file:/+", "/")
+def _digest(system: fs.FileSystem, path: str) -> str:
+    """SHA-256 of a file of any size, read in chunks."""
+    digest = hashlib.sha256()
+    with system.open_input_stream(path) as stream:
+        while chunk := stream.read(CHUNK):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = [_digest(*_file_system(path)) for path in batch["path"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(digests, pa.string()), batch["size_bytes"]], HASH_NAMES)
 
 
 def file_hashes(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """``path, sha256, size_bytes`` of every file below a folder; each file is hashed where it is read."""
+    """``path, sha256, size_bytes`` of every file below a folder; the tasks that list a file read it as a stream."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", str(recursive).lower())
         .load(folder)
     )
-    return files.select(
-        plain_path(F.col("path")).alias("path"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("size_bytes"),
-    )
+    listed = files.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size_bytes"))
+    return listed.mapInArrow(_hash, HASH_SCHEMA)
+
+
+def _write_sidecars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, digest in zip(batch["path"].to_pylist(), batch["sha256"].to_pylist(), strict=True):
+            system, inner = _file_system(path)
+            with system.open_output_stream(f"{inner}.checksum") as out:
+                out.write(f"{digest}  {path.rsplit('/', 1)[1]}\n".encode())
+        yield batch
+
+
+def write_sidecars(hashes: DataFrame) -> DataFrame:
+    """Write ``<path>.checksum`` beside every file of ``path, sha256, size_bytes``; returns the same rows.
+
+    A repeated attempt writes the same bytes, so a lost executor does no harm.
+    """
+    return hashes.select(*HASH_NAMES).mapInArrow(_write_sidecars, HASH_SCHEMA)
 
 
 def relative_to(hashes: DataFrame, folder: str) -> DataFrame:
@@ -52,17 +84,31 @@ def sidecar_hashes(spark: SparkSession, folder: str) -> DataFrame:
         .text(folder, wholetext=True)
     )
     word = F.lower(F.regexp_extract("value", r"^\s*([0-9A-Fa-f]+)", 1))
-    path = F.regexp_replace(plain_path(F.col("_metadata.file_path")), r"\.checksum$", "")
+    path = F.regexp_replace(decoded_path(F.col("_metadata.file_path")), r"\.checksum$", "")
     return texts.select(path.alias("path"), word.alias("expected"))
 
 
 def read_manifest(documents: DataFrame, column: str = "value") -> DataFrame:
-    """``path, sha256`` of manifest documents, either ``{files: {path: {sha256}}}`` or the bare map."""
+    """``path, sha256`` of manifest documents, either ``{files: {path: {sha256}}}`` or the bare map.
+
+    A text is one document, on any number of lines, or one document per line. A text that is no manifest raises.
+    """
     entries = "map<string,struct<sha256:string>>"
-    wrapped = F.from_json(F.get_json_object(F.col(column), "$.files"), entries)
-    bare = F.from_json(F.col(column), entries)
-    return documents.select(F.explode(F.coalesce(wrapped, bare))).select(
-        F.col("key").alias("path"), F.col("value.sha256").alias("sha256")
+    text = F.trim(F.regexp_replace(F.col(column), r"^\s+|\s+$", ""))
+    first = F.split(text, "\n", 2)[0]
+    by_line = F.get_json_object(first, "$").isNotNull()
+    parts = F.when(by_line, F.filter(F.split(text, r"\n\s*"), lambda line: line != "")).otherwise(F.array(text))
+    document = F.col("_document")
+    wrapped = F.from_json(F.get_json_object(document, "$.files"), entries)
+    bare = F.from_json(document, entries)
+    stranger = F.raise_error(F.concat(F.lit("not a manifest: "), F.substring(document, 1, 100))).cast(entries)
+    usable = F.map_filter(F.coalesce(wrapped, bare), lambda _, v: v["sha256"].isNotNull())
+    whole_or_error = F.when((F.size(usable) > 0) | (F.regexp_replace(document, r"\s", "").isin("{}", '{"files":{}}')), usable)
+    return (
+        documents.where(text != "")
+        .select(F.explode(parts).alias("_document"))
+        .select(F.explode(F.coalesce(whole_or_error, stranger)))
+        .select(F.col("key").alias("path"), F.col("value.sha256").alias("sha256"))
     )
 
 
@@ -87,35 +133,42 @@ def write_manifest(hashes: DataFrame, path: str, generated_at: str) -> None:
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return read_manifest(spark.read.text(path))
+    """The entries of all manifest files below a path."""
+    return read_manifest(spark.read.text(path, wholetext=True))
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(quote(path, safe=":/"))
 
 
 def _copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        errors = []
+        digests, errors = [], []
         for source, target in zip(batch["path"].to_pylist(), batch["target"].to_pylist(), strict=True):
+            digest, failed = None, None
             try:
                 (source_fs, source_path), (target_fs, target_path) = _file_system(source), _file_system(target)
                 target_fs.create_dir(target_path.rsplit("/", 1)[0], recursive=True)
                 fs.copy_files(source_path, target_path, source_filesystem=source_fs, destination_filesystem=target_fs)
-                errors.append(None)
+                digest = _digest(target_fs, target_path)
             except OSError as error:
-                errors.append(str(error)[:200])
+                failed = str(error)
+            digests.append(digest)
+            errors.append(failed)
         yield pa.RecordBatch.from_arrays(
-            [batch["path"], batch["target"], pa.array(errors, pa.string())], ["path", "target", "error"]
+            [batch["path"], batch["target"], pa.array(digests, pa.string()), pa.array(errors, pa.string())],
+            ["path", "target", "sha256", "error"],
         )
 
 
-def copy_files(plan: DataFrame) -> DataFrame:
-    """Copy ``path`` to ``target`` byte for byte in the tasks that hold the plan's rows.
+def copy_files(plan: DataFrame, tasks: int = TASKS) -> DataFrame:
+    """Copy ``path`` to ``target`` byte for byte in ``tasks`` tasks, and hash what has arrived.
 
     A repeated attempt writes the same bytes to the same target, so a lost executor does no harm.
     """
-    return plan.select("path", "target").mapInArrow(_copy, COPY_SCHEMA)
+    return plan.select("path", "target").repartition(tasks, "path").mapInArrow(_copy, COPY_SCHEMA)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +185,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["path"], pa.array(deleted, pa.bool_())], ["path", "deleted"])
 
 
-def remove_files(plan: DataFrame) -> DataFrame:
-    """Delete each ``path`` and its sidecar; a file that is gone counts as deleted."""
-    return plan.select("path").mapInArrow(_remove, REMOVE_SCHEMA)
+def remove_files(plan: DataFrame, tasks: int = TASKS) -> DataFrame:
+    """Delete each ``path`` and its sidecar in ``tasks`` tasks; a file that is gone counts as deleted."""
+    return plan.select("path").repartition(tasks, "path").mapInArrow(_remove, REMOVE_SCHEMA)

@@ -10,13 +10,19 @@ from pyspark.sql import types as T
 
 from barwright.functions.dates import lenient_date
 from barwright.functions.fingerprints import group_fingerprint
-from barwright.functions.tickers import SUFFIX, lenient_ticker
+from barwright.functions.tickers import SUFFIX
 from barwright.functions.values import encode_payload
+from barwright.functions.paths import decoded_path
 from barwright.schema import OHLC, PRICES, Field, struct_type
 
 
+def stored_form(ticker: str) -> str:
+    """The base form in which tables hold a ticker."""
+    return ticker.strip().upper().removesuffix(SUFFIX)
+
+
 def _variants(ticker: str) -> list[str]:
-    base = ticker.strip().upper().removesuffix(SUFFIX)
+    base = stored_form(ticker)
     return [base, base + SUFFIX]
 
 
@@ -53,13 +59,27 @@ def last_days(prices: DataFrame, as_of: date, days: int) -> DataFrame:
     return read_prices(prices, start=low, end=as_of)
 
 
+#: Columns that order the rows of files: time of the file, its path, place of the block in it, place of the row in the task.
+INPUT_ORDER = ("_modified", "_path", "_block", "_row")
+
+
+def input_order() -> dict[str, Column]:
+    """All of :data:`INPUT_ORDER` but the row, which a stream can only number batch by batch."""
+    return {
+        "_modified": F.col("_metadata.file_modification_time"),
+        "_path": decoded_path(F.col("_metadata.file_path")),
+        "_block": F.col("_metadata.file_block_start"),
+    }
+
+
 def read_price_csv(
     spark: SparkSession, path: str | list[str], fields: tuple[Field, ...] = PRICES, typed: bool = False
 ) -> DataFrame:
     """Price rows of the ``*.csv`` files below a folder, as text (or typed), with the file each row came from.
 
     The header gives the columns, in any order; all files of one read must have the same header, and one that
-    differs raises instead of shifting its values. Lines that do not fit are kept in ``_corrupt``.
+    differs raises instead of shifting its values. Lines that do not fit are kept in ``_corrupt``. The columns of
+    ``INPUT_ORDER`` say where a row stood: a later file, or a later line, is a later row.
     """
     reader = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").option("header", "true")
     header = reader.csv(path).columns  # reads one line
@@ -67,7 +87,7 @@ def read_price_csv(
     raw = (
         reader.schema(schema)
         .csv(path, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-        .withColumn("file", F.col("_metadata.file_path"))
+        .withColumns({"file": F.col("_metadata.file_path"), **input_order(), "_row": F.monotonically_increasing_id()})
     )
     if not typed:
         return raw
@@ -151,7 +171,3 @@ def json_documents(snapshot: DataFrame, checksums: DataFrame) -> DataFrame:
 def export_json(snapshot: DataFrame, checksums: DataFrame, path: str) -> None:
     json_documents(snapshot, checksums).select("value").write.text(path)
 
-
-def normalized(prices: DataFrame) -> DataFrame:
-    """Rows with the ticker in its stored form."""
-    return prices.withColumn("ticker", lenient_ticker(F.col("ticker")))

@@ -1,29 +1,34 @@
 """Price and return tables on plain Parquet, with upserts.
 
-Parquet folders cannot be merged in place, and overwriting a folder that the same job reads destroys it. So each
-upsert writes the calendar years it touches to a new folder, then publishes a small list of which folder holds
-each year. Readers take the newest complete list; the folders of other years are carried over by reference, and
-older lists stay valid for going back. One writer per table: a second one fails on the same version number.
+Parquet folders cannot be merged in place, and overwriting a folder that the same job reads destroys it. A table is
+held in units, one per calendar year and hash bucket of the first key. An upsert writes the units it touches to a new
+folder, then publishes a small list of which folder holds each unit; the folders of other units are carried over by
+reference. Readers take the newest complete list, and older lists stay valid for going back. The list also holds the last
+batch of every source that feeds the table, so that a batch that is delivered again is known whatever was published since.
+One writer per table: a second one fails on the same version number.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barwright.functions.tickers import lenient_ticker
 from barwright.operators.diff import merge
 from barwright.schema import PRICE_KEY, PRICES, Field, struct_type
-from barwright.sources.prices import read_prices
+from barwright.sources.prices import read_prices, stored_form
 
-VERSION_SCHEMA = "version int, year int, path string, batch_id long"
+VERSION_SCHEMA = "version int, year int, bucket int, path string, source string, batch_id long"
+BUCKETS = 16
 
 
 class YearTable:
-    """A table keyed by columns that include ``date``, held in one folder per calendar year and version."""
+    """A table keyed by columns that include ``date``. Tickers are stored in their base form."""
 
     def __init__(
         self,
@@ -31,7 +36,10 @@ class YearTable:
         root: str,
         fields: tuple[Field, ...] = PRICES,
         keys: tuple[str, ...] = PRICE_KEY,
+        buckets: int = BUCKETS,
     ) -> None:
+        """``buckets`` is fixed with the first upsert; a table of many terabytes wants thousands."""
+        self.buckets = buckets
         self.spark = spark
         self.root = root.rstrip("/")
         self.fields = fields
@@ -60,9 +68,14 @@ class YearTable:
         rows = self._published()
         return rows[0]["version"] if rows else 0
 
-    def last_batch(self) -> int:
-        """The highest micro-batch that has been published, -1 before the first."""
-        return max((r["batch_id"] for r in self._published()), default=-1)
+    def last_batch(self, source: str) -> int:
+        """The last micro-batch of a source that has been published, -1 before the first."""
+        return max((r["batch_id"] for r in self._published() if r["source"] == source), default=-1)
+
+    def _bucket(self) -> Column:
+        """The bucket of a row by its first key that is no date."""
+        key = next(k for k in self.keys if k != "date")
+        return (F.crc32(F.col(key).cast("string").cast("binary")) % self.buckets).cast("int")
 
     def _load(self, paths: list[str]) -> DataFrame:
         schema = struct_type(self.fields)
@@ -75,13 +88,20 @@ class YearTable:
         end: date | str | None = None,
         version: int | None = None,
     ) -> DataFrame:
-        """The rows of a version, the newest by default; years outside the range are not listed at all."""
+        """The rows of a version, the newest by default; units outside the range or of other tickers are not listed at all."""
         low = int(str(start)[:4]) if start is not None else None
         high = int(str(end)[:4]) if end is not None else None
+        wanted = None
+        if tickers is not None:
+            named = [tickers] if isinstance(tickers, str) else tickers
+            wanted = {zlib.crc32(stored_form(t).encode()) % self.buckets for t in named}
         paths = [
             r["path"]
             for r in self._published(version)
-            if (low is None or r["year"] >= low) and (high is None or r["year"] <= high)
+            if r["path"] is not None
+            and (low is None or r["year"] >= low)
+            and (high is None or r["year"] <= high)
+            and (wanted is None or r["bucket"] in wanted)
         ]
         return read_prices(self._load(paths), tickers, start, end)
 
@@ -89,35 +109,50 @@ class YearTable:
         self,
         incoming: DataFrame,
         combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+        source: str | None = None,
         batch_id: int = -1,
     ) -> int:
         """Merge rows that are unique by key, and publish the result as the next version.
 
-        ``combine(stored, incoming)`` gives the merged rows; the default replaces rows with equal keys. Only the
-        years that the incoming rows touch are read and written. Returns the published version.
+        ``combine(stored, incoming)`` gives the merged rows; the default replaces rows with equal keys. The incoming rows
+        are computed once, and their keys are checked before anything is merged: stored rows were checked when they
+        came. Only the units that the incoming rows touch are read and written. ``source`` and ``batch_id`` are kept
+        with the version, also when a batch has no rows. Returns the published version.
         """
         current = self._published()
         version = current[0]["version"] if current else 0
-        years = sorted(r[0] for r in incoming.select(F.year("date")).distinct().collect())
-        if not years:
+        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+        rows = incoming
+        if "ticker" in incoming.columns:
+            rows = rows.withColumn("ticker", F.nullif(lenient_ticker(F.col("ticker")), F.lit("")))
+        rows = rows.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in self.fields))
+        rows.withColumns({"_year": F.year("date"), "_bucket": self._bucket()}).write.parquet(staging)
+        staged = self.spark.read.parquet(staging)
+        self._check_keys(staged)
+        units = sorted(tuple(r) for r in staged.select("_year", "_bucket").distinct().collect())  # years x buckets at most
+        if not units and source is None:
             return version
-        stored = self._load([r["path"] for r in current if r["year"] in years])
-        rows = incoming.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in self.fields))
-        merged = (combine or (lambda old, new: merge(old, new, self.keys)))(stored, rows)
+        touched = set(units)
+        kept = [r for r in current if r["path"] is not None and (r["year"], r["bucket"]) not in touched]
+        stored = self._load([r["path"] for r in current if (r["year"], r["bucket"]) in touched and r["path"] is not None])
         version = max(self._numbers(), default=0) + 1
         target = f"{self.root}/data/v={version}-{uuid.uuid4().hex}"
-        (
-            merged.withColumn("_year", F.year("date"))
-            .hint("rebalance", F.col("_year"))  # AQE splits a big year and packs small ones, without sampling
-            .sortWithinPartitions("_year", *self.keys)
-            .write.mode("errorifexists")
-            .partitionBy("_year")
-            .parquet(target)
-        )
-        written = [f"{target}/_year={y}" for y in years]
-        self._check_keys(self._load(written))
-        entries = [(version, r["year"], r["path"], r["batch_id"]) for r in current if r["year"] not in years]
-        entries += [(version, y, path, batch_id) for y, path in zip(years, written, strict=True)]
+        if units:
+            merged = (combine or (lambda old, new: merge(old, new, self.keys)))(stored, staged.drop("_year", "_bucket"))
+            (
+                merged.withColumns({"_year": F.year("date"), "_bucket": self._bucket()})
+                .hint("rebalance", F.col("_year"), F.col("_bucket"))  # AQE splits big units, packs small ones, without sampling
+                .sortWithinPartitions("_year", "_bucket", *self.keys)
+                .write.mode("errorifexists")
+                .partitionBy("_year", "_bucket")
+                .parquet(target)
+            )
+        marks = {r["source"]: r["batch_id"] for r in current if r["source"] is not None}
+        if source is not None:
+            marks[source] = batch_id
+        entries = [(version, r["year"], r["bucket"], r["path"], None, None) for r in kept]
+        entries += [(version, y, b, f"{target}/_year={y}/_bucket={b}", None, None) for y, b in units]
+        entries += [(version, None, None, None, name, last) for name, last in marks.items()]
         (
             self.spark.createDataFrame(entries, VERSION_SCHEMA)
             .coalesce(1)
@@ -126,15 +161,15 @@ class YearTable:
         )
         return version
 
-    def _check_keys(self, written: DataFrame) -> None:
-        """No written key may be null or appear twice; otherwise the version is not published."""
+    def _check_keys(self, incoming: DataFrame) -> None:
+        """No incoming key may be null or appear twice; otherwise nothing is written."""
         empty = F.lit(False)
         for key in self.keys:
             empty = empty | F.col(key).isNull()
-        counted = written.groupBy(*self.keys).agg(F.count("*").alias("_n"))
+        counted = incoming.groupBy(*self.keys).agg(F.count("*").alias("_n"))
         bad = counted.filter((F.col("_n") > 1) | empty).agg(F.count("*")).first()[0]
         if bad:
-            raise ValueError(f"{bad} keys of {self.root} are null or not unique; version not published")
+            raise ValueError(f"{bad} incoming keys of {self.root} are null or not unique; version not published")
 
     def versions(self) -> DataFrame:
         """Every published list."""

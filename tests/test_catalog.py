@@ -14,7 +14,7 @@ from barwright.operators.catalog import by_paths, latest_per_ticker, prune_list,
 from barwright.operators.integrity import compare_manifests, restore_checks, verify_sidecars
 from barwright.operators.joblog import search_log
 from barwright.operators.retention import apply_repairs, archive_totals, purge, repair_plan
-from barwright.sources.files import file_hashes, load_manifest, read_manifest, sidecar_hashes, write_manifest
+from barwright.sources.files import copy_files, file_hashes, load_manifest, read_manifest, sidecar_hashes, write_manifest
 
 AS_OF = dt.datetime(2024, 2, 1)
 CATALOG = "id string, ticker string, created_at timestamp, snapshot_path string, size_bytes long, checksum string, archived boolean, archived_at timestamp"
@@ -54,7 +54,7 @@ def test_dates_in_text(spark):
 @pytest.mark.parametrize(
     ("payload", "path", "expected"),
     [
-        (None, "/foo/20230101", ("2023-01-01", "")),
+        (None, "/srv/shots/20230101", ("2023-01-01", "")),
         ('{"start": "2023-01-01", "end_date": "20230102"}', "/x/2020-01-01", ("2023-01-01", "2023-01-02")),
         (None, "/s/2023-01-01_to_2023-01-02.csv", ("2023-01-01", "2023-01-02")),
         ("broken", "/s/20230101-2023-01-02", ("2023-01-01", "2023-01-02")),
@@ -157,6 +157,45 @@ def test_manifests(spark, tmp_path):
     assert {r.path: r.status for r in compare_manifests(before, current).collect()} == {"b": "changed", "gone": "missing", "n": "unexpected"}
 
 
+def test_manifest_layouts(spark, tmp_path):
+    """Indented documents, one document per line, several files; anything else raises."""
+    data = {"a b": {"sha256": "1"}, "b": {"sha256": "2"}}
+    folder = tmp_path / "manifests"
+    folder.mkdir()
+    (folder / "one.json").write_text(json.dumps({"generated_at": "now", "files": data}, indent=2) + "\n")
+    (folder / "two.json").write_text("\n" + json.dumps({"c": {"sha256": "3"}}, indent=4))
+    (folder / "three.json").write_text("\n".join(json.dumps({"files": {k: {"sha256": k}}}) for k in "xyz") + "\n")
+    (folder / "empty.json").write_text("")
+    assert {r.path for r in load_manifest(spark, str(folder)).collect()} == {"a b", "b", "c", "x", "y", "z"}
+    for text in ("[1, 2]", "no json", '{"rows": 3}', '{"files": 7}'):
+        frame = spark.createDataFrame([(text,)], "value string")
+        with pytest.raises(Exception, match="not a manifest"):
+            read_manifest(frame).collect()
+
+
+def test_streamed_hash_of_a_large_file(spark, tmp_path):
+    folder = tmp_path / "large"
+    folder.mkdir()
+    data = bytes(range(256)) * (100_000)  # several chunks
+    (folder / "big file+1.csv").write_bytes(data)
+    row = file_hashes(spark, str(folder)).first()
+    assert (row.sha256, row.size_bytes) == (hashlib.sha256(data).hexdigest(), len(data))
+
+
+def test_archive_when_idle_and_again(spark, tmp_path):
+    digests = snapshots(tmp_path, "ok.csv")
+    catalog = entries(spark, entry("1", 100, f"{tmp_path}/snapshots/ok.csv", digests["ok.csv"]), entry("2", 100, f"{tmp_path}/lost.csv", "x"))
+    archive_dir = f"{tmp_path}/archive"
+    nothing, same = purge(spark, catalog.filter("id = '0'"), 90, AS_OF, dry_run=False, confirm=True, archive_dir=archive_dir)
+    assert nothing.count() == 0 and same.count() == 0
+    lost, after = purge(spark, catalog.filter("id = '2'"), 90, AS_OF, dry_run=False, confirm=True, archive_dir=archive_dir)
+    assert [r.checksum_ok for r in lost.collect()] == [False] and [r.archived for r in after.collect()] == [False]
+    status, _ = purge(spark, catalog, 90, AS_OF, dry_run=False, confirm=True, archive_dir=archive_dir)
+    assert {r.id: r.checksum_ok for r in status.collect()} == {"1": True, "2": False}
+    plan = spark.range(10_000).selectExpr("concat('/none/', id) AS path", f"concat('{tmp_path}/t/', id) AS target")
+    assert copy_files(plan, 8).select(F.spark_partition_id()).distinct().count() == 8
+
+
 def test_archive(spark, tmp_path):
     digests = snapshots(tmp_path, "ok.csv", "bad.csv", "none.csv")
     folder = tmp_path / "snapshots"

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import os
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from barwright.functions.fingerprints import row_checksum
+from barwright.functions.fingerprints import group_fingerprint, row_checksum
 from barwright.operators.diff import (
     cache_decisions,
     change_counts,
@@ -30,11 +31,13 @@ from barwright.operators.ingest import (
     ingest_csv_folder,
     ingest_snapshot,
     processed_entries,
+    quarantined_file_rows,
+    staged,
 )
 from barwright.schema import PRICES, names
 from barwright.sources.prices import read_price_csv, read_prices, read_snapshot, write_snapshot
 from barwright.sources.table import YearTable
-from barwright.streaming.ingest import arrivals, file_stream, quarantined, start_ingest
+from barwright.streaming.ingest import arrivals, counted_files, file_stream, quarantined, start_ingest
 
 AS_OF = dt.datetime(2024, 2, 1, 12)
 
@@ -219,7 +222,89 @@ def test_stream_ingest(spark, tmp_path):
     run()
     assert closes(table.read())[("AAAA3", "2023-01-02")] == 9.5
     assert [r.date for r in quarantined(spark, f"{tmp_path}/bad").collect()] == [None]
-    assert table.last_batch() == 2
+    assert {r.batch_id for r in table.versions().filter("source IS NOT NULL").collect()} == {0, 1, 2}
+    counted = {r.path.rsplit("/", 1)[1]: (r.rows, r.processed_rows, r.invalid_rows) for r in counted_files(spark, f"{tmp_path}/bad").collect()}
+    assert counted == {"a.csv": (2, 1, 1), "b.csv": (1, 1, 0), "c.csv": (1, 1, 0)}
+
+
+def test_two_streams_and_a_plain_upsert(spark, bars, tmp_path):
+    """Batches are known per stream: neither another stream, nor a new checkpoint, nor an upsert hides or repeats one."""
+    table = YearTable(spark, f"{tmp_path}/prices")
+
+    def run(inbox, checkpoint):
+        start_ingest(spark, str(inbox), table, f"{tmp_path}/{checkpoint}", f"{tmp_path}/work", AS_OF).awaitTermination()
+
+    write_csv(tmp_path / "one", "a.csv", [line("AAAA3", "2023-01-02", 1.5)], sidecar=None)
+    write_csv(tmp_path / "two", "b.csv", [line("BBBB3", "2023-01-02", 2.5)], sidecar=None)
+    run(tmp_path / "one", "c1")
+    run(tmp_path / "two", "c2")
+    assert closes(table.read()) == {("AAAA3", "2023-01-02"): 1.5, ("BBBB3", "2023-01-02"): 2.5}
+    table.upsert(bars([("AAAA3", "2023-01-02", 7.5)]))
+    marks = {r.source for r in table.versions().filter(f"version = {table.version()} AND source IS NOT NULL").collect()}
+    assert len(marks) == 2 and {table.last_batch(m) for m in marks} == {0}  # a batch given again would be skipped
+    run(tmp_path / "one", "c1")
+    assert closes(table.read())[("AAAA3", "2023-01-02")] == 7.5
+    run(tmp_path / "one", "renewed")
+    assert closes(table.read())[("AAAA3", "2023-01-02")] == 1.5
+
+
+def test_file_ingest_loses_nothing(spark, tmp_path):
+    inbox, table = tmp_path / "in box", YearTable(spark, f"{tmp_path}/prices")
+    names_ = ["my file.csv", "a+b.csv", "100%25.csv"]
+    for n, name in enumerate(names_):
+        write_csv(inbox, name, [line(f"AAA{n}3", "2023-01-02", 1.5), line(f"AAA{n}3", "oops", 1), f"AAA{n}3,2023-01-02,1", line(f"AAA{n}3.SA", "2023-01-03", 2)])
+    (inbox / "z.csv").write_text(HEADER + line("AAA03", "2023-01-02", 0.5) + "\n" + line("AAA03", "2023-01-03", 2) + "\n")  # later and lower
+    os.utime(inbox / "z.csv", (2e9, 2e9))
+    nothing = spark.createDataFrame([], "path string, sha256 string, processed_at string")
+    result = ingest_csv_folder(spark, str(inbox), table, nothing, f"{tmp_path}/w1", AS_OF)
+    found = {r.path.rsplit("/", 1)[1]: r for r in result.report.collect()}
+    assert {n: r.decision for n, r in found.items()} == dict.fromkeys([*names_, "z.csv"], "ingest")
+    for r in found.values():
+        assert r.rows == r.processed_rows + r.skipped_rows + r.superseded_rows + r.invalid_rows
+    assert (found["my file.csv"].rows, found["my file.csv"].invalid_rows, found["my file.csv"].superseded_rows) == (4, 2, 2)
+    bad = quarantined_file_rows(spark, f"{tmp_path}/w1").select("_corrupt", "errors").collect()
+    assert len(bad) == 6 and sum(any(e.reason_code == "MALFORMED_LINE" for e in r.errors) for r in bad) == 3
+    assert closes(table.read("AAA03")) == {("AAA03", "2023-01-02"): 0.5, ("AAA03", "2023-01-03"): 2.0}
+    write_csv(inbox, "my file.csv", [line("AAA03", "2023-01-05", 9)], sidecar="wrong")
+    again = ingest_csv_folder(spark, str(inbox), table, nothing, f"{tmp_path}/w2", AS_OF)
+    assert {r.path.rsplit("/", 1)[1]: r.decision for r in again.report.collect()}["my file.csv"] == "bad_checksum"
+
+
+def test_upsert_keeps_the_stored_form_and_refuses_null_dates(spark, bars, tmp_path):
+    table = YearTable(spark, f"{tmp_path}/prices")
+    table.upsert(bars([(" aaaa3.sa ", "2021-06-01", 1.0)]))
+    assert closes(table.read("AAAA3")) == {("AAAA3", "2021-06-01"): 1.0}
+    assert closes(table.read("AAAA3.SA")) == closes(table.read("aaaa3"))
+    with pytest.raises(ValueError, match="null"):
+        table.upsert(bars([("AAAA3", None, 1.0)]))
+    assert table.version() == 1
+
+
+def test_upsert_rewrites_only_what_it_touches(spark, bars, tmp_path):
+    table = YearTable(spark, f"{tmp_path}/prices")
+    table.upsert(bars([(f"AA{i:02d}3", f"202{y}-06-01", 1.0) for i in range(40) for y in (1, 2)]))
+    before = {r.path for r in table.versions().collect()}
+    table.upsert(bars([("AA003", "2021-06-01", 2.0)]))
+    now = {r.path for r in table.versions().filter("version = 2").collect()}
+    assert len(now - before) == 1 and len(now) == len(before)
+    listed = table.read("AA003", "2021-01-01", "2021-12-31").inputFiles()
+    assert len({f.rsplit("/", 1)[0] for f in listed}) == 1
+
+
+def test_repeated_write_replaces_all_partitions(spark, tmp_path):
+    first = spark.createDataFrame([("a", 1), ("b", 2)], "v string, k int")
+    staged(spark, first, f"{tmp_path}/s", "overwrite", ("k",))
+    assert rows(staged(spark, first.filter("k = 1"), f"{tmp_path}/s", "overwrite", ("k",))) == [("a", 1)]
+
+
+def test_checksums_of_huge_numbers_and_sums(spark, bars):
+    a, b, c = (ticker_fingerprints(bars([("AAAA3", "2023-01-02", v)])).first().checksum for v in (1e18, 2e18, 1e40))
+    assert len({a, b, c}) == 3
+    digest = "f" * 64
+    big = spark.range(1).select(F.sum(F.lit("9" * 25).cast("decimal(28,0)")).alias("s")).schema["s"].dataType
+    assert big.precision == 38
+    assert spark.range(10).select(group_fingerprint(F.lit(digest)).alias("c")).first().c
+
 
 
 def test_arrivals_counts_a_running_stream(spark, tmp_path):

@@ -134,13 +134,13 @@ def flat(texts: pa.Array) -> Flat:
     return Flat(data, offsets - offsets[0])
 
 
-def parts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``PART_BYTES`` of text, at least one row each."""
+def parts(batch: pa.RecordBatch, column: str = "text", limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``limit`` bytes of a column, at least one row each."""
     ends = flat(batch.column(column)).offsets[1:]
     at = 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, done + PART_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(at, stop - at)
         at = stop
 

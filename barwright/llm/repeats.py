@@ -12,12 +12,13 @@ the maximal repeats of at least ``WINDOW`` words. No pairs are made, and nothing
 
 Defined cases: a null text has no words. Shorter texts than a window never lose words. "Earlier" is a smaller doc_id, or an earlier start
 in the same document; a null id comes first. Rows with the same id and text are one document; rows with the same id and
-different texts are told apart by a hash of the text. An empty table gives an empty result.
+different texts are told apart by 15 bits of a hash of the text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.flat import Words, flat, mix, parts, signed
+from barwright.llm.flat import PART_BYTES, Words, flat, mix, parts, signed
 from barwright.llm.store import stored
 
 WINDOW = 20
@@ -67,16 +68,36 @@ def stretches(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nd
 
 
 def _key(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, text``: the first two name a document and order it; the least long stands for no id."""
+    """``doc_id, tag, text``: the first two name a document and order it; the least long stands for no id."""
+    text = F.col("text").cast("string")
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"),
-        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0x7FFF)).cast("short").alias("tag"),
+        text.alias("text"),
     )
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """``doc_id, tag, packed``: texts compressed for a shuffle."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole):
+                texts = batch.column("text").fill_null("").cast(pa.binary()).to_pylist()
+                packed = pa.array([zlib.compress(t, 1) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), packed], names=["doc_id", "tag", "packed"])
+
+    return keyed.mapInArrow(pack, "doc_id long, tag short, packed binary")
+
+
+def _unpacked(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch and their texts."""
+    for batch in parts(whole, "packed", PART_BYTES // 3):
+        yield batch, [zlib.decompress(p) for p in batch.column("packed").to_pylist()]
+
+
 def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``doc_id, text_hash, spans``: per document with repeats the word ranges (start, end) that go; they may overlap."""
+    """``doc_id, tag, spans``: per document with repeats the word ranges (start, end) that go; they may overlap."""
     spark = keyed.sparkSession
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,17 +113,17 @@ def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
                         pa.array(signed(anchors)),
                         pa.array(signed(stretch)),
                         batch.column("doc_id").take(pa.array(own)),
-                        batch.column("text_hash").take(pa.array(own)),
+                        batch.column("tag").take(pa.array(own)),
                         pa.array((first - words.bounds[own]).astype(np.int32)),
                         pa.array((last - first + 1).astype(np.int32)),
                     ],
-                    names=["anchor", "stretch", "doc_id", "text_hash", "first", "n"],
+                    names=["anchor", "stretch", "doc_id", "tag", "first", "n"],
                 )
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole):
-                words = flat(batch.column("text")).words()
+            for batch, texts in _unpacked(whole):
+                words = flat(pa.array(texts, pa.binary())).words()
                 prefix = words.prefix()
                 stretches_of = batch.column("stretches")
                 counts = np.diff(stretches_of.offsets.to_numpy())
@@ -120,43 +141,45 @@ def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
                         pa.array(signed(one)),
                         pa.array(signed(two)),
                         batch.column("doc_id").take(pa.array(own)),
-                        batch.column("text_hash").take(pa.array(own)),
+                        batch.column("tag").take(pa.array(own)),
                         pa.array(start.astype(np.int32)),
                     ],
-                    names=["one", "two", "doc_id", "text_hash", "first"],
+                    names=["one", "two", "doc_id", "tag", "first"],
                 )
 
-    schema = "anchor long, stretch long, doc_id long, text_hash long, first int, n int"
+    schema = "anchor long, stretch long, doc_id long, tag short, first int, n int"
     found = keyed.mapInArrow(occurrences, schema)
-    twice = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # What is counted by a key is written before it is joined by that key: only then can the join's hot keys be split.
+    twice = stored(spark, "repeat-anchors", found.groupBy("anchor").count().where("count > 1").select("anchor"))
     seeds = stored(spark, "repeat-seeds", found.join(twice, "anchor", "left_semi"))
 
-    earliest = F.min(F.struct("doc_id", "text_hash", "first")).alias("earliest")
+    earliest = F.min(F.struct("doc_id", "tag", "first")).alias("earliest")
     classes = stored(spark, "repeat-classes", seeds.groupBy("anchor", "stretch", "n").agg(earliest))
-    here = F.struct("doc_id", "text_hash", "first")
+    here = F.struct("doc_id", "tag", "first")
     copies = (
         seeds.join(classes, ["anchor", "stretch", "n"])
         .where(here != F.col("earliest"))
-        .select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("n") + (window - 1)).alias("end"))
+        .select("doc_id", "tag", F.col("first").alias("start"), (F.col("first") + F.col("n") + (window - 1)).alias("end"))
     )
 
-    several = classes.groupBy("anchor").count().where("count > 1").select("anchor")
+    several = stored(spark, "repeat-several", classes.groupBy("anchor").count().where("count > 1").select("anchor"))
     firsts = classes.join(several, "anchor", "left_semi").select("earliest.*", "n")
-    per_doc = firsts.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n")).alias("stretches"))
-    texts = keyed.join(per_doc, ["doc_id", "text_hash"])
+    per_doc = firsts.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "n")).alias("stretches"))
+    texts = _packed(keyed).join(per_doc, ["doc_id", "tag"])
     windows = stored(
         spark,
         "repeat-windows",
-        texts.mapInArrow(windows_of, "one long, two long, doc_id long, text_hash long, first int").distinct(),
+        texts.mapInArrow(windows_of, "one long, two long, doc_id long, tag short, first int").distinct(),
     )
-    origins = windows.groupBy("one", "two").agg(earliest, F.count("*").alias("n")).where("n > 1")
+    origins = windows.groupBy("one", "two").agg(earliest, F.count("*").alias("n")).where("n > 1").drop("n")
+    origins = stored(spark, "repeat-origins", origins)
     later = (
         windows.join(origins, ["one", "two"])
         .where(here != F.col("earliest"))
-        .select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
+        .select("doc_id", "tag", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
     )
     spans = F.collect_set(F.struct("start", "end")).alias("spans")
-    return copies.unionByName(later).groupBy("doc_id", "text_hash").agg(spans)
+    return copies.unionByName(later).groupBy("doc_id", "tag").agg(spans)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -166,11 +189,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole):
-                texts, ranges = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans")
+            for batch, texts in _unpacked(whole):
+                ranges = batch.column("spans")
                 out, sizes, gone = [], [], []
                 for i, text in enumerate(texts):
-                    words = _WORD.findall(text or b"")
+                    words = _WORD.findall(text)
                     found = ranges[i]
                     removed = 0
                     if found.is_valid and len(found.values):
@@ -190,6 +213,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     names=["doc_id", "n_words", "n_removed", "text"],
                 )
 
-    joined = keyed.join(spans, ["doc_id", "text_hash"], "left").dropDuplicates(["doc_id", "text_hash"])
+    joined = _packed(keyed).join(spans, ["doc_id", "tag"], "left").dropDuplicates(["doc_id", "tag"])
     out = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

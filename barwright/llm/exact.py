@@ -46,8 +46,9 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
     spark = docs.sparkSession
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = whole.select("doc_id", *measures(prefix_chars))
+    # What is counted by a key is written before it is joined by that key: only then can the join's hot keys be split.
     lengths = sized.groupBy("n_bytes").count().where("count > 1").select("n_bytes", F.lit(True).alias("same_length"))
-    sized = stored(spark, "exact-sized", sized.join(lengths, "n_bytes", "left"))  # so that a hot length can be split
+    sized = stored(spark, "exact-sized", sized.join(stored(spark, "exact-lengths", lengths), "n_bytes", "left"))
     prefixes = (
         sized.where("same_length")
         .groupBy("n_bytes", "prefix")
@@ -55,6 +56,7 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
         .where("count > 1")
         .select("n_bytes", "prefix", F.lit(True).alias("same_prefix"))
     )
+    prefixes = stored(spark, "exact-prefixes", prefixes)
     refined = stored(
         spark,
         "exact-refined",
@@ -70,7 +72,7 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
     hashed = whole.join(wanted, same, "left_semi").withColumn("digest", text_digest(F.col("text"))).drop("text")
     hashed = stored(spark, "exact-hashed", hashed.distinct())
     groups = hashed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    repeated = hashed.join(groups, "digest")
+    repeated = hashed.join(stored(spark, "exact-groups", groups), "digest")
     return (
         refined.where("same_prefix is null")
         .select(

@@ -6,9 +6,9 @@ and not ``2 * GROUPS**2 * ROWS``. Two documents of similarity s share a table wi
 ``(1 - (1 - s**ROWS)**GROUPS)**2``: 0.9987 at 0.8, 0.99999 at 0.9, 0.02 at 0.25.
 
 Documents with equal sets are one class first, so copies never meet pairwise. Sub-keys that only one class has are dropped
-before pairs of sub-keys are formed. In a table's bucket every class is compared with the smallest one. Buckets whose
-members are then still in several components are compared across components, so no link between members of a bucket that
-could join two components is left out; links inside a component can't change the result.
+before pairs of sub-keys are formed. In a table's bucket every class is compared with the smallest one. Where a bucket's
+members are then still in several components, they are compared across components by a join on their rarest shingles,
+which leaves out no similar pair; links inside a component can't change the result.
 
 Defined cases: a null or wordless text has no shingles, is in no link and a component of its own. Fewer words than a shingle are
 one shingle. Rows with the same doc_id are one document, linked with whatever one of its texts is linked with; ``n_shingles`` is
@@ -19,6 +19,8 @@ gives an empty result. Shingles are compared by 64-bit hashes of their words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ SHINGLE = 5
 PERCENT = 80
 ROWS = 3
 GROUPS = 10
+MARKS = 512
 
 _RANDOM = np.random.default_rng(7919)
 _ODD = _RANDOM.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,6 +125,70 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(compare, "a long, b long")
 
 
+def _across(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``classes(class_id, n_shingles, component)`` in different components that may be similar enough.
+
+    Two filters leave out no similar pair. Of the shingles of a set, rarest first, similar sets share one of the first
+    ``n - ceil(percent * n / 100) + 1``: what one of two similar sets lacks is less than that. And a set's marks are ``MARKS`` bits, each
+    the parity of the shingles that hash to it, so that bits which differ are no more than the shingles which differ. For
+    every shingle the members of its largest component only meet others.
+    """
+    spark = classes.sparkSession
+    words = MARKS // 64
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole):
+                hashes, bounds = shingle_sets(flat(batch.column("text")), shingle)
+                n = batch.num_rows
+                place = np.repeat(np.arange(n) * MARKS, np.diff(bounds)) + (mix(hashes) % np.uint64(MARKS)).astype(np.int64)
+                parity = np.bincount(place, minlength=n * MARKS) & 1
+                marks = np.packbits(parity.astype(np.uint8)).view(np.int64)
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(signed(hashes))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words), pa.array(marks)),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("class_id", "component", "n_shingles")), *lists],
+                    names=["class_id", "component", "n_shingles", "tokens", "marks"],
+                )
+
+    texts = classes.join(docs.withColumnRenamed("doc_id", "text_id"), F.col("class_id") == F.col("text_id")).drop("text_id")
+    sets = texts.mapInArrow(gather, "class_id long, component long, n_shingles long, tokens array<long>, marks array<long>")
+    sets = stored(spark, "near-sets", sets)
+    tokens = sets.select("class_id", "n_shingles", F.explode("tokens").alias("token"))
+    counts = stored(spark, "near-token-counts", tokens.groupBy("token").agg(F.count("*").alias("n")))
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    prefixes = (
+        tokens.join(counts, "token")
+        .groupBy("class_id", "n_shingles")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))  # one text's shingles
+        .select("class_id", F.slice("all", F.lit(1), first.cast("int")).alias("x"))
+        .join(sets.drop("tokens"), "class_id")
+        .select("class_id", "component", "n_shingles", "marks", F.explode("x.token").alias("token"))
+    )
+    prefixes = stored(spark, "near-prefixes", prefixes)
+    sizes = prefixes.groupBy("token", "component").agg(F.count("*").alias("n"))
+    homes = sizes.groupBy("token").agg(F.max(F.struct("n", "component")).alias("home"), F.count("*").alias("n")).where("n > 1")
+    homes = stored(spark, "near-homes", homes.select("token", F.col("home.component").alias("home")))
+    met = prefixes.join(homes, "token")
+    guests = met.where("component <> home").select(
+        "token", F.col("class_id").alias("g"), F.col("component").alias("cg"), F.col("n_shingles").alias("ng"), F.col("marks").alias("mg")
+    )
+    differ = reduce(add, (F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("mg")[i])) for i in range(words)))
+    similar = (
+        (F.col("cg") != F.col("component"))
+        & (100 * F.least("ng", "n_shingles") >= percent * F.greatest("ng", "n_shingles"))
+        & ((100 + percent) * differ <= (100 - percent) * (F.col("ng") + F.col("n_shingles")))
+    )
+    return (
+        guests.join(met.drop("home"), "token")
+        .where(similar)
+        .select(F.least("g", "class_id").alias("a"), F.greatest("g", "class_id").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, groups: int = GROUPS
 ) -> DataFrame:
@@ -139,7 +206,9 @@ def near_duplicates(
     members = filled.select("doc_id", *digest).join(classes.drop("subkeys"), digest).select("doc_id", "n_shingles", "class_id")
 
     slots = classes.select("class_id", "n_shingles", F.posexplode("subkeys").alias("slot", "subkey"))
+    # What is counted by a key is written before it is joined by that key: only then can the join's hot keys be split.
     shared = slots.groupBy("slot", "subkey").count().where("count > 1").select("slot", "subkey")
+    shared = stored(spark, "near-shared", shared)
     usable = slots.join(shared, ["slot", "subkey"], "left_semi")
     usable = stored(spark, "near-subkeys", usable)
     per_class = usable.groupBy("class_id", "n_shingles").agg(F.collect_list(F.struct("slot", "subkey")).alias("all"))
@@ -152,6 +221,7 @@ def near_duplicates(
     )
     tables = stored(spark, "near-tables", tables)
     leaders = tables.groupBy("key").agg(F.min(F.struct("class_id", "n_shingles")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    leaders = stored(spark, "near-leaders", leaders.drop("n"))
     near_size = "100 * least(n_shingles, leader.n_shingles) >= {p} * greatest(n_shingles, leader.n_shingles)".format(p=percent)
     pairs = (
         tables.join(leaders, "key")
@@ -165,26 +235,15 @@ def near_duplicates(
     links = stored(spark, "near-links", links)
     joined = components(links)
 
-    placed = tables.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn(
-        "component", F.coalesce("component", "class_id")
+    placed = tables.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select(
+        "key", "class_id", "n_shingles", F.coalesce("component", "class_id").alias("component")
     )
     placed = stored(spark, "near-placed", placed)
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class_id").alias("leader_id"), F.count("*").alias("n"))
-        .where("low <> high and n > 2")
-        .select("key", "leader_id")
-    )
-    mixed = placed.join(mixed, "key").where("class_id <> leader_id")  # the leader has been compared with all
-    left = mixed.select("key", F.col("class_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    right = mixed.select("key", F.col("class_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    across = (
-        left.join(right, "key")
-        .where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        .select("a", "b")
-        .distinct()
-    )
-    across = stored(spark, "near-across", across)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.where("low <> high and n > 2")
+    mixed = stored(spark, "near-mixed", mixed.select("key"))  # of two members one is the leader, which met the other
+    left_over = placed.join(mixed, "key", "left_semi").select("class_id", "n_shingles", "component").distinct()
+    across = stored(spark, "near-across", _across(stored(spark, "near-left", left_over), docs, shingle, percent))
     if not across.isEmpty():
         more = stored(spark, "near-links", _confirmed(across, docs, shingle, percent))
         if not more.isEmpty():

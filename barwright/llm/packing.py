@@ -118,9 +118,9 @@ def pack(
         words, packer, number = subwords(vocabulary), Packer(size, n_open), part << 31
         for whole in batches:
             for own in parts(whole):
-                texts = own.column("text").cast(pa.binary())
-                for doc_id, text in zip(own.column("doc_id").to_pylist(), texts, strict=True):
-                    packer.add(doc_id, words.text(text.as_py() or b"") + end)
+                texts = own.column("text").fill_null("").cast(pa.binary()).to_pylist()
+                for doc_id, ids in zip(own.column("doc_id").to_pylist(), words.texts(texts), strict=True):
+                    packer.add(doc_id, ids + end)
                 rows = _rows(packer.done, list(range(number, number + len(packer.done))), with_ids)
                 number += len(packer.done)
                 packer.done = []

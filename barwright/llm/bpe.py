@@ -1,11 +1,13 @@
 """Byte-level BPE by ranks, in Spark's higher-order functions; decoding joins the ids' binary pieces.
 
 A word is a match of the vocabulary's pattern. Its bytes (as characters U+0000 to U+00FF) are folded: each step finds the
-least rank among neighbouring pieces and joins all pairs of that rank from left to right, until no pair has a rank. The
+least rank among neighbouring pieces and joins its first pair, or in long words all pairs of that rank from left to right, until
+no pair has a rank. The
 ranks are a literal: an array of small maps, since a lookup in one map walks through all its keys.
 
-Distinct words are counted over the whole corpus, and the ``KNOWN_WORDS`` most frequent ones are encoded once and become a literal
-too (a bound, not a cap: any other word is folded where it occurs). So no text is shuffled.
+Of the distinct words the ``KNOWN_WORDS`` that occur most often are encoded once and become a literal too. This saves work and
+decides nothing: any other word is folded where it occurs, with the same ids. So a bound does no harm, and the words are
+counted in every ``COUNTED``-th text only, chosen by a hash of the text. No text is shuffled.
 
 Defined cases: a null text is an empty one, has no ids and decodes to no bytes. Every row gives one row, with all its columns
 and ``ids``. An empty table gives an empty result. Strings of special tokens are ordinary text. Words of any length are encoded
@@ -22,8 +24,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_WORDS = 1 << 17
-BUCKETS = 1 << 16
+KNOWN_WORDS = 1 << 18
+SHORT = 48  # bytes; the two folds give the same ids and differ in the work of a step
+COUNTED = 8
+BUCKETS = 1 << 13
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,7 +63,51 @@ class Bpe:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _step(self, pieces: Column) -> Column:
+    def _join_first(self, acc: Column) -> Column:
+        """Join the first pair of the least rank and look up the two ranks that this changes."""
+        pieces, ranks = acc["pieces"], acc["ranks"]
+
+        def joined(p: Column) -> Column:  # counted from 1
+            return _let(
+                F.concat(F.get(pieces, p - 1), F.get(pieces, p)),
+                lambda piece: F.struct(
+                    F.concat(F.slice(pieces, F.lit(1), p - 1), F.array(piece), F.slice(pieces, p + 2, F.size(pieces))).alias("pieces"),
+                    F.concat(
+                        F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))),
+                        F.when(p > 1, F.array(self.rank(F.concat(F.get(pieces, p - 2), piece)))).otherwise(F.array().cast("array<int>")),
+                        F.array(self.rank(F.concat(piece, F.get(pieces, p + 1)))),
+                        F.slice(ranks, p + 2, F.size(ranks)),
+                    ).alias("ranks"),
+                    F.lit(False).alias("done"),
+                ),
+            )
+
+        return _let(
+            F.array_min(ranks),
+            lambda least: F.when(least.isNull(), F.struct(pieces.alias("pieces"), ranks.alias("ranks"), F.lit(True).alias("done"))).otherwise(
+                _let(F.array_position(ranks, least).cast("int"), joined)
+            ),
+        )
+
+    def _fold_short(self, start: Column) -> Column:
+        ranks = F.transform(start, lambda p, i: self.rank(F.concat(p, F.get(start, i + 1))))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(start)),
+            F.struct(start.alias("pieces"), ranks.alias("ranks"), F.lit(False).alias("done")),
+            lambda acc, _: F.when(acc["done"], acc).otherwise(self._join_first(acc)),
+            lambda acc: acc["pieces"],
+        )
+
+    def _fold_long(self, start: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(start)),
+            F.struct(start.alias("pieces"), F.lit(False).alias("done")),
+            lambda acc, _: F.when(acc["done"], acc).otherwise(self._join_all(acc["pieces"])),
+            lambda acc: acc["pieces"],
+        )
+
+    def _join_all(self, pieces: Column) -> Column:
+        """Join all pairs of the least rank: fewer steps for long words."""
         pair = lambda p, i: self.rank(F.concat(p, F.get(pieces, i + 1)))
 
         def joined(ranks: Column, least: Column) -> Column:
@@ -92,13 +140,7 @@ class Bpe:
         """Ids of one word."""
         start = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
         folded = _let(
-            start,
-            lambda s: F.aggregate(
-                F.sequence(F.lit(1), F.size(s)),
-                F.struct(s.alias("pieces"), F.lit(False).alias("done")),
-                lambda acc, _: F.when(acc["done"], acc).otherwise(self._step(acc["pieces"])),
-                lambda acc: acc["pieces"],
-            ),
+            start, lambda s: F.when(F.size(s) <= SHORT, self._fold_short(s)).otherwise(self._fold_long(s))
         )
         return F.transform(folded, self.rank)
 
@@ -109,9 +151,10 @@ class Bpe:
 
 def encode(docs: DataFrame, bpe: Bpe, known_words: int = KNOWN_WORDS) -> DataFrame:
     """All columns of the input and ``ids``."""
-    words = docs.select(F.explode(F.array_distinct(bpe.words(F.col("text")))).alias("word"))
+    counted = docs.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)
+    words = counted.select(F.explode(bpe.words(F.col("text"))).alias("word"))
     frequent = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(known_words)
     rows = frequent.select("word", bpe.encode_word(F.col("word")).alias("ids")).collect()  # known_words rows at most
-    known = _literal_map({r["word"]: r["ids"] for r in rows}, "array<int>", 2 * max(known_words, 1))
+    known = _literal_map({r["word"]: r["ids"] for r in rows}, "array<int>", max(known_words // 8, 1))
     ids = F.transform(bpe.words(F.col("text")), lambda w: F.coalesce(known(w), bpe.encode_word(w)))
     return docs.withColumn("ids", F.flatten(ids))

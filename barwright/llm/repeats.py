@@ -12,7 +12,7 @@ the maximal repeats of at least ``WINDOW`` words. No pairs are made, and nothing
 
 Defined cases: a null text has no words. Shorter texts than a window never lose words. "Earlier" is a smaller doc_id, or an earlier start
 in the same document; a null id comes first. Rows with the same id and text are one document; rows with the same id and
-different texts are told apart by 15 bits of a hash of the text. An empty table gives an empty result.
+different texts are told apart by two 64-bit hashes of the text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ ANCHOR = 4
 
 NO_ID = -(2**63)
 
+#: What names a document and orders it: the id and 128 bits of the text.
+KEY = ("doc_id", "tag", "tag_2")
+
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Places of grams that a packed value can hold; longer parts than this many words are single texts.
 _PLACE_BITS = np.uint64(24)
@@ -68,26 +71,28 @@ def stretches(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nd
 
 
 def _key(docs: DataFrame) -> DataFrame:
-    """``doc_id, tag, text``: the first two name a document and order it; the least long stands for no id."""
+    """``KEY`` and ``text``; the least long stands for no id."""
     text = F.col("text").cast("string")
+    content = F.coalesce(text, F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0x7FFF)).cast("short").alias("tag"),
+        F.xxhash64(content).alias("tag"),
+        F.xxhash64(F.lit(1), content).alias("tag_2"),  # the first value seeds the hash of the second
         text.alias("text"),
     )
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
-    """``doc_id, tag, packed``: texts compressed for a shuffle."""
+    """``KEY`` and ``packed``: texts compressed for a shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in parts(whole):
                 texts = batch.column("text").fill_null("").cast(pa.binary()).to_pylist()
                 packed = pa.array([zlib.compress(t, 1) for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), packed], names=["doc_id", "tag", "packed"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), packed], names=[*KEY, "packed"])
 
-    return keyed.mapInArrow(pack, "doc_id long, tag short, packed binary")
+    return keyed.mapInArrow(pack, "doc_id long, tag long, tag_2 long, packed binary")
 
 
 def _unpacked(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -97,7 +102,7 @@ def _unpacked(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[byte
 
 
 def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``doc_id, tag, spans``: per document with repeats the word ranges (start, end) that go; they may overlap."""
+    """``KEY`` and ``spans``: per document with repeats the word ranges (start, end) that go; they may overlap."""
     spark = keyed.sparkSession
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +117,11 @@ def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
                     [
                         pa.array(signed(anchors)),
                         pa.array(signed(stretch)),
-                        batch.column("doc_id").take(pa.array(own)),
-                        batch.column("tag").take(pa.array(own)),
+                        *(batch.column(k).take(pa.array(own)) for k in KEY),
                         pa.array((first - words.bounds[own]).astype(np.int32)),
                         pa.array((last - first + 1).astype(np.int32)),
                     ],
-                    names=["anchor", "stretch", "doc_id", "tag", "first", "n"],
+                    names=["anchor", "stretch", *KEY, "first", "n"],
                 )
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,46 +144,45 @@ def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
                     [
                         pa.array(signed(one)),
                         pa.array(signed(two)),
-                        batch.column("doc_id").take(pa.array(own)),
-                        batch.column("tag").take(pa.array(own)),
+                        *(batch.column(k).take(pa.array(own)) for k in KEY),
                         pa.array(start.astype(np.int32)),
                     ],
-                    names=["one", "two", "doc_id", "tag", "first"],
+                    names=["one", "two", *KEY, "first"],
                 )
 
-    schema = "anchor long, stretch long, doc_id long, tag short, first int, n int"
+    schema = "anchor long, stretch long, doc_id long, tag long, tag_2 long, first int, n int"
     found = keyed.mapInArrow(occurrences, schema)
     # What is counted by a key is written before it is joined by that key: only then can the join's hot keys be split.
     twice = stored(spark, "repeat-anchors", found.groupBy("anchor").count().where("count > 1").select("anchor"))
     seeds = stored(spark, "repeat-seeds", found.join(twice, "anchor", "left_semi"))
 
-    earliest = F.min(F.struct("doc_id", "tag", "first")).alias("earliest")
+    earliest = F.min(F.struct(*KEY, "first")).alias("earliest")
     classes = stored(spark, "repeat-classes", seeds.groupBy("anchor", "stretch", "n").agg(earliest))
-    here = F.struct("doc_id", "tag", "first")
+    here = F.struct(*KEY, "first")
     copies = (
         seeds.join(classes, ["anchor", "stretch", "n"])
         .where(here != F.col("earliest"))
-        .select("doc_id", "tag", F.col("first").alias("start"), (F.col("first") + F.col("n") + (window - 1)).alias("end"))
+        .select(*KEY, F.col("first").alias("start"), (F.col("first") + F.col("n") + (window - 1)).alias("end"))
     )
 
     several = stored(spark, "repeat-several", classes.groupBy("anchor").count().where("count > 1").select("anchor"))
     firsts = classes.join(several, "anchor", "left_semi").select("earliest.*", "n")
-    per_doc = firsts.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "n")).alias("stretches"))
-    texts = _packed(keyed).join(per_doc, ["doc_id", "tag"])
+    per_doc = firsts.groupBy(*KEY).agg(F.collect_set(F.struct("first", "n")).alias("stretches"))
+    texts = _packed(keyed).join(per_doc, [*KEY])
     windows = stored(
         spark,
         "repeat-windows",
-        texts.mapInArrow(windows_of, "one long, two long, doc_id long, tag short, first int").distinct(),
+        texts.mapInArrow(windows_of, "one long, two long, doc_id long, tag long, tag_2 long, first int").distinct(),
     )
     origins = windows.groupBy("one", "two").agg(earliest, F.count("*").alias("n")).where("n > 1").drop("n")
     origins = stored(spark, "repeat-origins", origins)
     later = (
         windows.join(origins, ["one", "two"])
         .where(here != F.col("earliest"))
-        .select("doc_id", "tag", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
+        .select(*KEY, F.col("first").alias("start"), (F.col("first") + window).alias("end"))
     )
     spans = F.collect_set(F.struct("start", "end")).alias("spans")
-    return copies.unionByName(later).groupBy("doc_id", "tag").agg(spans)
+    return copies.unionByName(later).groupBy(*KEY).agg(spans)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -213,6 +216,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     names=["doc_id", "n_words", "n_removed", "text"],
                 )
 
-    joined = _packed(keyed).join(spans, ["doc_id", "tag"], "left").dropDuplicates(["doc_id", "tag"])
+    joined = _packed(keyed).join(spans, [*KEY], "left").dropDuplicates([*KEY])
     out = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -275,6 +275,24 @@ def test_repeats_of_odd_rows(run, table_dir, odd):
     check_repeats(run("op7_substring_dedup", table_dir(rows)), dict(rows))
 
 
+def test_repeats_of_many_texts_without_own_ids(run, table_dir):
+    passage = [f"p{i}" for i in range(25)]
+    rows = []
+    for n in range(3000):
+        own = [f"{n}x{i}" for i in range(1 + n % 40)]
+        rows.append((None if n % 2 else 7, " ".join(own + (passage if n % 100 < 2 else []))))
+    got = run("op7_substring_dedup", table_dir([*rows, *rows[:50]]))
+    kept = Counter((r["doc_id"], r["n_words"], r["kept_sha256"]) for r in got)
+    whole, cut = Counter(), Counter()
+    for i, text in rows:
+        w = brute.words(text)
+        (cut if "p0" in w else whole)[i, len(w), brute.sha(" ".join(x for x in w if x[0] != "p"))] += 1
+    first = [r for r in got if r["n_words"] > 25 and (r["doc_id"], r["n_words"], r["kept_sha256"]) not in whole + cut]
+    assert len(got) == len(rows) and whole <= kept
+    assert [(r["doc_id"], r["n_removed"]) for r in first] == [(None, 0)]  # no id comes first
+    assert sum(kept[k] for k in cut) == sum(cut.values()) - 1
+
+
 def test_repeats_of_random_texts(run, table_dir):
     import random
 

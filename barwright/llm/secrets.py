@@ -3,7 +3,8 @@
 The method beside the base patterns looks at values in a credential context (``pwd: x``, ``Authorization: Bearer x``,
 ``scheme://user:x@host`` and the like) and asks how many guesses a good guesser needs. Dynamic programming splits the value
 into words, dates, repeats, keyboard walks and brute-force spans at the least total cost; costs are decimal logarithms of
-guesses and add up. A value that costs ``MIN_COST`` or more and lies in no base span becomes a span of kind ``guess``.
+guesses and add up. A value that costs ``MIN_COST`` or more and does not lie in a base span becomes a span of kind ``guess``;
+it may overlap a base span that ends inside it.
 
 Defined cases: a null text is an empty one and has no spans. Spans are code points, end exclusive, of the whole match for the
 base kinds and of the value for ``guess``. Every row gives one row; repeated rows and null ids are kept as they are. An
@@ -34,15 +35,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-#: Contexts of credentials; the last group is the value.
+#: Names of credentials, which may follow ``_`` or ``-``; the last group that matched is the value, up to its closing quote if it has one.
 CONTEXT = re.compile(
-    r"""(?:\b(?:pwd|pass|passphrase|passcode|credentials?|auth|authorization|access_?key|private_?key|client_?secret|bearer)"""
-    r"""["']?\x20*[:=]\x20*["']?(?:bearer\x20+|basic\x20+)?|\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:)([^\s"'<>@,;]{8,})""",
+    r"""(?:password|passwd|secret|token|api_?key|(?<![a-z0-9])(?:pwd|pass|passphrase|passcode|credentials?|auth|authorization|access_?key|private_?key|bearer))"""
+    r"""["']?\x20*[:=]\x20*(?:bearer\x20+|basic\x20+)?(?:"([^\s"]{8,})"|'([^\s']{8,})'|["']?(?:bearer\x20+|basic\x20+)?([^\s"'<>,;]{8,}))""",
     re.ASCII | re.IGNORECASE,
 )
+#: User names in addresses, which may be empty; the value follows.
+ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{0,64}:([^\s\"'<>@,;]{8,})", re.ASCII | re.IGNORECASE)
 #: What a text with a match must contain; searched by a linear automaton.
 MAY_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
-MAY_CONTEXT = r"""(?i)(pwd|pass|passphrase|passcode|credentials?|auth|authorization|access_?key|private_?key|client_?secret|bearer)["']?\x20*[:=]|://[^\s:/@]{1,64}:"""
+MAY_CONTEXT = r"""(?i)(password|passwd|secret|token|api_?key|pwd|pass|passphrase|passcode|credentials?|auth|authorization|access_?key|private_?key|bearer)["']?\x20*[:=]|://[^\s:/@]{0,64}:"""
 MAY_HEX = r"[0-9a-f]{24}"
 
 MIN_COST = 10.0
@@ -130,10 +133,10 @@ def spans(text: str, may_assign: bool, may_access: bool, may_hex: bool, may_cont
         starts, reach = [s for s, _, _ in found], []
         for _, _, end in found:
             reach.append(max(end, reach[-1] if reach else 0))
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            before = bisect_right(starts, end - 1) - 1
-            if (before < 0 or reach[before] <= start) and guess_cost(m[1]) >= min_cost:
+        values = {m.span(m.lastindex) for pattern in (CONTEXT, ADDRESS) for m in pattern.finditer(text)}
+        for start, end in sorted(values):
+            before = bisect_right(starts, start) - 1
+            if (before < 0 or reach[before] < end) and guess_cost(text[start:end]) >= min_cost:
                 found.append((start, 3, end))
         found.sort()
     return found

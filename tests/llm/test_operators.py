@@ -244,6 +244,26 @@ def test_guess_costs():
     assert found == [("x9Kq2LmZ7w", 3), ("tR4!vB8#kP0z", 3), ("password=x9Kq2LmZ7w", 0)]
 
 
+def guessed(text):
+    from barwright.llm.secrets import MIN_COST, spans
+
+    return [text[s:e] for s, k, e in spans(text, True, True, True, True, MIN_COST) if k == 3]
+
+
+def test_values_in_every_context(run, table_dir):
+    cases = [
+        ("password: $Tr0ub4dor&3xQ!", "$Tr0ub4dor&3xQ!"), ("password=ab$Kd93!xQ7z", "ab$Kd93!xQ7z"), ('token: "!x9Kq2LmZ7w#"', "!x9Kq2LmZ7w#"),
+        ("password=abcdef$Kd93!xQ7z", "abcdef$Kd93!xQ7z"), ("AWS_SECRET_ACCESS_KEY=wJalr7XUtnF+EMI", "wJalr7XUtnF+EMI"),
+        ("DB_PASS=x9Kq2LmZ7w", "x9Kq2LmZ7w"), ("MYSQL_PWD=x9Kq2LmZ7w", "x9Kq2LmZ7w"), ("x-auth: x9Kq2LmZ7w", "x9Kq2LmZ7w"),
+        ("redis://:tR4!vB8#kP0z@host", "tR4!vB8#kP0z"), ("api_key='a,b@;9Kq2LmZ7w'", "a,b@;9Kq2LmZ7w"), ("Authorization: Bearer x9Kq2LmZ7w", "x9Kq2LmZ7w"),
+    ]
+    for text, value in cases:
+        assert guessed(f"a {text} b") == [value]
+    got = run("op6_secret_scan", table_dir([(i, text) for i, (text, _) in enumerate(cases)]))
+    assert all("guess:" in r["spans"] for r in got) and len(got) == len(cases)
+    assert guessed("password=x9Kq2LmZ7w compass: x9Kq2LmZ7w") == []
+
+
 def test_redaction(spark):
     from barwright.llm.secrets import redacted
 

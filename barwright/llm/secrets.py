@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.flat import parts
+from barwright.llm.words import WORDS
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -41,8 +42,10 @@ CONTEXT = re.compile(
     r"""["']?\x20*[:=]\x20*(?:bearer\x20+|basic\x20+)?(?:"([^\s"]{8,})"|'([^\s']{8,})'|["']?(?:bearer\x20+|basic\x20+)?([^\s"'<>,;]{8,}))""",
     re.ASCII | re.IGNORECASE,
 )
-#: User names in addresses, which may be empty; the value follows.
-ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{0,64}:([^\s\"'<>@,;]{8,})", re.ASCII | re.IGNORECASE)
+#: User names in addresses, which may be empty; the value follows and ends at ``@``. A port is no value.
+ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{0,64}:(?!\d{1,5}(?:[/?#,;]|$))", re.ASCII | re.IGNORECASE)
+ADDRESS_END = re.compile(r"[\s\"'<>@]")
+MIN_VALUE = 8
 #: What a text with a match must contain; searched by a linear automaton.
 MAY_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 MAY_CONTEXT = r"""(?i)(password|passwd|secret|token|api_?key|pwd|pass|passphrase|passcode|credentials?|auth|authorization|access_?key|private_?key|bearer)["']?\x20*[:=]|://[^\s:/@]{0,64}:"""
@@ -50,7 +53,7 @@ MAY_HEX = r"[0-9a-f]{24}"
 
 MIN_COST = 10.0
 
-# Words that guessers try first, most frequent first, and rows of a keyboard.
+# Words that guessers try first, most frequent first, before those of ``WORDS``, and rows of a keyboard.
 COMMON = (
     "password 123456 qwerty admin welcome login letmein dragon master monkey shadow secret changeme default example test "
     "user root guest demo sample hello sunshine princess football baseball iloveyou trustno superman batman summer winter "
@@ -59,8 +62,8 @@ COMMON = (
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
+_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *WORDS]))}
+_LONGEST = max(map(len, _RANK))
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {
     (b, a) for row in ROWS for a, b in zip(row, row[1:], strict=False)
 }
@@ -133,7 +136,14 @@ def spans(text: str, may_assign: bool, may_access: bool, may_hex: bool, may_cont
         starts, reach = [s for s, _, _ in found], []
         for _, _, end in found:
             reach.append(max(end, reach[-1] if reach else 0))
-        values = {m.span(m.lastindex) for pattern in (CONTEXT, ADDRESS) for m in pattern.finditer(text)}
+        values = {m.span(m.lastindex) for m in CONTEXT.finditer(text)}
+        stop = -1
+        for m in ADDRESS.finditer(text):
+            if m.end() > stop:  # the first of all addresses that end at one place holds the others' values
+                end = ADDRESS_END.search(text, m.end())
+                stop = end.start() if end else len(text)
+                if end and end[0] == "@" and stop - m.end() >= MIN_VALUE:
+                    values.add((m.end(), stop))
         for start, end in sorted(values):
             before = bisect_right(starts, start) - 1
             if (before < 0 or reach[before] < end) and guess_cost(text[start:end]) >= min_cost:

@@ -264,6 +264,18 @@ def test_values_in_every_context(run, table_dir):
     assert guessed("password=x9Kq2LmZ7w compass: x9Kq2LmZ7w") == []
 
 
+def test_clean_texts_keep_their_words():
+    clean = [
+        "see http://localhost:8080/index.html for more", "http://localhost:8080/users/@someone and https://example.org:8443/a/b?c=d#e",
+        "Authorization: mandatory", "credentials: certificate", "auth: authentication is required", "bearer: messenger", "pass: mountain",
+        "credentials: username/password", "hosts http://alpha:9200,http://beta:9200/path-and-file.html", "http://[::1]:8080/index.html",
+    ]
+    assert [t for t in clean if guessed(t)] == []
+    assert guessed("http://localhost:8080/to?u=postgres://me:tR4!vB8#kP0z@host") == ["tR4!vB8#kP0z"]
+    assert guessed("amqp://me:tR4!vB/8#kP,0z@host:5672/x") == ["tR4!vB/8#kP,0z"]
+    assert len(guessed("ab://c:" * 30000 + "x9Kq2LmZ7w@host")) == 1  # one value for all addresses that end at one place
+
+
 def test_redaction(spark):
     from barwright.llm.secrets import redacted
 

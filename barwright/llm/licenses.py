@@ -1,8 +1,9 @@
 """Licences in texts by sentence rules: sentences become identifiers, sequences of identifiers become licences.
 
-Sentences end at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space or the text's end, and start after such an end or at a line's start, so
-that a sentence may run over lines and may follow an unfinished line. A sentence is normalised (lower case, letters and digits
-only, one blank between, the subject before "is licensed under" dropped) and looked up among the known sentences. The
+Sentences end at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space or the text's end, or after an address, and start after such an end or
+at a line's start, so that a sentence may run over lines and may follow an unfinished line. A sentence is normalised (lower
+case, letters and digits only, one blank between, addresses, '(the "License")' and the subject before "is licensed under"
+dropped) and looked up among the known sentences, alone and joined with those that follow it ("v. 2.0" has an end). The
 identifiers in the order of the text are then matched against the rules, longest first, each identifier used once.
 
 Defined cases: a null text is an empty one and has no licence. Every row gives one row; repeated rows and null ids are kept. A
@@ -92,21 +93,25 @@ RULES = (
 ANCHOR = r"licen[sc]ed under|released under|distributed under|available under|subject to|permission (?:is|to|notice)|permitted|redistribut\w+ (?:of|in|it|and)|neither the name|provided (?:as|by|\W?as)|may (?:not|obtain)|public domain|free software|SPDX"
 _ANCHOR = re.compile(ANCHOR.replace(" ", r"\s+"), re.IGNORECASE)
 _ANY = "(?i)" + ANCHOR.replace(" ", r"\s+")
-_END = re.compile(r"[.!?:;](?=\s|$)")
+_URL = r"https?://\S+"
+_END = re.compile(rf"[.!?:;](?=\s|$)|{_URL}", re.IGNORECASE)
 _UNDER = re.compile(
     r"^(?:(?:this|the) (?:\w+ ){1,3}(?:is|are) )?(?:licensed|licenced|released|distributed|available|made available) under (?:the terms of )?(?:the )?(.+)$"
 )
 _SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
 
 
-_TOKEN = re.compile(r"[A-Za-z0-9]+")
+#: A word, or what is dropped.
+_TOKEN = re.compile(rf"{_URL}|\(the\s+[\"'“”]*licen[sc]e[\"'“”]*\)|([A-Za-z0-9]+)", re.IGNORECASE)
 _SUBJECT_WORDS = 12
+#: First words of the known sentences.
+_FIRST = {tuple(x.split()[:2]) for x in SENTENCES}
 _MOST_WORDS = max(len(x.split()) for x in (*SENTENCES, *NAMES)) + _SUBJECT_WORDS
 
 
 def identifier(text: str, start: int, end: int) -> str | None:
     """The identifier of the sentence ``text[start:end]``; a sentence of more words than any known one is not read to its end."""
-    words = [m[0].lower() for m in islice(_TOKEN.finditer(text, start, end), _MOST_WORDS + 1)]
+    words = [m[1].lower() for m in islice(_TOKEN.finditer(text, start, end), _MOST_WORDS + 1) if m[1]]
     sentence = " ".join(words)
     if sentence in SENTENCES:
         return SENTENCES[sentence]
@@ -115,6 +120,22 @@ def identifier(text: str, start: int, end: int) -> str | None:
     return None
 
 
+def joined(text: str, start: int, ends: list[int], k: int) -> tuple[int, str] | None:
+    """End and identifier of the known sentence that runs from ``start`` over ``ends[k]`` to a later end."""
+    words: list[str] = []
+    for m in islice(_TOKEN.finditer(text, start), _MOST_WORDS + 1):
+        while k < len(ends) and ends[k] <= m.start():
+            if known := SENTENCES.get(" ".join(words)):
+                return ends[k], known
+            k += 1
+        if m[1]:
+            words.append(m[1].lower())
+            if len(words) == 2 and tuple(words) not in _FIRST:
+                return None
+    known = SENTENCES.get(" ".join(words))
+    return (ends[k] if k < len(ends) else len(text), known) if known else None
+
+
 def identifiers(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, identifier)`` of the known sentences; only sentences around an anchor are looked at."""
     found: dict[tuple[int, int], str] = {}
@@ -131,12 +152,17 @@ def identifiers(text: str) -> list[tuple[int, int, str]]:
                 looked.add((start, end))
                 if known := identifier(text, start, end):
                     found[start, end] = known
+                elif k < len(ends) and (longer := joined(text, start, ends, k)):
+                    found[start, longer[0]] = longer[1]
             if start <= floor:
                 break
             line = max(text.rfind("\n", floor, start - 1) + 1, floor)
             words += sum(1 for _ in islice(_TOKEN.finditer(text, line, start), _MOST_WORDS + 1))
             start = line
-    out = [(s, e, known) for (s, e), known in found.items()]
+    nearest: dict[tuple[int, str], int] = {}  # blank lines and subjects before a sentence do not repeat it
+    for (start, end), known in found.items():
+        nearest[end, known] = max(start, nearest.get((end, known), start))
+    out = [(start, end, known) for (end, known), start in nearest.items()]
     out += [(m.start(), m.end(), f"name:{m[1]}") for m in _SPDX.finditer(text)]
     return sorted(out)
 

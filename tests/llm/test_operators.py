@@ -402,6 +402,58 @@ def test_licences(run, table_dir):
     )
 
 
+GPL = """This program is free software{0} you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation{1} either version {2} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+"""
+
+APACHE = """Copyright 2020 Someone
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licences_of_standard_notices(run, table_dir):
+    from barwright.llm import licenses
+
+    identifiers = licenses.identifiers
+    notices = [(GPL.format(";", ";", 2), "GPL-2.0-or-later"), (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (APACHE, "Apache-2.0"), (MPL, "MPL-2.0")]
+    rows, expected = [], {}
+    for n, (notice, licence) in enumerate(notices):
+        for m, text in enumerate([notice, f"/* Some file.\n *\n * {notice}\n */\nint main;", notice.split("any later")[0].split("2.0")[0]]):
+            rows.append((10 * n + m, text))
+            expected[10 * n + m] = licence if m < 2 else ""
+    mit = [s for s, k in licenses.SENTENCES.items() if k.startswith("mit")]
+    rows.append((98, f"{mit[0]}:\n\n{mit[1]}.\n\n{mit[2]}."))
+    expected[98] = "MIT"
+    rows.append((99, "\n".join(notice for notice, _ in notices)))
+    expected[99] = ",".join(licence for _, licence in notices)
+    got = run("op9_license_scan", table_dir(rows))
+    assert {r["doc_id"]: r["licenses"] for r in got} == expected
+    assert [known for _, _, known in identifiers(APACHE)] == ["name:Apache-2.0", "apache-comply", "apache-copy"]
+    assert identifiers(MPL)[0][1] == MPL.index("2.0.") + 4
+
+
 def test_licences_of_the_table(run, sf_dir, documents):
     """Against a scan of every sentence of every text, without the search for anchors."""
     import re

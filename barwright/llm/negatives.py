@@ -216,7 +216,7 @@ def _past_blocks(
                 columns = zip(*out, strict=True) if out else ([],) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=schema)
 
-    dealt = rows.unionByName(past).repartition("block").sortWithinPartitions("block", "kind")
+    dealt = rows.unionByName(past).repartition(blocks, "block").sortWithinPartitions("block", "kind")
     return dealt.mapInArrow(run, "anchor_id long, number long, score long, vec_id long")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import bpe, chat, exact, language, licenses, minhash, negatives, packing, quality, repeats, scoring, secrets
+from barwright.llm import bpe, chat, exact, language, licenses, minhash, negatives, packing, quality, repair, repeats, scoring, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +127,11 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.report(rows, repair.edits(repair.strings(rows)))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id").cast("long"), F.col("label").cast("long")
     shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
@@ -139,7 +144,7 @@ QUERIES = {
     for f in (
         op1_minhash_dedup, op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_lm_score, op6_secret_scan,
         op7_substring_dedup, op8_packing, op9_license_scan, op10_quality_rules, op11_chat_formatting,
-        op13_hard_negatives,
+        op12_conversation_repair, op13_hard_negatives,
     )
 }
 
@@ -188,4 +193,71 @@ ORACLES = {
         WINDOW w AS (PARTITION BY n.anchor_id, positive_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 10
     """,
+    # crc32 bit by bit; then a state per (conversation, role pattern) over the rows; then the letters are read back against the rows.
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE crc AS MATERIALIZED (
+            SELECT k, xor(list_reduce(list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT), lambda h, c:
+                list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda x, i:
+                    CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(h, c)), 4294967295::BIGINT), 4294967295) % 20 AS kind
+            FROM (SELECT DISTINCT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)),
+        damaged AS MATERIALIZED (
+            SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+                   unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM conversations JOIN crc ON k = coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')),
+        rows AS MATERIALIZED (
+            SELECT coalesce(conv_id::VARCHAR, '') AS conv, turn, role, text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+                   lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) || role[1] AS pair,
+                   CASE WHEN rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'blank'
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+                        WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated'
+                        ELSE 'none' END AS fault
+            FROM damaged),
+        ins(a, b, cost, letters) AS (
+            VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (2, 3, 5, 'I'), (3, 2, 5, 'I'),
+                   (0, 3, 10, 'II'), (1, 3, 10, 'II')),
+        edit(a, b, initial, cost, letter) AS (
+            SELECT a, b, NULL::VARCHAR, 1, 'R' FROM (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) t(a, b)
+            UNION ALL SELECT a, a, NULL::VARCHAR, 2, 'D' FROM range(4) t(a)
+            UNION ALL VALUES (0, 1, 's', 0, 'K'), (0, 2, 'u', 0, 'K'), (1, 2, 'u', 0, 'K'), (3, 2, 'u', 0, 'K'), (2, 3, 'a', 0, 'K')),
+        moves AS MATERIALIZED (
+            SELECT i.a, e.b, initial, letter, i.cost + e.cost AS cost, letters || letter AS letters FROM ins i JOIN edit e ON i.b = e.a),
+        convs AS (SELECT DISTINCT coalesce(conv_id::VARCHAR, '') AS conv FROM conversations),
+        dp(conv, pos, state, best) AS (
+            SELECT conv, 0::BIGINT, 0::BIGINT, {'cost': 0::BIGINT, 'audit': ''} FROM convs
+            UNION ALL
+            SELECT dp.conv, r.pos, m.b::BIGINT, min({'cost': best.cost + m.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 5 ELSE 0 END,
+                                             'audit': best.audit || m.letters})
+            FROM dp JOIN rows r ON r.conv = dp.conv AND r.pos = dp.pos + 1
+                 JOIN moves m ON m.a = dp.state AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (initial IS NULL OR initial = role[1])
+            GROUP BY dp.conv, r.pos, m.b),
+        ends AS (
+            SELECT conv, min({'cost': best.cost + i.cost, 'audit': best.audit || i.letters}) AS best
+            FROM (SELECT * FROM dp QUALIFY pos = max(pos) OVER (PARTITION BY conv)) d JOIN ins i ON i.a = d.state AND i.b IN (0, 3)
+            GROUP BY conv),
+        letters AS (
+            SELECT conv, unnest(string_split(best.audit, '')) AS letter, generate_subscripts(string_split(best.audit, ''), 1) AS nr
+            FROM ends WHERE best.audit <> ''),
+        placed AS (
+            SELECT conv, letter, nr, count(*) FILTER (letter <> 'I') OVER w AS pos, count(*) FILTER (letter <> 'D') OVER w AS place
+            FROM letters WINDOW w AS (PARTITION BY conv ORDER BY nr)),
+        turns AS (
+            SELECT p.conv, nr, letter, place, r.role, coalesce(CASE WHEN letter <> 'I' THEN r.text END, '') AS text,
+                   max((place = 1 AND letter = 'K' AND r.role[1] = 's')::INT) OVER (PARTITION BY p.conv) AS led
+            FROM placed p LEFT JOIN rows r ON r.conv = p.conv AND r.pos = p.pos AND letter <> 'I' WHERE letter <> 'D'),
+        texts AS (
+            SELECT conv, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place + led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                    || ':' || text, chr(10) ORDER BY nr) AS repaired
+            FROM turns GROUP BY conv),
+        counts AS (
+            SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM rows GROUP BY conv)
+        SELECT nullif(conv, '')::BIGINT AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit,
+               sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM ends LEFT JOIN counts USING (conv) LEFT JOIN texts USING (conv)
+    """,
 }

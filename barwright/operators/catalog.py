@@ -78,27 +78,33 @@ def resolve_tickers(requested: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def prune_list(files: DataFrame, keep: int = 1, name: str = "name") -> DataFrame:
-    """The snapshot files to remove: all but the newest ``keep`` of every ticker.
+    """The snapshot files to remove: all but the newest ``keep`` of every ticker, in every ``folder`` if files have one.
 
-    Files whose name does not fit are never removed. The newest ones are found with a row-number limit, which
-    Spark applies before the shuffle; the rest of a ticker is then compared with its last kept file, so the
-    files of a ticker are never ranked in one place.
+    Newest are those with the latest time in their name; a name whose digits are no time comes after them, by the
+    file's ``modified`` time if there is one, and then by name. Files whose name does not fit are never removed. The newest ones
+    are found with a row-number limit, which Spark applies before the shuffle; the rest of a ticker is then compared with its last
+    kept file, so the files of a ticker are never ranked in one place.
     """
     keep = max(1, keep)
+    by = ["folder", "ticker"] if "folder" in files.columns else ["ticker"]
+    rest = [c for c in files.columns if c not in (name, "folder", "modified")]
+    never = F.lit("0001-01-01 00:00:00").cast("timestamp")
+    stamp = named_stamp(F.col(name))
+    modified = F.col("modified") if "modified" in files.columns else F.lit(None).cast("timestamp")
     ranked = files.filter(is_snapshot_name(F.col(name))).select(
-        name, named_ticker(F.col(name)).alias("ticker"), named_stamp(F.col(name)).alias("stamp")
-    )
-    ranked = ranked.withColumn("_at", F.coalesce("stamp", F.lit("0001-01-01 00:00:00").cast("timestamp")))
-    newest_first = Window.partitionBy("ticker").orderBy(F.desc("_at"), name)
+        *by[:-1], name, *rest, named_ticker(F.col(name)).alias("ticker"), stamp.alias("stamp"),
+        F.struct(stamp.isNotNull().alias("timed"), F.coalesce(stamp, modified, never).alias("at")).alias("_at"),
+    )
+    newest_first = Window.partitionBy(*by).orderBy(F.desc("_at"), name)
     last_kept = (
-        ranked.select("ticker", "_at", name)
+        ranked.select(*by, "_at", name)
         .withColumn("_rank", F.row_number().over(newest_first))
         .filter(F.col("_rank") <= keep)
         .filter(F.col("_rank") == keep)
-        .select("ticker", F.col("_at").alias("_cut"), F.col(name).alias("_cut_name"))
+        .select(*by, F.col("_at").alias("_cut"), F.col(name).alias("_cut_name"))
     )
     older = (F.col("_at") < F.col("_cut")) | ((F.col("_at") == F.col("_cut")) & (F.col(name) > F.col("_cut_name")))
-    return ranked.join(last_kept, "ticker").filter(older).select("ticker", "stamp", name)
+    return ranked.join(last_kept, by).filter(older).select(*by, "stamp", name, *rest)
 
 
 def purge_candidates(catalog: DataFrame, older_than_days: int, as_of: datetime) -> DataFrame:

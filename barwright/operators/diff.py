@@ -180,14 +180,34 @@ def file_cache_decisions(
 
     Without a TTL an entry is always fresh; with one, an entry whose time does not parse is stale.
     """
-    instant = F.lit(as_of) if isinstance(as_of, datetime) else as_of
     entry = processed.select("path", F.col("sha256").alias("_sha"), "processed_at")
-    age = F.unix_timestamp(instant.cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp("processed_at"))
-    fresh = F.lit(True) if ttl_seconds is None else F.coalesce(age < ttl_seconds, F.lit(False))
-    cached = F.coalesce(F.col("sha256") == F.col("_sha"), F.lit(False)) & fresh
+    cached = F.coalesce(F.col("sha256") == F.col("_sha"), F.lit(False)) & _fresh(as_of, ttl_seconds)
     return files.join(entry, "path", "left").select("path", "sha256", cached.alias("cached"))
 
 
+def _fresh(as_of: datetime | Column, ttl_seconds: float | None) -> Column:
+    if ttl_seconds is None:
+        return F.lit(True)
+    instant = F.lit(as_of) if isinstance(as_of, datetime) else as_of
+    age = F.unix_timestamp(instant.cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp("processed_at"))
+    return F.coalesce(age < ttl_seconds, F.lit(False))
+
+
+def listing_decisions(
+    listing: DataFrame, processed: DataFrame, as_of: datetime | Column, ttl_seconds: float | None = None
+) -> DataFrame:
+    """Per listed file ``(path, size_bytes, modified)``: whether a fresh entry of the same size and time exists, and its hash.
+
+    What this decides needs no look into the file; :func:`file_cache_decisions` decides the others by their hash.
+    """
+    entry = processed.select("path", F.col("size_bytes").alias("_size"), F.col("modified").alias("_modified"), "sha256", "processed_at")
+    same = (F.col("size_bytes") == F.col("_size")) & (F.col("modified") == F.col("_modified"))
+    cached = F.coalesce(same, F.lit(False)) & _fresh(as_of, ttl_seconds)
+    return listing.join(entry, "path", "left").select(
+        "path", "size_bytes", "modified", F.when(cached, F.col("sha256")).alias("sha256"), cached.alias("cached")
+    )
+
+
 def file_tickers(df: DataFrame, file: str = "file") -> DataFrame:
     """The single ticker of every file; ``ticker`` is null and ``ambiguous`` true where a file holds several.
 

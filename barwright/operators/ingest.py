@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barwright.functions.fingerprints import row_checksum
-from barwright.functions.paths import decoded_path, plain_path
+from barwright.functions.paths import plain_path
 from barwright.functions.tickers import lenient_ticker
 from barwright.operators.catalog import latest_per_ticker
 from barwright.operators.diff import (
@@ -20,14 +21,16 @@ from barwright.operators.diff import (
     date_bounds,
     file_cache_decisions,
     last_per_key,
+    listing_decisions,
     rows_to_refresh,
     ticker_fingerprints,
 )
 from barwright.operators.integrity import verify_sidecars
 from barwright.operators.quality import MALFORMED_LINE, Rule, annotate, valid_rows
-from barwright.schema import PRICES, names, struct_type
-from barwright.sources.files import file_hashes, sidecar_hashes, write_sidecars
-from barwright.sources.prices import INPUT_ORDER, read_price_csv, read_snapshot, write_snapshot
+from barwright.schema import PRICES, names
+from barwright.sources.files import file_facts, file_hashes, listed_files, sidecar_hashes, write_sidecars
+from barwright.sources.log import PROCESSED, ProcessedFiles
+from barwright.sources.prices import INPUT_ORDER, export_json, header_groups, read_generations, read_grouped_csv, read_snapshot, write_snapshot
 from barwright.sources.table import YearTable
 
 
@@ -84,17 +87,20 @@ def apply_changes(
     batch_id: int = -1,
     mode: str = "errorifexists",
     by: tuple[str, ...] = ("ticker",),
+    bounds: tuple | None = None,
 ) -> tuple[int, DataFrame]:
-    """Write the new and changed rows of a frame that is unique by key; returns version and counts per group.
+    """Write the new and changed rows of a frame in stored form and unique by key; returns version and counts per group.
 
     The compared rows are kept in ``folder``, split by what is to be done with them: the comparison runs once, and
-    the counts describe the state before the upsert. Only stored units in the incoming date range are listed.
+    the counts describe the state before the upsert. Only stored units in the incoming date range are listed; ``bounds``
+    gives that range where the caller knows it.
     """
-    low, high = date_bounds(incoming)
+    low, high = date_bounds(incoming) if bounds is None else bounds
     stored = table.read(start=low, end=high) if low is not None else table.read().limit(0)
     compared = staged(table.spark, classify(incoming, stored), f"{folder}/changes", mode, ("change_type",))
     changed = compared.filter("change_type != 'unchanged'")
-    return table.upsert(changed, source=source, batch_id=batch_id), change_counts(compared, by)
+    version = table.upsert(changed, source=source, batch_id=batch_id, prepared=True)
+    return version, change_counts(compared, by)
 
 
 def file_counts(checked: DataFrame, applied: DataFrame) -> DataFrame:
@@ -187,61 +193,130 @@ def create_snapshots(
     return sized.select(*entries.columns)
 
 
-def latest_snapshot_rows(spark: SparkSession, catalog: DataFrame, root: str) -> DataFrame:
-    """The rows of the latest live snapshot of every ticker, from the files below ``root``; ready for an export."""
-    live = catalog.filter(~F.coalesce("archived", F.lit(False)))
-    latest = latest_per_ticker(live).select(plain_path(F.col("snapshot_path")).alias("_folder"))
-    ordered = T.StructType(sorted(struct_type(PRICES).fields, key=lambda f: f.name))
-    files = (
-        spark.read.schema(ordered)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .csv(root, header=True)
-        .withColumn("_folder", F.regexp_replace(decoded_path(F.col("_metadata.file_path")), "/[^/]+$", ""))
-    )
-    return files.join(latest, "_folder", "left_semi").select(*names(PRICES))
+def latest_snapshots_of(catalog: DataFrame) -> DataFrame:
+    """``ticker, checksum, _ticker_folder, _generation`` of the latest live snapshot of every ticker."""
+    latest = latest_per_ticker(catalog.filter(~F.coalesce("archived", F.lit(False))))
+    path = plain_path(F.col("snapshot_path"))
+    return latest.select("ticker", "checksum", path.alias("_ticker_folder"), F.regexp_replace(path, "/[^/]+$", "").alias("_generation"))
+
+
+def latest_snapshot_rows(spark: SparkSession, catalog: DataFrame) -> DataFrame:
+    """The rows of the latest live snapshot of every ticker; ready for an export.
+
+    The catalog decides what is listed: only generations (folders of one run) that are the latest of some ticker. The driver holds
+    their names, one a run of :func:`create_snapshots`.
+    """
+    latest = latest_snapshots_of(catalog)
+    generations = sorted(r[0] for r in latest.select("_generation").distinct().collect())
+    rows = read_generations(spark, generations)
+    return rows.join(latest.select(F.col("_ticker_folder").alias("_folder")), "_folder", "left_semi").select(*names(PRICES))
+
+
+def latest_snapshot_json(spark: SparkSession, catalog: DataFrame, path: str) -> None:
+    """Export the latest snapshots as JSON documents, with the checksum that the catalog has for each."""
+    export_json(latest_snapshot_rows(spark, catalog), latest_snapshots_of(catalog), path)
+
+
+def _kept(processed: DataFrame | ProcessedFiles | None, spark: SparkSession) -> DataFrame:
+    """Entries of processed files with all columns; a plain frame of hashes knows no sizes and times."""
+    if isinstance(processed, ProcessedFiles):
+        return processed.newest()
+    columns = T.StructType.fromDDL(PROCESSED)
+    empty = spark.createDataFrame([], columns)
+    return empty if processed is None else processed.unionByName(empty, allowMissingColumns=True).select(*columns.names)
+
+
+def ingest_files(
+    spark: SparkSession,
+    listing: DataFrame,
+    table: YearTable,
+    processed: DataFrame | ProcessedFiles | None,
+    place: Callable[[str], str],
+    as_of: datetime,
+    run_id: str,
+    ttl_seconds: float | None = None,
+    source: str | None = None,
+    batch_id: int = -1,
+    mode: str = "errorifexists",
+) -> IngestResult:
+    """Ingest the files of ``listing(path, size_bytes, modified)``; every file is opened as late and as rarely as can be.
+
+    The listing decides which files an entry of the same size and time covers. The others are hashed, with their header, and
+    compared with their sidecars and with the entries' hashes. What is left is parsed once, each file by its own header.
+    Refused files, with the reason, and rows that are invalid stay below ``place(...)``.
+    """
+    known = _kept(processed, spark)
+    listed = staged(spark, listing_decisions(listing, known, as_of, ttl_seconds), place("listing"), mode)
+    unknown = [r["path"] for r in listed.filter("NOT cached").select("path").collect()]
+    report = listed.filter("cached").select("path", "size_bytes", "modified", "sha256", F.lit("cached").alias("decision"), F.lit(None).cast("string").alias("reason"))
+    groups: list = []
+    if unknown:
+        facts = staged(spark, file_facts(spark, unknown), place("facts"), mode)
+        names_of = F.concat(F.col("path"), F.lit(".checksum"))
+        folders = sorted({path.rsplit("/", 1)[0] for path in unknown})
+        beside = facts.select(names_of.alias("path")).join(listed_files(spark, folders, "*.checksum", recursive=False), "path", "left_semi")
+        sidecars = sidecar_hashes(spark, [r["path"] for r in beside.collect()])
+        verified = verify_sidecars(facts.filter("error IS NULL"), sidecars).select("path", "status")
+        cached = file_cache_decisions(facts.select("path", "sha256"), known, as_of, ttl_seconds).select("path", "cached")
+        decision = (
+            F.when(F.col("error").isNotNull(), "unreadable")
+            .when(F.col("status") == "mismatch", "bad_checksum")
+            .when(F.col("cached"), "cached")
+            .otherwise("ingest")
+        )
+        decided = facts.join(verified, "path", "left").join(cached, "path").withColumn("decision", decision)
+        decided = staged(spark, decided, place("decisions"), mode)
+        groups, refused = header_groups(decided.filter("decision = 'ingest'"))
+        headers = spark.createDataFrame(refused, "path string, reason string")
+        looked = decided.join(headers, "path", "left").select(
+            "path", "size_bytes", "modified", "sha256",
+            F.when(F.col("reason").isNotNull(), "bad_header").otherwise(F.col("decision")).alias("decision"),
+            F.coalesce("reason", "error").alias("reason"),
+        )
+        report = report.unionByName(looked)
+    raw = read_grouped_csv(spark, groups)
+    checked = checked_rows(raw, as_of).withColumn("is_valid", F.size("errors") == 0)
+    checked = staged(spark, checked, place("checked"), mode, by=("is_valid",))
+    # extremes of the tickers and of the dates: two values each, whatever the size of a file
+    per_file = checked.groupBy("_path").agg(
+        F.min("ticker").alias("_low"), F.max("ticker").alias("_high"),
+        F.min(F.when(F.col("is_valid"), F.col("date"))).alias("_from"), F.max(F.when(F.col("is_valid"), F.col("date"))).alias("_to"),
+    )
+    mixed = F.coalesce(F.col("_low") != F.col("_high"), F.lit(False))
+    per_file = staged(spark, per_file.withColumn("_mixed", mixed), place("extremes"), mode)
+    low, high = per_file.filter("NOT _mixed").agg(F.min("_from"), F.max("_to")).first()
+    single = checked.filter("is_valid").join(per_file.filter("_mixed").select("_path"), "_path", "left_anti")
+    rows = last_input_rows(finished_rows(single, INPUT_ORDER))
+    version, counts = apply_changes(table, rows, place("applied"), source, batch_id, mode, ("_path",), (low, high))
+    several = per_file.filter("_mixed").select(F.col("_path").alias("path"), F.lit(True).alias("_several"))
+    report = report.join(several, "path", "left").withColumn("decision", F.when(F.col("_several"), "several_tickers").otherwise(F.col("decision")))
+    taken = checked.join(per_file.filter("_mixed").select("_path"), "_path", "left_anti")
+    counted = report.drop("_several").join(file_counts(taken, counts), "path", "left").na.fill(0)
+    counted = staged(spark, counted, place("files"), mode)
+    if isinstance(processed, ProcessedFiles):
+        processed.record(run_id, processed_entries(counted, as_of))
+    return IngestResult(version, counted)
 
 
 def ingest_csv_folder(
     spark: SparkSession,
     folder: str,
     table: YearTable,
-    processed: DataFrame,
+    processed: DataFrame | ProcessedFiles,
     work: str,
     as_of: datetime,
     ttl_seconds: float | None = None,
 ) -> IngestResult:
-    """Ingest the CSV files of a folder: sidecars first, then the file cache, then diff and upsert.
+    """Ingest the CSV files of a folder: file cache, sidecars and headers first, then diff and upsert.
 
-    Files whose sidecar does not fit, or that hold several tickers, are refused and stay in the report. A file
-    that the cache covers is skipped. The report has, per file, ``path, sha256, decision`` and the counts of
-    :func:`file_counts`; invalid rows and malformed lines stay below ``work`` (:func:`quarantined_file_rows`). ``work`` must
-    be new.
+    The report has, per file, ``path, size_bytes, modified, sha256, decision, reason`` and the counts of :func:`file_counts`. Decisions:
+    ``ingest``, ``cached``, and for refused files ``bad_checksum``, ``bad_header``, ``several_tickers`` and ``unreadable``. A
+    :class:`ProcessedFiles` takes the files that were ingested, so that the next run over the folder opens none of them; a plain frame
+    ``path, sha256, processed_at`` is only read. Invalid rows and malformed lines stay below ``work``
+    (:func:`quarantined_file_rows`), which must be new.
     """
-    verified = verify_sidecars(file_hashes(spark, folder, "*.csv"), sidecar_hashes(spark, folder))
-    cached = file_cache_decisions(verified.select("path", "sha256"), processed, as_of, ttl_seconds)
-    raw = read_price_csv(spark, folder).drop("file")
-    given = F.nullif(lenient_ticker(F.col("ticker")), F.lit(""))
-    tickers = raw.groupBy("_path").agg(F.min(given).alias("_low"), F.max(given).alias("_high"))
-    decision = (
-        F.when(F.col("status") == "mismatch", "bad_checksum")
-        .when(F.col("cached"), "cached")
-        .when(F.coalesce(F.col("_low") != F.col("_high"), F.lit(False)), "several_tickers")
-        .otherwise("ingest")
-    )
-    files = (
-        verified.join(cached.select("path", "cached"), "path")
-        .join(tickers.withColumnRenamed("_path", "path"), "path", "left")
-        .select("path", "sha256", decision.alias("decision"))
-    )
-    report = staged(spark, files, f"{work}/files")
-    wanted = report.filter("decision = 'ingest'").select(F.col("path").alias("_path"))
-    checked = checked_rows(raw.join(wanted, "_path", "left_semi"), as_of).withColumn("is_valid", F.size("errors") == 0)
-    checked = staged(spark, checked, f"{work}/checked", by=("is_valid",))
-    rows = last_input_rows(finished_rows(checked.filter("is_valid"), INPUT_ORDER))
-    version, counts = apply_changes(table, staged(spark, rows, f"{work}/rows"), work, by=("_path",))
-    counted = report.join(file_counts(checked, counts), "path", "left")
-    return IngestResult(version, counted.na.fill(0))
+    listing = listed_files(spark, folder, "*.csv")
+    return ingest_files(spark, listing, table, processed, lambda kind: f"{work}/{kind}", as_of, work, ttl_seconds)
 
 
 def quarantined_file_rows(spark: SparkSession, work: str) -> DataFrame:
@@ -250,7 +325,6 @@ def quarantined_file_rows(spark: SparkSession, work: str) -> DataFrame:
 
 
 def processed_entries(report: DataFrame, as_of: datetime) -> DataFrame:
-    """File-cache entries for the files of a report that were ingested."""
-    return report.filter("decision = 'ingest'").select(
-        "path", "sha256", F.lit(as_of.isoformat()).alias("processed_at")
-    )
+    """File-cache entries for the files of a report that are done: ingested, or known by their hash."""
+    done = report.filter("decision IN ('ingest', 'cached')")
+    return done.select("path", "size_bytes", "modified", "sha256", F.lit(as_of.isoformat()).alias("processed_at"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barwright.functions.paths import plain_path
+from barwright.schema import Field
+from barwright.sources.files import file_facts, listed_files
+from barwright.sources.prices import header_groups, read_grouped_csv
+
 
 def compare_manifests(expected: DataFrame, current: DataFrame) -> DataFrame:
     """``path, status`` for files that are changed, missing or unexpected."""
@@ -64,14 +69,22 @@ def integrity_totals(verified: DataFrame) -> DataFrame:
 RESTORE_COLUMNS = ("ticker", "date", "open", "high", "low", "close", "volume", "adj_close")
 
 
+def _present(columns: Column) -> Column:
+    """Whether an array of column names can be restored; a missing adjusted close is taken from the close."""
+    given = F.when(F.array_contains(columns, "close"), F.array_append(columns, F.lit("adj_close"))).otherwise(columns)
+    return F.size(F.array_except(F.array(*(F.lit(c) for c in RESTORE_COLUMNS)), given)) == 0
+
+
 def restore_checks(rows: DataFrame, metadata: DataFrame, hashes: DataFrame, file: str = "file") -> DataFrame:
     """Verdict per snapshot file: PASS, WARN (only the checksum differs) or FAIL, with the four checks.
 
     ``rows`` are the rows of all files with the file name, ``metadata`` is ``file, expected_rows, checksum`` of the
-    catalog and ``hashes`` is ``file, sha256``. The row count passes when every (ticker, date) of the file could
+    catalog and ``hashes`` is ``file, sha256``, with ``columns``, the names in each file's own header, where the files were read
+    by these; otherwise the columns are those of ``rows``. The row count passes when every (ticker, date) of the file could
     be restored once. Counts form per key first, so neither a large file nor a repeated key is gathered.
     """
-    present = set(RESTORE_COLUMNS) <= {*rows.columns, *(("adj_close",) if "close" in rows.columns else ())}
+    if "columns" not in hashes.columns:
+        hashes = hashes.withColumn("columns", F.array(*(F.lit(c) for c in rows.columns)))
     per_key = rows.groupBy(file, "ticker", "date").agg(F.count("*").alias("_n"))
     null_key = F.col("ticker").isNull() | F.col("date").isNull()
     per_file = per_key.groupBy(file).agg(
@@ -82,7 +95,7 @@ def restore_checks(rows: DataFrame, metadata: DataFrame, hashes: DataFrame, file
         F.max(F.struct("date", "ticker")).alias("_last"),
     )
     joined = (
-        hashes.select(file, "sha256")
+        hashes.select(file, "sha256", F.coalesce(_present(F.col("columns")), F.lit(False)).alias("_present"))
         .join(per_file, file, "left")
         .join(metadata.select(file, "checksum", "expected_rows"), file, "left")
     )
@@ -92,14 +105,14 @@ def restore_checks(rows: DataFrame, metadata: DataFrame, hashes: DataFrame, file
     ends = (restored > 0) & F.col("_first.date").isNotNull() & F.col("_last.date").isNotNull()
 
     def verdict(ok: Column) -> Column:
-        return F.when(F.coalesce(ok, F.lit(False)) & F.lit(present), "pass").otherwise("fail")
+        return F.when(F.coalesce(ok, F.lit(False)) & F.col("_present"), "pass").otherwise("fail")
 
     known = F.coalesce("checksum", F.lit("")) != ""
     match = F.when(known & (F.col("checksum") == F.col("sha256")), "pass").otherwise("fail")
     checked = joined.select(
         file,
         restored.alias("rows_restored"),
-        F.lit("pass" if present else "fail").alias("columns_present"),
+        F.when(F.col("_present"), "pass").otherwise("fail").alias("columns_present"),
         verdict(counted).alias("row_count"),
         verdict(ends).alias("sample_row_check"),
         match.alias("checksum_match"),
@@ -116,6 +129,50 @@ def restore_checks(rows: DataFrame, metadata: DataFrame, hashes: DataFrame, file
     return checked.select("*", overall.alias("overall"), code.alias("exit_code")).drop("_known")
 
 
+# Reasons why a file is not restorable, beside its four checks.
+MISSING_FILE, UNREADABLE = "file is missing", "file cannot be read"
+
+
+def verify_restores(spark: SparkSession, catalog: DataFrame, root: str, folder: str) -> DataFrame:
+    """Verdict per catalog row ``id, snapshot_path, rows, checksum`` from its file below ``root``, restored row by row.
+
+    ``id, path, rows_restored``, the four checks of :func:`restore_checks`, ``overall``, ``exit_code`` and ``reason``. Each file is
+    hashed with its header, then parsed by that header, so that the columns of one file say nothing about another. Lines that do
+    not fit their header cannot be restored. A file that is missing, or cannot be read, fails. ``folder`` must be new; it keeps
+    the facts of the files.
+    """
+    wanted = catalog.filter("snapshot_path IS NOT NULL").select(
+        "id", plain_path(F.col("snapshot_path")).alias("path"), F.col("rows").alias("expected_rows"), "checksum"
+    )
+    listing = listed_files(spark, root).join(wanted.select("path"), "path", "left_semi")
+    paths = [r["path"] for r in listing.select("path").collect()]
+    schema = "path string, size_bytes long, modified timestamp, sha256 string, header string, error string"
+    facts = file_facts(spark, paths) if paths else spark.createDataFrame([], schema)
+    facts.write.parquet(f"{folder}/facts")
+    facts = spark.read.schema(facts.schema).parquet(f"{folder}/facts")
+    groups, refused = header_groups(facts.filter("error IS NULL"), needed=())
+    fields = tuple(Field(c, "string", True) for c in RESTORE_COLUMNS)
+    rows = read_grouped_csv(spark, groups, fields).withColumnRenamed("_path", "path")
+    # a line that does not fit has no key that could be restored
+    rows = rows.withColumns({c: F.when(F.col("_corrupt").isNull(), F.col(c)) for c in ("ticker", "date")})
+    columns = F.transform(F.split("header", ","), lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))
+    hashes = facts.select("path", "sha256", columns.alias("columns"))
+    checks = restore_checks(rows, wanted, hashes, "path")
+    strange = spark.createDataFrame(refused, "path string, _reason string")
+    found = wanted.select("id", "path").join(checks, "path", "left").join(strange, "path", "left")
+    found = found.join(facts.select("path", "error"), "path", "left")
+    fallen = {c: F.coalesce(c, F.lit("fail")) for c in ("columns_present", "row_count", "sample_row_check", "checksum_match")}
+    reason = (
+        F.when(F.col("columns_present").isNull(), MISSING_FILE)
+        .when(F.col("error").isNotNull(), UNREADABLE)
+        .otherwise(F.col("_reason"))
+    )
+    return found.select(
+        "id", "path", F.coalesce("rows_restored", F.lit(0)).alias("rows_restored"), *(v.alias(c) for c, v in fallen.items()),
+        F.coalesce("overall", F.lit("FAIL")).alias("overall"), F.coalesce("exit_code", F.lit(2)).alias("exit_code"), reason.alias("reason"),
+    )
+
+
 def end_rows_exist(rows: DataFrame, store: DataFrame, file: str = "file") -> DataFrame:
     """Per file: whether the keys of its first and last row exist in the store."""
     ends = rows.groupBy(file).agg(

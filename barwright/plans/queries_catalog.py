@@ -17,13 +17,17 @@ from barwright.operators.catalog import (
     resolve_tickers,
 )
 from barwright.operators.integrity import (
+    RESTORE_COLUMNS,
     compare_manifests,
     end_rows_exist,
     integrity_totals,
     restore_checks,
     verify_catalog,
+    verify_restores,
     verify_sidecars,
 )
+from barwright.operators.audit import AuditLog, feed_problem_events, invalid_row_events, job_events, save_raw
+from barwright.operators.diff import concat
 from barwright.operators.quality import annotate, invalid_rows, validation_events
 from barwright.operators.retention import (
     apply_repairs,
@@ -31,21 +35,27 @@ from barwright.operators.retention import (
     archive_totals,
     delete,
     mark_archived,
+    prune,
     purge,
     repair_plan,
 )
 from barwright.operators.stats import rows_summary
 from barwright.plans import views
+from barwright.plans.queries_quality import ERRORS_SQL
 from barwright.plans.registry import query
 from barwright.schema import JOB_LOG, struct_type
 from barwright.session import scratch_dir
 from barwright.sources.files import (
+    copy_files,
+    file_facts,
     file_hashes,
+    listed_files,
     load_manifest,
     manifest_lines,
     read_manifest,
     relative_to,
     write_manifest,
+    write_sidecars,
 )
 from barwright.sources.prices import (
     export_csv,
@@ -151,6 +161,33 @@ def files_to_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prune_list(files.select(basename(F.col("snapshot_path")).alias("name")), keep=2).select("name", "ticker")
 
 
+@query(
+    "pruned_snapshots",
+    """SELECT ticker, 3 AS removed, '20240105T000000Z,20240106T000000Z' AS kept, 2 AS sidecars, 0 AS again FROM (SELECT DISTINCT ticker FROM stored)""",
+    ("stored",),
+)
+def pruned_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five snapshot files a ticker, one of them named by no calendar time; the two newest stay, and a second run removes nothing."""
+    folder = scratch_dir(spark, "prune")
+    write_snapshot(views.stored(spark, sf_dir), f"{folder}/first", rows_per_file=0)
+    ticker = F.regexp_extract("path", "_ticker=([^/]+)/", 1)
+    source = listed_files(spark, f"{folder}/first", "*.csv").groupBy(ticker.alias("ticker")).agg(F.min("path").alias("path"))
+    stamps = F.array(*(F.lit(s) for s in ("20240104T000000Z", "20240106T000000Z", "20240103T000000Z-late", "20249999T000000Z", "20240105T000000Z")))
+    target = F.concat(F.lit(f"{folder}/snapshots/"), "ticker", F.lit("-"), F.col("stamp"), F.lit(".csv"))
+    plan = source.withColumn("stamp", F.explode(stamps)).select("path", target.alias("target"))
+    copy_files(plan).write.parquet(f"{folder}/copied")
+    write_sidecars(file_hashes(spark, f"{folder}/snapshots", "*.csv")).write.parquet(f"{folder}/sidecars")
+    outcomes = [prune(spark, f"{folder}/snapshots", 2, f"{folder}/report") for _ in range(2)]
+    removed, again = (o.groupBy("ticker").agg(F.count_if("deleted").cast("int").alias(n)) for o, n in zip(outcomes, ("removed", "again"), strict=True))
+    left = listed_files(spark, f"{folder}/snapshots").select(basename(F.col("path")).alias("name"))
+    named = F.substring_index("name", "-", 1).alias("ticker")
+    data = F.when(F.col("name").endswith(".csv"), F.regexp_extract("name", "-(.*)[.]csv$", 1))
+    left = left.groupBy(named).agg(
+        F.array_join(F.array_sort(F.collect_list(data)), ",").alias("kept"), F.count_if(F.col("name").endswith(".checksum")).cast("int").alias("sidecars")
+    )
+    return removed.join(left, "ticker").join(again, "ticker", "left").na.fill(0).select("ticker", "removed", "kept", "sidecars", "again")
+
+
 @query(
     "purge_candidates",
     f"""SELECT id, snapshot_path AS path, ticker, strftime(created_at, '%Y-%m-%d') AS created_at, size_bytes, checksum
@@ -402,6 +439,51 @@ def validation_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("provider").agg(F.sum(F.size("error_details")).alias("invalid_rows"))
 
 
+AUDIT_SQL = """SELECT 'raw_pull' AS kind, 'pull-1' AS job_id, provider, NULL AS ticker, NULL AS reason, count(*) AS rows, 0 AS invalid_count,
+    0 AS errors, 'success' AS status, true AS named, true AS checked FROM raw_quotes GROUP BY provider
+  UNION ALL SELECT 'invalid_rows', 'check-1', provider, NULL, reason_code, 0, 0, count(*), 'error', true, true FROM ({errors}) GROUP BY provider, reason_code
+  UNION ALL SELECT 'invalid_rows', 'check-1', provider, NULL, NULL, 0, count(DISTINCT feed_row), 0, 'error', true, true FROM ({errors}) GROUP BY provider
+  UNION ALL SELECT 'feed_problem', 'feed-1', 'gamma', 'S0000001', 'ADAPTER_VALIDATION', 0, 0, 2, 'error', false, true
+  UNION ALL SELECT 'job', job_id, source, ticker, error_message, rows, 0, 0, status, false, true FROM job_log"""
+
+
+@query("audit_events", AUDIT_SQL.format(errors=ERRORS_SQL), ("typed", "raw_quotes", "job_log"))
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pulls, invalid rows, a refused feed and jobs in one log; every job is recorded twice and is there once.
+
+    ``named`` says whether the event names its file, ``checked`` whether that file's bytes have the event's hash.
+    """
+    folder = scratch_dir(spark, "audit")
+    log = AuditLog(spark, f"{folder}/log")
+    for _ in range(2):
+        raw = save_raw(spark, views.raw_quotes(spark, sf_dir), f"{folder}/raw", "20240131T000000Z", "pull-1", views.FETCHED, by=("provider",))
+        log.record("pull-1", raw)
+        file = F.concat(F.lit(f"{folder}/raw/provider="), "provider")
+        quotes = annotate(views.quotes(spark, sf_dir))
+        log.record("check-1", invalid_row_events(quotes, "check-1", views.FETCHED, "feed_row", file, file, ("provider",), 100))
+        refused = views.bars(spark, sf_dir).select("ticker", "open", "high", "low", "close", "volume").limit(0)
+        log.record("feed-1", feed_problem_events(spark, refused.withColumn("date", F.lit(1)), "feed-1", views.FETCHED, "gamma", "S0000001"))
+        log.record("jobs-1", job_events(views.job_log(spark, sf_dir), views.FETCHED))
+    events = log.read()
+    now = file_facts(spark, f"{folder}/raw", "*.csv").select(F.col("path").alias("raw_file"), F.col("sha256").alias("now"))
+    events = events.join(now, "raw_file", "left").withColumn("checked", F.coalesce(F.col("now") == F.col("file_checksum"), F.lit(True)))
+    named = F.coalesce(F.col("raw_file") != "", F.lit(False))
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    shared = ("kind", "job_id", "provider")
+    pulls = events.filter("kind = 'raw_pull'").groupBy(*shared, "status").agg(
+        F.max("rows").alias("rows"), F.bool_and(named).alias("named"), F.bool_and("checked").alias("checked")
+    )  # a large feed has several files
+    details = events.filter("kind IN ('invalid_rows', 'feed_problem')").select(*shared, "ticker", "status", named.alias("named"), F.explode("error_details").alias("d"))
+    errors = details.groupBy(*shared, "ticker", "status", "named", F.col("d.reason_code").alias("reason")).agg(F.count("*").alias("errors"))
+    invalid = events.filter("kind = 'invalid_rows'").groupBy(*shared, "status").agg(F.max("invalid_count").alias("invalid_count"), F.bool_and(named).alias("named"))
+    jobs = events.filter("kind = 'job'").select(*shared, "ticker", F.col("error_message").alias("reason"), "rows", "status", named.alias("named"))
+    columns = {"ticker": none, "reason": none, "rows": zero, "invalid_count": zero, "errors": zero, "checked": F.lit(True)}
+    order = (*shared, "ticker", "reason", "rows", "invalid_count", "errors", "status", "named", "checked")
+    return concat(*(
+        df.withColumns({c: v for c, v in columns.items() if c not in df.columns}).select(*order) for df in (pulls, errors, invalid, jobs)
+    ))
+
+
 @query(
     "job_log_round_trip",
     """SELECT job_id, ticker, source, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, rows, error_message
@@ -447,6 +529,53 @@ def restore_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.select("file", "rows_restored", "row_count", "checksum_match", "overall", "exit_code")
 
 
+def damaged_snapshots(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The catalog of snapshot files, and a damaged copy of them below ``copy``: the paths are those of the copy.
+
+    By ticker: a whole copy, a key that is there twice, other bytes for the same rows, a lost column, a lost file.
+    """
+    kind = F.expr("cast(substr(ticker, 2) as bigint) % 5")
+    rows = views.canonical(views.bars(spark, sf_dir)).withColumn("adj_close", F.col("close"))
+
+    def write(df: DataFrame, name: str, columns: tuple[str, ...] = RESTORE_COLUMNS, **options: str) -> None:
+        chosen = df.select(F.col("ticker").alias("_t"), *columns)
+        ordered = chosen.repartition("_t").sortWithinPartitions("_t", "date")
+        ordered.write.mode("append").partitionBy("_t").options(header="true", **options).csv(f"{folder}/{name}")
+
+    write(rows, "first")
+    first = rows.groupBy("ticker").agg(F.min("date").alias("date"))
+    again = rows.join(first, ["ticker", "date"]).filter(kind == 1).select(*rows.columns)
+    write(rows.filter(kind.isin(0, 1)).unionByName(again), "copy")
+    write(rows.filter(kind == 2), "copy", quoteAll="true")
+    write(rows.filter(kind == 3), "copy", tuple(c for c in RESTORE_COLUMNS if c != "volume"))
+    ticker = F.regexp_extract("path", "_t=([^/]+)/", 1)
+    known = file_facts(spark, f"{folder}/first", "*.csv").select(ticker.alias("ticker"), "sha256")
+    copies = listed_files(spark, f"{folder}/copy", "*.csv").select(ticker.alias("ticker"), F.col("path").alias("snapshot_path"))
+    counts = rows.groupBy("ticker").agg(F.count("*").alias("rows"))
+    lost = F.concat(F.lit(f"{folder}/copy/_t="), "ticker", F.lit("/lost.csv"))
+    return known.join(copies, "ticker", "left").join(counts, "ticker").select(
+        F.concat(F.lit("snap-"), "ticker").alias("id"), F.coalesce("snapshot_path", lost).alias("snapshot_path"),
+        (F.col("rows") + (kind == 1).cast("int")).alias("rows"), F.col("sha256").alias("checksum"),
+    )
+
+
+@query(
+    "verified_restores",
+    """SELECT 'snap-' || ticker AS id, CASE WHEN n = 4 THEN 0 ELSE c + CASE WHEN n = 1 THEN 1 ELSE 0 END END AS rows_restored,
+      CASE WHEN n IN (3, 4) THEN 'fail' ELSE 'pass' END AS columns_present, CASE WHEN n IN (1, 3, 4) THEN 'fail' ELSE 'pass' END AS row_count,
+      CASE WHEN n IN (3, 4) THEN 'fail' ELSE 'pass' END AS sample_row_check, CASE WHEN n = 0 THEN 'pass' ELSE 'fail' END AS checksum_match,
+      CASE WHEN n = 0 THEN 'PASS' WHEN n = 2 THEN 'WARN' ELSE 'FAIL' END AS overall,
+      CASE WHEN n = 0 THEN 0 WHEN n = 2 THEN 1 ELSE 2 END AS exit_code, CASE WHEN n = 4 THEN 'file is missing' END AS reason
+      FROM (SELECT ticker, CAST(substr(ticker, 2) AS BIGINT) % 5 AS n, count(*) AS c FROM bars GROUP BY ticker)""",
+    ("bars",),
+)
+def verified_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot files are written, cataloged, damaged and restored; every verdict comes from the file itself."""
+    folder = scratch_dir(spark, "restore")
+    catalog = damaged_snapshots(spark, sf_dir, folder)
+    return verify_restores(spark, catalog, f"{folder}/copy", f"{folder}/work").drop("path")
+
+
 @query(
     "end_rows_in_store",
     """SELECT ticker AS file, max(date) < DATE '1999-01-01' AS ends_exist FROM bars GROUP BY ticker""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.operators.catalog import head_sample, last_rows
-from barwright.operators.correlation import correlation_matrix, pair_statistics
+from barwright.operators.correlation import correlation_matrix, merged_sums, origins, pair_statistics, pair_sums, statistics_of
 from barwright.operators.joblog import log_metrics, search_log
 from barwright.operators.mapping import rename_migration, returns_view, with_adjusted_close
 from barwright.operators.portfolio import equal_weight_portfolio, equal_weights
@@ -19,13 +19,17 @@ from barwright.operators.returns import (
     linear_return,
     log_return,
     log_returns,
+    return_series,
     returns_job_log,
     simple_returns,
 )
 from barwright.operators.stats import annualized, period_statistics, row_totals, rows_summary
 from barwright.plans import views
 from barwright.plans.registry import query
+from barwright.schema import RETURN_KEY, RETURNS, Field
+from barwright.session import scratch_dir
 from barwright.sources.prices import last_days, read_prices
+from barwright.sources.table import YearTable
 
 RETURNS_SQL = """SELECT ticker, date, p / prev - 1 AS return_value FROM (
   SELECT ticker, date, close AS p, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM {bars})
@@ -170,10 +174,37 @@ def query_log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("bars",),
 )
 def query_cumulative_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grown = cumulative_returns(simple_returns(views.bars(spark, sf_dir)))
+    """Returns and what they add up to, in one pass; a row without a return has no place here."""
+    series = return_series(views.bars(spark, sf_dir)).filter("return_value IS NOT NULL")
+    return rounded(series.select("ticker", "date", "cumulative_return"), "cumulative_return")
+
+
+@query(
+    "returns_accumulated",
+    f"""SELECT ticker, date, round(product(1 + return_value) OVER (PARTITION BY ticker ORDER BY date
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 6) AS cumulative_return
+      FROM ({RETURNS_SQL.format(bars='stored')})""",
+    ("stored",),
+)
+def returns_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accumulated return of returns that are there already."""
+    grown = cumulative_returns(simple_returns(views.stored(spark, sf_dir)))
     return rounded(grown.select("ticker", "date", "cumulative_return"), "cumulative_return")
 
 
+@query(
+    "return_series",
+    f"""SELECT ticker, date, round(CASE WHEN prev <> 0 THEN p / prev - 1 END, 6) AS return_value, round(r, 6) AS log_return,
+      round(product(CASE WHEN prev <> 0 THEN p / prev ELSE 1 END) OVER (PARTITION BY ticker ORDER BY date
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 6) AS cumulative_return
+      FROM (WITH {FILLED_SQL} SELECT * FROM pairs) JOIN ({LOG_SQL.format(bars='gappy')}) l USING (ticker, date)""",
+    ("gappy",),
+)
+def query_return_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three returns of prices with missing and zero values, in one pass."""
+    return rounded(return_series(views.gappy(spark, sf_dir)), "return_value", "log_return", "cumulative_return")
+
+
 @query(
     "intraday_returns",
     """SELECT ticker, date, round(close / open - 1, 6) AS linear, round(ln(close / open), 6) AS logarithmic FROM bars""",
@@ -231,7 +262,7 @@ PAIRS_SQL = f"""SELECT a.ticker AS ticker_a, b.ticker AS ticker_b, count(*) AS n
 )
 def return_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     returns = simple_returns(views.bars(spark, sf_dir))
-    return rounded(correlation_matrix(returns, block=64), "correlation")
+    return rounded(correlation_matrix(returns), "correlation")
 
 
 @query(
@@ -256,28 +287,67 @@ def query_equal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "equal_weight_portfolio",
-    f"""WITH r AS (SELECT * FROM ({RETURNS_SQL.format(bars='event_bars')})
-        WHERE date <= DATE '2024-01-30' AND date > DATE '2024-01-10'),
+    "correlation_of_added_years",
+    f"SELECT ticker_a, ticker_b, n AS days, round(cor, 6) AS correlation, round(cov, 4) AS covariance FROM ({PAIRS_SQL})",
+    ("bars",),
+)
+def correlation_of_added_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums of early years are stored; a later year is summed alone and added."""
+    returns = simple_returns(views.bars(spark, sf_dir))
+    folder = scratch_dir(spark, "sums")
+    early, late = returns.filter("date < DATE '1997-01-01'"), returns.filter("date >= DATE '1997-01-01'")
+    first = origins(returns)
+    first.write.parquet(f"{folder}/origins")
+    kept = spark.read.schema(first.schema).parquet(f"{folder}/origins")
+    pair_sums(early, block=64, origin=kept).write.parquet(f"{folder}/sums")
+    stored = spark.read.parquet(f"{folder}/sums")
+    pairs = statistics_of(merged_sums(stored, pair_sums(late, origin=kept)))
+    return pairs.select("ticker_a", "ticker_b", "days", F.round("correlation", 6).alias("correlation"), F.round("covariance", 4).alias("covariance"))
+
+
+def portfolio_sql(bars: str, settings: str, condition: str) -> str:
+    point = "ticker || '|' || strftime(date, '%Y-%m-%d') || '|' || CAST(CAST(round(return_value, 10) AS DECIMAL(28,10)) AS VARCHAR)"
+    words = " || ',' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {8 * i + 1}, 8)) AS BIGINT)) AS VARCHAR)" for i in range(8))
+    return f"""SELECT * FROM (WITH r AS (SELECT * FROM ({RETURNS_SQL.format(bars=bars)}) WHERE {condition}),
       m AS (SELECT ticker, avg(return_value) AS m FROM r GROUP BY ticker),
       c AS (SELECT sum(c) AS c FROM (SELECT covar_samp(a.return_value, b.return_value) AS c FROM r a JOIN r b
-        ON a.date = b.date GROUP BY a.ticker, b.ticker)),
+        ON a.date = b.date GROUP BY a.ticker, b.ticker HAVING count(*) > 1)),
+      f AS (SELECT sha256(CAST(count(*) AS VARCHAR) || ',' || {words}) AS f FROM (SELECT sha256({point}) AS h FROM r)),
       p AS (SELECT count(*) AS n, avg(m) * 252 AS e FROM m)
-      SELECT n AS tickers, round(1.0 / n, 6) AS weight, round(e, 4) AS expected_return,
+      SELECT sha256('{settings}|' || f) AS run_id, n AS tickers, round(1.0 / n, 6) AS weight, round(e, 4) AS expected_return,
         round(sqrt(c / (n * n) * 252), 4) AS volatility, round(e / sqrt(c / (n * n) * 252), 4) AS sharpe
-      FROM p, c""".replace("WITH r AS", "SELECT * FROM (WITH r AS", 1) + ")",
-    ("event_bars",),
-)
-def query_equal_weight_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    returns = simple_returns(views.event_bars(spark, sf_dir))
-    portfolio = equal_weight_portfolio(returns, date(2024, 1, 30), lookback_days=20)
+      FROM p, c, f)"""
+
+
+def shown_portfolio(portfolio: DataFrame) -> DataFrame:
     return portfolio.select(
+        "run_id",
         "tickers",
         F.round("weight", 6).alias("weight"),
         *(F.round(c, 4).alias(c) for c in ("expected_return", "volatility", "sharpe")),
     )
 
 
+@query(
+    "equal_weight_portfolio",
+    portfolio_sql("event_bars", "equal|2024-01-30|20|252", "date <= DATE '2024-01-30' AND date > DATE '2024-01-10'"),
+    ("event_bars",),
+)
+def query_equal_weight_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returns = simple_returns(views.event_bars(spark, sf_dir))
+    return shown_portfolio(equal_weight_portfolio(returns, date(2024, 1, 30), lookback_days=20))
+
+
+@query(
+    "portfolio_of_all_tickers",
+    portfolio_sql("bars", "equal|1998-08-01|None|252", "date <= DATE '1998-08-01'"),
+    ("bars",),
+)
+def portfolio_of_all_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tickers of the table, each with dates of its own."""
+    return shown_portfolio(equal_weight_portfolio(simple_returns(views.bars(spark, sf_dir)), date(1998, 8, 1)))
+
+
 @query(
     "prices_in_range",
     """SELECT ticker, date, close, volume FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""",
@@ -373,6 +443,23 @@ def query_rename_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rename_migration(returns_view(old), "return", "return_value")
 
 
+@query(
+    "migrated_returns",
+    f"""SELECT ticker, date, round(return_value, 6) AS "return", 'daily' AS return_type, 'kept' AS note, round(return_value, 6) AS before
+      FROM ({RETURNS_SQL.format(bars='bars')})""",
+    ("bars",),
+)
+def migrated_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table whose column is renamed and which gains another; the version before it is still read by its own columns."""
+    table = YearTable(spark, f"{scratch_dir(spark, 'migrate')}/returns", RETURNS, RETURN_KEY)
+    returns = rounded(compute_returns(views.bars(spark, sf_dir), views.FETCHED), "return_value")
+    first = table.upsert(returns)
+    renamed = [Field("return", f.kind, f.nullable) if f.name == "return_value" else f for f in RETURNS]
+    table.migrate((*renamed, Field("note", "string")), lambda rows: rename_migration(rows, "return_value", "return").withColumn("note", F.lit("kept")))
+    old = table.read(version=first).select("ticker", "date", F.col("return_value").alias("before"))
+    return table.read().join(old, ["ticker", "date"], "full_outer").select("ticker", "date", "return", "return_type", "note", "before")
+
+
 METRICS_SQL = """count(*) AS jobs, round(avg(date_diff('second', started_at, finished_at)), 4) AS mean_latency,
   round(avg(CASE WHEN status = 'error' THEN 1 ELSE 0 END), 6) AS error_rate, CAST(sum(rows) AS BIGINT) AS rows_fetched
   FROM job_log"""

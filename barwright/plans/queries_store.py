@@ -31,14 +31,17 @@ from barwright.operators.ingest import (
     create_snapshots,
     ingest_csv_folder,
     ingest_snapshot,
+    latest_snapshot_json,
     latest_snapshot_rows,
 )
 from barwright.operators.integrity import verify_sidecars
+from barwright.operators.prints import TablePrints
 from barwright.plans import views
 from barwright.plans.registry import query
 from barwright.schema import PRICES, names
 from barwright.session import scratch_dir
 from barwright.sources.files import file_hashes, sidecar_hashes
+from barwright.sources.log import ProcessedFiles
 from barwright.sources.prices import export_csv
 from barwright.sources.table import YearTable
 from barwright.streaming.ingest import start_ingest
@@ -193,6 +196,32 @@ def query_ticker_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticker_fingerprints(views.stored(spark, sf_dir))
 
 
+@query("table_fingerprints", prints_sql("merged"), ("merged",))
+def table_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of a stored table, hashed when it is filled, then only where an upsert has written."""
+    prices = stored_table(spark, sf_dir, scratch_dir(spark, "prints"))
+    prints = TablePrints(spark, prices)
+    prints.update()
+    prices.upsert(views.incoming(spark, sf_dir))
+    return prints.fingerprints()
+
+
+@query(
+    "table_cache_decisions",
+    f"""SELECT n.ticker, n.rows, CASE WHEN o.checksum = n.checksum THEN 'checksum_match' ELSE 'miss' END AS decision
+      FROM ({prints_sql('merged')}) n LEFT JOIN ({prints_sql('stored')}) o ON o.ticker = n.ticker""",
+    ("merged",),
+)
+def table_cache_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tickers an upsert has changed, from the fingerprints of two versions of one table."""
+    prices = stored_table(spark, sf_dir, scratch_dir(spark, "prints"))
+    before = prices.version()
+    prices.upsert(views.incoming(spark, sf_dir))
+    prints = TablePrints(spark, prices)
+    last = prints.fingerprints(before).select("ticker", F.col("checksum").alias("last_checksum"), F.lit(views.FETCHED).alias("generated_at"))
+    return cache_decisions(prints.fingerprints(), last, views.AS_OF).drop("checksum")
+
+
 CACHE_SQL = f"""SELECT n.ticker, n.rows, CASE WHEN o.checksum = n.checksum AND {{fresh}} THEN '{{hit}}' ELSE 'miss' END AS decision
   FROM ({prints_sql('bars_desk')}) n LEFT JOIN ({prints_sql('old')}) o ON o.ticker = n.ticker"""
 CACHE_VIEWS = """SELECT * FROM (WITH bars_desk AS (SELECT *, 'desk' AS source FROM bars),
@@ -353,21 +382,48 @@ def created_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.join(status, "ticker").select("ticker", "rows", "checksum", (F.col("size_bytes") > 0).alias("sized"), "status")
 
 
-@query("latest_snapshot_export", MERGED_SQL, ("incoming", "stored"))
-def latest_snapshot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two generations of snapshots; the export holds the rows of the later one."""
-    folder = scratch_dir(spark, "generations")
+def two_generations(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The catalog of two generations of snapshots, the later one with the incoming bars."""
     older = views.stored(spark, sf_dir)
     newer = merge(older, views.incoming(spark, sf_dir))
     catalogs = [
         create_snapshots(spark, rows, f"{folder}/{n}", views.AS_OF + timedelta(days=n)) for n, rows in enumerate((older, newer))
     ]
-    rows = latest_snapshot_rows(spark, concat(*catalogs), folder)
+    return concat(*catalogs)
+
+
+@query("latest_snapshot_export", MERGED_SQL, ("incoming", "stored"))
+def latest_snapshot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of the latest snapshots holds the rows of the later generation, and reads nothing of the older one."""
+    folder = scratch_dir(spark, "generations")
+    rows = latest_snapshot_rows(spark, two_generations(spark, sf_dir, folder))
     export_csv(rows, f"{folder}-export/csv")
     back = spark.read.schema(rows.schema).csv(f"{folder}-export/csv", header=True)
     return stable(back)
 
 
+@query(
+    "latest_snapshot_documents",
+    f"""SELECT p.ticker, p.checksum, p.rows, m.close_total, m.first_date FROM ({prints_sql('merged')}) p JOIN (
+      SELECT ticker, CAST(sum(CAST(round(close * 10000) AS BIGINT)) AS BIGINT) AS close_total, strftime(min(date), '%Y-%m-%d') AS first_date
+      FROM merged GROUP BY ticker) m ON m.ticker = p.ticker""",
+    ("merged",),
+)
+def latest_snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest snapshots as JSON documents, each with the checksum of its own catalog row."""
+    folder = scratch_dir(spark, "documents")
+    latest_snapshot_json(spark, two_generations(spark, sf_dir, folder), f"{folder}-export/json")
+    schema = "ticker string, checksum string, rows long, data array<struct<date: string, close: double>>"
+    document = F.from_json("value", schema)
+    documents = spark.read.text(f"{folder}-export/json").select(document.alias("d")).select("d.*")
+    cents = F.transform("data", lambda bar: F.round(bar["close"] * 10000).cast("bigint"))
+    return documents.select(
+        "ticker", "checksum", "rows",
+        F.aggregate(cents, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("close_total"),
+        F.array_min("data.date").alias("first_date"),
+    )
+
+
 def feed_with_faults(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """An older file set with a wrong bar and a bad date here and there, then the right bars in later files."""
     feed = views.incoming(spark, sf_dir)
@@ -413,6 +469,91 @@ def file_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_ticker.agg(*(F.sum(c).alias(c) for c in counts))
 
 
+def feed_with_headers(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The incoming bars in files of three column orders, one of them in capitals and with a column more, beside broken files."""
+    feed = views.incoming(spark, sf_dir)
+    part = F.crc32(F.col("ticker").cast("binary")) % 3
+    columns = names(PRICES)
+    orders = (columns, columns[::-1], [*columns[3:], "note", *columns[:3]])
+    for n, order in enumerate(orders):
+        rows = feed.filter(part == n).withColumn("note", F.lit("x, y"))
+        rows = rows.select(F.col("ticker").alias("_t"), *(F.col(c).alias(c.upper() if n == 2 else c) for c in order))
+        rows.repartition("_t").write.partitionBy("_t").csv(f"{folder}/order{n}", header=True)
+    strange = feed.groupBy("ticker").agg(F.count("*").alias("bars"))  # a table of another kind among the files
+    strange.select(F.col("ticker").alias("_t"), "bars", F.lit("?").alias("date")).repartition("_t").write.partitionBy("_t").csv(
+        f"{folder}/strange", header=True
+    )
+
+
+def mixed_ingest(spark: SparkSession, sf_dir: str):
+    folder = scratch_dir(spark, "headers")
+    prices = stored_table(spark, sf_dir, folder)
+    feed_with_headers(spark, sf_dir, f"{folder}/inbox")
+    processed = ProcessedFiles(spark, f"{folder}/processed")
+    runs = [ingest_csv_folder(spark, f"{folder}/inbox", prices, processed, f"{folder}/work{n}", views.AS_OF) for n in range(2)]
+    return prices, processed, runs
+
+
+@query(
+    "mixed_header_ingest",
+    f"""SELECT ticker, run, decision, reason, CAST(count(*) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS rows,
+      CAST(sum(p) AS BIGINT) AS processed_rows, CAST(sum(k) AS BIGINT) AS skipped_rows FROM (
+      SELECT i.ticker, 0 AS run, 'ingest' AS decision, NULL AS reason, count(*) AS n,
+        count(*) FILTER (WHERE {CHANGE} <> 'unchanged') AS p, count(*) FILTER (WHERE {CHANGE} = 'unchanged') AS k FROM {JOINED} GROUP BY i.ticker
+      UNION ALL SELECT DISTINCT ticker, 1, 'cached', NULL, 0, 0, 0 FROM incoming
+      UNION ALL SELECT DISTINCT ticker, run, 'bad_header', 'header lacks ticker', 0, 0, 0 FROM incoming, (VALUES (0), (1)) r(run))
+      GROUP BY ALL""",
+    ("incoming", "stored"),
+)
+def mixed_header_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over files of several headers: the first reads every usable file, the second opens only the refused ones."""
+    _, _, runs = mixed_ingest(spark, sf_dir)
+    ticker = F.regexp_extract("path", "_t=([^/]+)", 1).alias("ticker")
+    reports = [r.report.withColumn("run", F.lit(n)) for n, r in enumerate(runs)]
+    grouped = concat(*reports).groupBy(ticker, "run", "decision", "reason")
+    return grouped.agg(
+        F.count("*").alias("files"), *(F.sum(c).alias(c) for c in ("rows", "processed_rows", "skipped_rows"))
+    )
+
+
+@query("prices_after_mixed_headers", MERGED_SQL, ("incoming", "stored"))
+def prices_after_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whatever the order of its columns, every file's rows arrive, and strange files hold up nothing."""
+    prices, _, _ = mixed_ingest(spark, sf_dir)
+    return stable(prices.read())
+
+
+@query("prices_after_mixed_stream", MERGED_SQL, ("incoming", "stored"))
+def prices_after_mixed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream, in several batches; the log of processed files then covers a batch run."""
+    folder = scratch_dir(spark, "mixed-stream")
+    prices = stored_table(spark, sf_dir, folder)
+    feed_with_headers(spark, sf_dir, f"{folder}/inbox")
+    start_ingest(
+        spark, f"{folder}/inbox", prices, f"{folder}/checkpoint", f"{folder}/work", views.FETCHED,
+        processed=ProcessedFiles(spark, f"{folder}/processed"),
+    ).awaitTermination()
+    return stable(prices.read())
+
+
+@query(
+    "processed_files",
+    """SELECT DISTINCT ticker, 1 AS files, true AS hashed, 0 AS unlike FROM incoming""",
+    ("incoming",),
+)
+def processed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of processed files after two runs: one entry a file, with the size and the hash that the file has."""
+    prices, processed, _ = mixed_ingest(spark, sf_dir)
+    folder = prices.root.rsplit("/", 1)[0]
+    now = file_hashes(spark, f"{folder}/inbox", "*.csv").select("path", F.col("sha256").alias("now"), F.col("size_bytes").alias("size"))
+    ticker = F.regexp_extract("path", "_t=([^/]+)", 1).alias("ticker")
+    unlike = ~F.col("now").eqNullSafe(F.col("sha256")) | ~F.col("size").eqNullSafe(F.col("size_bytes"))
+    joined = processed.newest().join(now, "path", "left")
+    return joined.groupBy(ticker).agg(
+        F.count("*").cast("int").alias("files"), F.bool_and(F.length("sha256") == 64).alias("hashed"), F.count_if(unlike).cast("int").alias("unlike")
+    )
+
+
 @query("prices_after_two_streams", MERGED_SQL, ("incoming", "stored"))
 def prices_after_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams feed one table, with a plain upsert between them and both run again after it."""

@@ -270,6 +270,11 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT ticker, date, open, high, low, close, volume, 'desk' AS source FROM keyed
           WHERE date >= DATE '{FEED_SINCE}'""",
     ),
+    "merged": (
+        ("stored", "incoming"),
+        """SELECT * FROM incoming UNION ALL SELECT * FROM stored s
+          WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.ticker = s.ticker AND i.date = s.date)""",
+    ),
     "raw_quotes": (
         ("keyed",),
         f"""SELECT CASE WHEN k % 127 = 0 THEN '??' WHEN k % 3 = 0 THEN ' ' || lower(ticker) || '.sa ' ELSE ticker END AS ticker,

@@ -113,6 +113,11 @@ def fields_from_json(text: str) -> tuple[Field, ...]:
     return fields
 
 
+def fields_to_json(fields: tuple[Field, ...]) -> str:
+    """The declared schema as :func:`fields_from_json` reads it."""
+    return json.dumps({"columns": [{"name": f.name, "type": f.kind, "nullable": f.nullable} for f in fields]})
+
+
 def conform(df: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     """Select the declared columns in order; a missing nullable column becomes nulls."""
     missing = [f.name for f in fields if f.name not in df.columns and not f.nullable]

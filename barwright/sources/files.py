@@ -1,8 +1,13 @@
-"""File contents and manifests."""
+"""File contents and manifests.
+
+What fits into a row is read by Spark's own file source, on every path that Spark reads. Larger files, copies and deletions
+use file systems of Arrow; a path that has none there is an error of that file, never of the job.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -19,6 +24,8 @@ from barwright.functions.paths import decoded_path, plain_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK = 8 << 20
+WHOLE_BYTES = 32 << 20  # files up to this size are rows of Spark's file source; larger ones are streamed
+HEADER_BYTES = 64 << 10
 TASKS = 64  # by default; the number is given, so that adaptive execution doesn't put a small plan of large files into one task
 HASH_SCHEMA = "path string, sha256 string, size_bytes long"
 HASH_NAMES = ["path", "sha256", "size_bytes"]
@@ -26,31 +33,96 @@ COPY_SCHEMA = "path string, target string, sha256 string, error string"
 REMOVE_SCHEMA = "path string, deleted boolean"
 
 
-def _digest(system: fs.FileSystem, path: str) -> str:
-    """SHA-256 of a file of any size, read in chunks."""
-    digest = hashlib.sha256()
+#: Schemes by which Hadoop and Arrow name the same store.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+class NoFileSystem(OSError):
+    """A path that Arrow cannot open."""
+
+
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(/.*)", path)
+    if not found:
+        return fs.LocalFileSystem(), path
+    scheme, rest = found[1].lower(), found[2]
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if not rest.startswith("//"):
+        raise NoFileSystem(f"no file system for {path}")
+    try:
+        return fs.FileSystem.from_uri(quote(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}", safe=":/"))
+    except (ValueError, NotImplementedError) as error:  # Arrow's own errors
+        raise NoFileSystem(f"no file system for {path}: {error}") from error
+
+
+def _digest(system: fs.FileSystem, path: str) -> tuple[str, bytes]:
+    """SHA-256 of a file of any size, read in chunks, and its first bytes."""
+    digest, head = hashlib.sha256(), b""
     with system.open_input_stream(path) as stream:
         while chunk := stream.read(CHUNK):
+            head = head or chunk[:HEADER_BYTES]
             digest.update(chunk)
-    return digest.hexdigest()
+    return digest.hexdigest(), head
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests = [_digest(*_file_system(path)) for path in batch["path"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(digests, pa.string()), batch["size_bytes"]], HASH_NAMES)
+        found: list[tuple] = []
+        for path in batch["path"].to_pylist():
+            try:
+                found.append((*_digest(*_file_system(path)), None))
+            except OSError as error:
+                found.append((None, None, str(error)))
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.binary(), pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "sha256", "head", "error"])
 
 
-def file_hashes(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """``path, sha256, size_bytes`` of every file below a folder; the tasks that list a file read it as a stream."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(folder)
+def glob_free(path: str) -> str:
+    """A path that names itself where a pattern is expected."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _files(spark: SparkSession, paths: str | list[str], pattern: str, recursive: bool) -> DataFrame:
+    given = paths if isinstance(paths, str) else [glob_free(p) for p in paths]
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    return reader.load(given)
+
+
+def listed_files(spark: SparkSession, folder: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """``path, size_bytes, modified`` of every file below one or several folders; none is opened."""
+    return _files(spark, folder, pattern, recursive).select(
+        plain_path(F.col("path")).alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")
     )
-    listed = files.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size_bytes"))
-    return listed.mapInArrow(_hash, HASH_SCHEMA)
+
+
+def file_facts(spark: SparkSession, paths: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """``path, size_bytes, modified, sha256, header, error`` of a folder's files, or of named ones; each is read once.
+
+    ``header`` is the first line, at most ``HEADER_BYTES`` of it, null where that is no UTF-8. A file that cannot be read has
+    an error and no hash. Spark's file sources pass over empty files, which hold no rows.
+    """
+    files = _files(spark, paths, pattern, recursive)
+    named = [plain_path(F.col("path")).alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")]
+    whole = files.where(F.col("length") <= WHOLE_BYTES).select(
+        *named,
+        F.sha2("content", 256).alias("sha256"),
+        F.substring("content", 1, HEADER_BYTES).alias("head"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    streamed = files.where(F.col("length") > WHOLE_BYTES).select(*named)
+    streamed = streamed.mapInArrow(_facts, "path string, size_bytes long, modified timestamp, sha256 string, head binary, error string")
+    first = F.substring_index(F.col("head").cast("string"), "\n", 1)
+    header = F.when(F.is_valid_utf8(first), F.regexp_extract(first, r"^\x{FEFF}?([^\r]*)", 1))
+    return whole.unionByName(streamed).withColumn("header", header).select("path", "size_bytes", "modified", "sha256", "header", "error")
+
+
+def file_hashes(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """``path, sha256, size_bytes`` of every file below a folder; a file that cannot be read raises."""
+    facts = file_facts(spark, folder, pattern, recursive)
+    unread = F.raise_error(F.concat(F.lit("cannot read "), "path", F.lit(": "), "error")).cast("string")
+    return facts.select("path", F.coalesce("sha256", unread).alias("sha256"), "size_bytes")
 
 
 def _write_sidecars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,12 +148,15 @@ def relative_to(hashes: DataFrame, folder: str) -> DataFrame:
     return hashes.withColumn("path", F.replace("path", F.lit(prefix), F.lit("")))
 
 
-def sidecar_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, expected`` from the ``.checksum`` files below a folder: the first word of each."""
+def sidecar_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``path, expected`` from the ``.checksum`` files below a folder, or from named ones: the first word of each."""
+    given = paths if isinstance(paths, str) else [glob_free(p) for p in paths]
+    if not given:
+        return spark.createDataFrame([], "path string, expected string")
     texts = (
         spark.read.option("pathGlobFilter", "*.checksum")
         .option("recursiveFileLookup", "true")
-        .text(folder, wholetext=True)
+        .text(given, wholetext=True)
     )
     word = F.lower(F.regexp_extract("value", r"^\s*([0-9A-Fa-f]+)", 1))
     path = F.regexp_replace(decoded_path(F.col("_metadata.file_path")), r"\.checksum$", "")
@@ -137,12 +212,6 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     return read_manifest(spark.read.text(path, wholetext=True))
 
 
-def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in path:
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(quote(path, safe=":/"))
-
-
 def _copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, errors = [], []
@@ -152,7 +221,7 @@ def _copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (source_fs, source_path), (target_fs, target_path) = _file_system(source), _file_system(target)
                 target_fs.create_dir(target_path.rsplit("/", 1)[0], recursive=True)
                 fs.copy_files(source_path, target_path, source_filesystem=source_fs, destination_filesystem=target_fs)
-                digest = _digest(target_fs, target_path)
+                digest, _ = _digest(target_fs, target_path)
             except OSError as error:
                 failed = str(error)
             digests.append(digest)
@@ -175,7 +244,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         deleted = []
         for path in batch["path"].to_pylist():
-            system, inner = _file_system(path)
+            try:
+                system, inner = _file_system(path)
+            except NoFileSystem:
+                deleted.append(False)
+                continue
             for name in (inner, f"{inner}.checksum"):
                 try:
                     system.delete_file(name)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,8 @@ from barwright.functions.fingerprints import group_fingerprint
 from barwright.functions.tickers import SUFFIX
 from barwright.functions.values import encode_payload
 from barwright.functions.paths import decoded_path
-from barwright.schema import OHLC, PRICES, Field, struct_type
+from barwright.schema import OHLC, PRICE_KEY, PRICES, Field, struct_type
+from barwright.sources.files import file_facts, glob_free
 
 
 def stored_form(ticker: str) -> str:
@@ -72,28 +75,85 @@ def input_order() -> dict[str, Column]:
     }
 
 
+#: Columns without which no row of a file can be keyed.
+FILE_KEY = PRICE_KEY
+
+
+def header_columns(header: str | None, needed: tuple[str, ...] = FILE_KEY) -> tuple[list[str], str | None]:
+    """The column names of a header line, trimmed and in lower case, and why the file cannot be read, if so.
+
+    >>> header_columns("date, Ticker,close"), header_columns("a,b")[1]
+    ((['date', 'ticker', 'close'], None), 'header lacks ticker, date')
+    """
+    if header is None:
+        return [], "header is no text"
+    names = [c.strip().lower() for c in next(csv.reader([header]), [])]
+    if missing := [c for c in needed if c not in names]:
+        return names, f"header lacks {', '.join(missing)}"
+    if repeated := sorted({c for c in names if names.count(c) > 1}):
+        return names, f"header repeats {', '.join(repeated)}"
+    return names, None
+
+
+def header_groups(facts: DataFrame, needed: tuple[str, ...] = FILE_KEY) -> tuple[list[tuple[list[str], list[str]]], list[tuple[str, str]]]:
+    """Files of ``path, header`` by their columns: (columns, paths) of the readable ones, (path, reason) of the others.
+
+    The driver holds the paths that are to be read, as Spark's file listing does.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    refused = []
+    for path, header in facts.select("path", "header").collect():
+        columns, reason = header_columns(header, needed)
+        if reason:
+            refused.append((path, reason))
+        else:
+            groups.setdefault(tuple(columns), []).append(path)
+    return [(list(columns), sorted(paths)) for columns, paths in sorted(groups.items())], sorted(refused)
+
+
+def read_grouped_csv(spark: SparkSession, groups: list[tuple[list[str], list[str]]], fields: tuple[Field, ...] = PRICES) -> DataFrame:
+    """Rows of CSV files as text, each group of files read once, by its own header.
+
+    All declared columns and those of ``INPUT_ORDER`` are there; a column that a header lacks is null, and one that is not
+    declared is left out. Lines that do not fit their header are kept in ``_corrupt``.
+    """
+    wanted = [f.name for f in fields]
+    empty = T.StructType([T.StructField(c, T.StringType()) for c in (*wanted, "_corrupt")])
+    frames = []
+    for columns, paths in groups:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, "_corrupt")])
+        rows = spark.read.schema(schema).option("columnPruning", "false").csv(  # or short lines would pass
+            [glob_free(p) for p in paths], header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt"
+        )
+        given = {c: F.col(c) if c in columns else F.lit(None).cast("string") for c in wanted}
+        order = {**input_order(), "_row": F.monotonically_increasing_id()}
+        frames.append(rows.select(*(v.alias(c) for c, v in given.items()), "_corrupt", *(v.alias(c) for c, v in order.items())))
+    if not frames:
+        none = spark.createDataFrame([], empty)
+        return none.withColumns({c: F.lit(None).cast(t) for c, t in zip(INPUT_ORDER, ("timestamp", "string", "long", "long"), strict=True)})
+    return reduce(DataFrame.unionByName, frames)
+
+
 def read_price_csv(
     spark: SparkSession, path: str | list[str], fields: tuple[Field, ...] = PRICES, typed: bool = False
 ) -> DataFrame:
-    """Price rows of the ``*.csv`` files below a folder, as text (or typed), with the file each row came from.
+    """Price rows of the ``*.csv`` files below a folder, as text (or typed), with the ``file`` each row came from.
 
-    The header gives the columns, in any order; all files of one read must have the same header, and one that
-    differs raises instead of shifting its values. Lines that do not fit are kept in ``_corrupt``. The columns of
+    Every file is read by its own header, whose columns may stand in any order. Lines that do not fit are kept in
+    ``_corrupt``; a file whose header cannot be used is one row, with the reason there. The columns of
     ``INPUT_ORDER`` say where a row stood: a later file, or a later line, is a later row.
     """
-    reader = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").option("header", "true")
-    header = reader.csv(path).columns  # reads one line
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_corrupt")])
-    raw = (
-        reader.schema(schema)
-        .csv(path, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-        .withColumns({"file": F.col("_metadata.file_path"), **input_order(), "_row": F.monotonically_increasing_id()})
-    )
+    groups, refused = header_groups(file_facts(spark, path, "*.csv").filter("size_bytes > 0"))
+    raw = read_grouped_csv(spark, groups, fields)
+    if refused:
+        marks = spark.createDataFrame(refused, "_path string, _corrupt string")
+        raw = raw.unionByName(marks, allowMissingColumns=True)
+    raw = raw.withColumn("file", F.col("_path"))
     if not typed:
         return raw
 
     def value(f: Field) -> Column:
-        text = F.col(f.name) if f.name in header else F.lit(None).cast("string")
+        text = F.col(f.name)
         return lenient_date(text) if f.kind == "date" else text.try_cast(f.spark_type)
 
     return raw.select(*(value(f).alias(f.name) for f in fields), "file")
@@ -121,12 +181,31 @@ def read_snapshot(spark: SparkSession, path: str, fields: tuple[Field, ...] = PR
     return spark.read.schema(ordered).csv(f"{path}/_ticker=*", header=True).select(*(f.name for f in fields))
 
 
+def read_generations(spark: SparkSession, folders: list[str], fields: tuple[Field, ...] = PRICES) -> DataFrame:
+    """The rows of several folders that :func:`write_snapshot` wrote, with ``_folder``, the ticker's folder of each row.
+
+    Only the named folders are listed. The ticker is a partition column, so conditions on it leave out files.
+    """
+    ordered = sorted(struct_type(fields).fields, key=lambda f: f.name)
+    schema = T.StructType([*ordered, T.StructField("_ticker", T.StringType())])
+    frames = [
+        spark.read.schema(schema).option("basePath", folder).csv(glob_free(folder), header=True).withColumn(
+            "_folder", F.concat(F.lit(f"{folder}/_ticker="), F.col("_ticker"))
+        )
+        for folder in folders
+    ]
+    if not frames:
+        return spark.createDataFrame([], schema).withColumn("_folder", F.lit(None).cast("string"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def write_raw_feed(feed: DataFrame, path: str, stamp: str, by: tuple[str, ...] = ("provider", "ticker")) -> None:
-    """Append a raw feed below ``provider=/ticker=/ingest_ts=`` as CSV."""
+    """Add a raw feed below ``provider=/ticker=/ingest_ts=`` as CSV; the same pull again replaces its own folders."""
     (
         feed.withColumn("ingest_ts", F.lit(stamp))
         .hint("rebalance", *(F.col(c) for c in by))  # one writer per folder, more for a large one
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by, "ingest_ts")
         .csv(path, header=True)
     )

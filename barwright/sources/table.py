@@ -4,8 +4,8 @@ Parquet folders cannot be merged in place, and overwriting a folder that the sam
 held in units, one per calendar year and hash bucket of the first key. An upsert writes the units it touches to a new
 folder, then publishes a small list of which folder holds each unit; the folders of other units are carried over by
 reference. Readers take the newest complete list, and older lists stay valid for going back. The list also holds the last
-batch of every source that feeds the table, so that a batch that is delivered again is known whatever was published since.
-One writer per table: a second one fails on the same version number.
+batch of every source that feeds the table, so that a batch that is delivered again is known whatever was published since,
+and the columns, once a migration has changed them: every version is read by its own. One writer per table: a second one fails on the same version number.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from barwright.functions.tickers import lenient_ticker
 from barwright.operators.diff import merge
-from barwright.schema import PRICE_KEY, PRICES, Field, struct_type
+from barwright.schema import PRICE_KEY, PRICES, Field, fields_from_json, fields_to_json, struct_type
 from barwright.sources.prices import read_prices, stored_form
 
-VERSION_SCHEMA = "version int, year int, bucket int, path string, source string, batch_id long"
+VERSION_SCHEMA = "version int, year int, bucket int, path string, source string, batch_id long, fields string"
 BUCKETS = 16
 
 
@@ -77,10 +77,24 @@ class YearTable:
         key = next(k for k in self.keys if k != "date")
         return (F.crc32(F.col(key).cast("string").cast("binary")) % self.buckets).cast("int")
 
-    def _load(self, paths: list[str]) -> DataFrame:
-        schema = struct_type(self.fields)
+    def _declared(self, published: list) -> tuple[Field, ...]:
+        """The columns of a published list: those of the last migration before it, or the table's own."""
+        text = next((r["fields"] for r in published if r["fields"] is not None), None)
+        return self.fields if text is None else fields_from_json(text)
+
+    def columns(self, version: int | None = None) -> tuple[Field, ...]:
+        """The columns of a version, the newest by default."""
+        return self._declared(self._published(version))
+
+    def load(self, paths: list[str], fields: tuple[Field, ...] | None = None) -> DataFrame:
+        """The rows of the named units."""
+        schema = struct_type(fields or self.fields)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def unit_paths(self, version: int | None = None) -> list[str]:
+        """The folders of a version's units, the newest version's by default."""
+        return [r["path"] for r in self._published(version) if r["path"] is not None]
+
     def read(
         self,
         tickers: list[str] | str | None = None,
@@ -95,15 +109,16 @@ class YearTable:
         if tickers is not None:
             named = [tickers] if isinstance(tickers, str) else tickers
             wanted = {zlib.crc32(stored_form(t).encode()) % self.buckets for t in named}
+        published = self._published(version)
         paths = [
             r["path"]
-            for r in self._published(version)
+            for r in published
             if r["path"] is not None
             and (low is None or r["year"] >= low)
             and (high is None or r["year"] <= high)
             and (wanted is None or r["bucket"] in wanted)
         ]
-        return read_prices(self._load(paths), tickers, start, end)
+        return read_prices(self.load(paths, self._declared(published)), tickers, start, end)
 
     def upsert(
         self,
@@ -111,55 +126,102 @@ class YearTable:
         combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
         source: str | None = None,
         batch_id: int = -1,
+        prepared: bool = False,
     ) -> int:
         """Merge rows that are unique by key, and publish the result as the next version.
 
         ``combine(stored, incoming)`` gives the merged rows; the default replaces rows with equal keys. The incoming rows
         are computed once, and their keys are checked before anything is merged: stored rows were checked when they
         came. Only the units that the incoming rows touch are read and written. ``source`` and ``batch_id`` are kept
-        with the version, also when a batch has no rows. Returns the published version.
+        with the version, also when a batch has no rows. ``prepared`` rows are taken as they are: written already, with typed
+        columns and stored tickers, their keys known to be unique and not null. Returns the published version.
         """
         current = self._published()
         version = current[0]["version"] if current else 0
-        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
-        rows = incoming
-        if "ticker" in incoming.columns:
-            rows = rows.withColumn("ticker", F.nullif(lenient_ticker(F.col("ticker")), F.lit("")))
-        rows = rows.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in self.fields))
-        rows.withColumns({"_year": F.year("date"), "_bucket": self._bucket()}).write.parquet(staging)
-        staged = self.spark.read.parquet(staging)
-        self._check_keys(staged)
+        fields = self._declared(current)
+        staged = self._placed(incoming, fields) if prepared else self._staged(incoming, fields)
         units = sorted(tuple(r) for r in staged.select("_year", "_bucket").distinct().collect())  # years x buckets at most
         if not units and source is None:
             return version
         touched = set(units)
         kept = [r for r in current if r["path"] is not None and (r["year"], r["bucket"]) not in touched]
-        stored = self._load([r["path"] for r in current if (r["year"], r["bucket"]) in touched and r["path"] is not None])
+        paths = [r["path"] for r in current if (r["year"], r["bucket"]) in touched and r["path"] is not None]
+        stored = self.load(paths, fields)
         version = max(self._numbers(), default=0) + 1
         target = f"{self.root}/data/v={version}-{uuid.uuid4().hex}"
         if units:
             merged = (combine or (lambda old, new: merge(old, new, self.keys)))(stored, staged.drop("_year", "_bucket"))
-            (
-                merged.withColumns({"_year": F.year("date"), "_bucket": self._bucket()})
-                .hint("rebalance", F.col("_year"), F.col("_bucket"))  # AQE splits big units, packs small ones, without sampling
-                .sortWithinPartitions("_year", "_bucket", *self.keys)
-                .write.mode("errorifexists")
-                .partitionBy("_year", "_bucket")
-                .parquet(target)
-            )
+            self._write(merged, target)
         marks = {r["source"]: r["batch_id"] for r in current if r["source"] is not None}
         if source is not None:
             marks[source] = batch_id
-        entries = [(version, r["year"], r["bucket"], r["path"], None, None) for r in kept]
-        entries += [(version, y, b, f"{target}/_year={y}/_bucket={b}", None, None) for y, b in units]
-        entries += [(version, None, None, None, name, last) for name, last in marks.items()]
+        carried = [(r["year"], r["bucket"], r["path"]) for r in kept]
+        self._publish(version, carried + _units_of(target, units), marks, current)
+        return version
+
+    def migrate(self, fields: tuple[Field, ...], transform: Callable[[DataFrame], DataFrame]) -> int:
+        """Publish a version with other columns: ``transform`` of all rows, written unit by unit.
+
+        The rows of every unit are counted before the version becomes visible. Where a count differs from that of the version
+        before, nothing is published and the error names the units. Keys must stay as they are; older versions keep their columns.
+        """
+        current = self._published()
+        paths = [r["path"] for r in current if r["path"] is not None]
+        if missing := [k for k in self.keys if k not in [f.name for f in fields]]:
+            raise ValueError(f"the keys {missing} must stay")
+        version = max(self._numbers(), default=0) + 1
+        target = f"{self.root}/data/v={version}-{uuid.uuid4().hex}"
+        before = self.load(paths, self._declared(current))
+        after = transform(before).select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in fields))
+        self._write(after, target)
+        unit = ("_year", "_bucket")
+        written = self.spark.read.parquet(target).select(*(F.col(c).cast("int").alias(c) for c in unit)) if paths else None
+        units: list[tuple[int, int]] = []
+        if written is not None:
+            old = before.select(F.year("date").alias("_year"), self._bucket().alias("_bucket")).groupBy(*unit).agg(F.count("*").alias("_old"))
+            new = written.groupBy(*unit).agg(F.count("*").alias("_new"))
+            counts = old.join(new, list(unit), "full_outer").orderBy(*unit).collect()  # years x buckets at most
+            if wrong := [f"{r['_year']}/{r['_bucket']}: {r['_old']} -> {r['_new']}" for r in counts if r["_old"] != r["_new"]]:
+                raise ValueError(f"row counts of {self.root} differ; version not published: {', '.join(wrong[:5])}")
+            units = [(r["_year"], r["_bucket"]) for r in counts]
+        marks = {r["source"]: r["batch_id"] for r in current if r["source"] is not None}
+        self._publish(version, _units_of(target, units), marks, current, fields_to_json(fields))
+        return version
+
+    def _write(self, rows: DataFrame, target: str) -> None:
+        """Rows as unit folders; AQE splits big units and packs small ones, without sampling."""
         (
-            self.spark.createDataFrame(entries, VERSION_SCHEMA)
-            .coalesce(1)
+            rows.withColumns({"_year": F.year("date"), "_bucket": self._bucket()})
+            .hint("rebalance", F.col("_year"), F.col("_bucket"))
+            .sortWithinPartitions("_year", "_bucket", *self.keys)
             .write.mode("errorifexists")
-            .json(f"{self.root}/versions/v={version}")
+            .partitionBy("_year", "_bucket")
+            .parquet(target)
         )
-        return version
+
+    def _publish(self, version: int, units: list[tuple], marks: dict[str, int], current: list, fields: str | None = None) -> None:
+        """Write the list of a version: units ``(year, bucket, path)``, last batches, and the columns if they are not the table's own."""
+        fields = fields or next((r["fields"] for r in current if r["fields"] is not None), None)
+        entries = [(version, *unit, None, None, fields) for unit in units]
+        entries += [(version, None, None, None, name, last, fields) for name, last in marks.items()]
+        listed = self.spark.createDataFrame(entries, VERSION_SCHEMA).coalesce(1)
+        listed.write.mode("errorifexists").json(f"{self.root}/versions/v={version}")
+
+    def _placed(self, rows: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+        """The table's columns with the unit that each row belongs to."""
+        return rows.select(*(f.name for f in fields)).withColumns({"_year": F.year("date"), "_bucket": self._bucket()})
+
+    def _staged(self, incoming: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+        """Incoming rows in stored form, written once, with their keys checked."""
+        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+        rows = incoming
+        if "ticker" in incoming.columns:
+            rows = rows.withColumn("ticker", F.nullif(lenient_ticker(F.col("ticker")), F.lit("")))
+        rows = rows.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in fields))
+        self._placed(rows, fields).write.parquet(staging)
+        staged = self.spark.read.parquet(staging)
+        self._check_keys(staged)
+        return staged
 
     def _check_keys(self, incoming: DataFrame) -> None:
         """No incoming key may be null or appear twice; otherwise nothing is written."""
@@ -174,3 +236,7 @@ class YearTable:
     def versions(self) -> DataFrame:
         """Every published list."""
         return self.spark.read.schema(VERSION_SCHEMA).json(f"{self.root}/versions/v=*")
+
+
+def _units_of(target: str, units: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    return [(year, bucket, f"{target}/_year={year}/_bucket={bucket}") for year, bucket in units]

@@ -330,5 +330,12 @@ def test_csv_columns_follow_the_header(spark, tmp_path):
     found = read_price_csv(spark, str(folder), typed=True).first()
     assert (found.ticker, str(found.date), found.close, found.volume, found.open) == ("AAAA3", "2023-01-02", 1.5, 7, None)
     (folder / "b.csv").write_text("ticker,date,close,volume\nAAAA3,2023-01-03,1.5,7\n")
-    with pytest.raises(Exception, match="header"):
-        read_price_csv(spark, str(folder)).collect()
+    (folder / "c.csv").write_text("nothing,to,see\n1,2,3\n")
+    (folder / "d.csv").write_bytes(b"\xff\xfe\x00ticker,date\n")
+    (folder / "e.csv").write_bytes(b"")
+    raw = read_price_csv(spark, str(folder))
+    read = {r.file.rsplit("/", 1)[1]: (r.ticker, r.date, r.close, r.volume, r._corrupt) for r in raw.collect()}
+    assert read == {
+        "a.csv": ("AAAA3", "2023-01-02", "1.5", "7", None), "b.csv": ("AAAA3", "2023-01-03", "1.5", "7", None),
+        "c.csv": (None, None, None, None, "header lacks ticker, date"), "d.csv": (None, None, None, None, "header is no text"),
+    }

@@ -30,13 +30,22 @@ def row_checksum(
     return F.sha2(F.concat_ws("|", *(F.coalesce(p, F.lit("None")) for p in parts)), 256)
 
 
+def word_sums(digest: Column) -> list[Column]:
+    """Aggregates ``w0`` to ``w7``: each 32-bit word of the digests, summed over the group."""
+    words = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(28,0)") for i in range(WORDS)]
+    return [F.sum(word).alias(f"w{i}") for i, word in enumerate(words)]
+
+
+def fingerprint_of(count: Column, sums: list[Column]) -> Column:
+    """The fingerprint of a group from the number of its digests and their word sums."""
+    return F.sha2(F.concat_ws(",", count.cast("string"), *(w.cast("string") for w in sums)), 256)
+
+
 def group_fingerprint(digest: Column) -> Column:
     """An aggregate that fingerprints the digests of a group, whatever their order.
 
     Each 32-bit word of the digests is summed over the group, and the sums are hashed with the count. Sums
-    combine on the map side, so a group of any size needs no sort and never meets in one task as a list.
+    combine on the map side, so a group of any size needs no sort and never meets in one task as a list; and they can be
+    kept and added up.
     """
-    words = [
-        F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(28,0)")) for i in range(WORDS)
-    ]
-    return F.sha2(F.concat_ws(",", F.count(digest).cast("string"), *(w.cast("string") for w in words)), 256)
+    return fingerprint_of(F.count(digest), word_sums(digest))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barwright.functions.tickers import returns_ticker
 from barwright.operators.diff import merge_returns
 from barwright.operators.mapping import price_column, quoted
-from barwright.operators.series import with_lag, with_previous_filled, with_running_product
+from barwright.operators.series import with_growth, with_lag, with_previous_filled, with_running_product
 from barwright.schema import no_nan
 from barwright.sources.prices import read_prices
 
@@ -51,6 +51,24 @@ def log_returns(prices: DataFrame, price: str | None = None) -> DataFrame:
     return paired.select("ticker", "date", value.alias("log_return"))
 
 
+def return_series(prices: DataFrame, price: str | None = None) -> DataFrame:
+    """``ticker, date, return_value, log_return, cumulative_return`` of every row, in one pass over the prices.
+
+    The columns are those of :func:`simple_returns`, :func:`log_returns` and :func:`cumulative_returns`; a row without a simple
+    return has none of the first, and the accumulated return of the rows before it.
+    """
+    price = price or price_column(prices)
+    series = prices.select("ticker", "date", no_nan(quoted(price).cast("double")).alias("_price"))
+    grown = with_growth(series, "_price")
+    return grown.select(
+        "ticker",
+        "date",
+        linear_return(F.coalesce("_price", "_filled"), F.col("_filled")).alias("return_value"),
+        log_return(F.col("_price"), F.col("_lag")).alias("log_return"),
+        (F.col("_growth") - 1).alias("cumulative_return"),
+    )
+
+
 def cumulative_returns(returns: DataFrame) -> DataFrame:
     """Add the return accumulated since the first row of the ticker: the product of ``1 + r``, minus one."""
     grown = with_running_product(returns, 1 + F.col("return_value"), "_growth")

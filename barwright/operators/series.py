@@ -66,6 +66,47 @@ def with_lag(df: DataFrame, column: str, out: str, by: Keys = ("ticker",), date:
     return local.join(carried, [*by, SEGMENT], "left").select(*df.columns, value.alias(out))
 
 
+def with_growth(df: DataFrame, column: str, by: Keys = ("ticker",), date: str = "date") -> DataFrame:
+    """Add ``_lag``, ``_filled`` and ``_growth`` of a level in one pass: one shuffle of the rows, one carried table.
+
+    ``_lag`` is the value of the row before, ``_filled`` the last value that is not null before the row, and ``_growth`` the
+    product of all steps ``value / _filled`` up to the row, missing values filled; a step from nothing or from zero counts as
+    one. A segment's part of all three is in a few mergeable aggregates (its last row, its first, last and first nonzero
+    value, and whether a zero follows one that is not), because the steps inside a segment multiply to last over first.
+    """
+    rows = _segmented(df, by, date)
+    value = F.col(column)
+    known, nonzero = value.isNotNull(), value != 0
+    zero_day, nonzero_day = F.when(value == 0, F.col(date)), F.when(nonzero, F.col(date))
+    totals = rows.groupBy(*by, SEGMENT).agg(
+        F.max_by(F.struct(value.alias("v")), date).alias("_last_row"),
+        F.min_by(column, F.when(known, F.col(date))).alias("_first"),
+        F.max_by(column, F.when(known, F.col(date))).alias("_last"),
+        F.min_by(column, nonzero_day).alias("_start"),
+        (F.max(zero_day) > F.min(nonzero_day)).alias("_lost"),
+    )
+    across = _across(by)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumns({"_carried": F.last("_last", ignorenulls=True).over(before), "_carried_row": F.lag("_last_row").over(across)})
+    inner = F.when(F.col("_start").isNull(), 1.0).when(F.col("_lost"), 0.0).otherwise(F.col("_last") / F.col("_start"))
+    entry = F.coalesce(F.try_divide("_first", "_carried"), F.lit(1.0))  # the step from the last value of earlier segments
+    carried = carried.withColumn("_step", entry * inner)
+    carried = carried.select(*by, SEGMENT, "_carried", "_carried_row", F.product("_step").over(before).alias("_grown"))
+
+    inside = _inside(by, date)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({
+        "_local": F.last(column, ignorenulls=True).over(so_far),
+        "_local_row": F.lag(F.struct(value.alias("v"))).over(inside),
+    })
+    joined = local.join(carried, [*by, SEGMENT], "left")
+    filled = F.coalesce("_local", "_carried")
+    step = F.coalesce(F.try_divide(F.coalesce(value, filled), filled), F.lit(1.0))
+    joined = joined.withColumns({"_filled": filled, "_lag": F.coalesce("_local_row", "_carried_row")["v"], "_own": step})
+    grown = F.product("_own").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) * F.coalesce("_grown", F.lit(1.0))
+    return joined.withColumn("_growth", grown).select(*df.columns, "_lag", "_filled", "_growth")
+
+
 def with_running_product(
     df: DataFrame, factor: Column, out: str, by: Keys = ("ticker",), date: str = "date"
 ) -> DataFrame:

@@ -7,7 +7,8 @@ task stay small; a longer text is a part of its own and is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,15 +31,30 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, kept for the worker's life."""
+    """base^0 .. base^(n-1) modulo 2^64, kept until the task ends; the longest run so far sets the size."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * PART_BYTES), base, np.uint64)
+        have = np.full(1 << max(n - 1, 1).bit_length(), base, np.uint64)
         have[0] = 1
         _powers[base] = have = np.multiply.accumulate(have)
     return have[:n]
 
 
+def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that gives its memory back when it ends: Python workers live on, and what each stage leaves in them adds up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library keeps freed pages otherwise
+                trim(0)
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(30))

@@ -13,6 +13,7 @@ row gives one row; repeated rows and null ids are kept (a null id is never held
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.flat import LOWER, Flat, Words, flat, parts
+from barwright.llm.flat import Flat, LOWER, Words, flat, parts, released
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -84,7 +85,7 @@ def learn(docs: DataFrame) -> Languages:
             )
 
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(released(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())
     table = np.full((BUCKETS, len(names)), SMOOTHING)
     for k, name in enumerate(names):
@@ -182,20 +183,41 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(released(predict), "doc_id long, lang_pred string, score double")
+
+
+def explained(logs: np.ndarray, sizes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether a text has a word that some learnt language explains better than chance.
+
+    ``logs[w, l]`` of word w in language l over its ``sizes[w]`` n-grams; by chance all n-grams are equally likely.
+    """
+    good = np.zeros(len(logs) + 1, np.int64)
+    np.cumsum(logs.max(axis=1) > -math.log(BUCKETS) * sizes, out=good[1:])
+    return good[bounds[1:]] > good[bounds[:-1]]
 
 
 def known_rows(docs: DataFrame, model: Languages) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is not ``und``."""
+    """The rows of ``docs``, all columns, that are text in a learnt language.
+
+    A text without a letter goes, and one in which the languages explain no word. Where no language was learnt, only the
+    letters decide: what cannot be told is kept. Null and empty texts have no letter. Repeated rows are judged alike.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.names, model.logs))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = sent.value
         for whole in batches:
             for batch in parts(whole):
-                yield batch.filter(pa.array(_predicted(batch, names, table)[0]))
-
-    return docs.mapInArrow(keep, docs.schema)
+                wanted = pc.match_substring_regex(batch.column("text"), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+                if names:
+                    texts = flat(batch.column("text"))
+                    words = texts.words()
+                    grams, starts = word_grams(texts, words)
+                    logs = np.add.reduceat(table[grams], starts, axis=0) if len(starts) else np.zeros((0, len(names)))
+                    wanted = wanted & explained(logs, np.diff(np.append(starts, len(grams))), words.bounds)
+                yield batch.filter(pa.array(wanted))
+
+    return docs.mapInArrow(released(keep), docs.schema)
 
 
 def fold(doc_id: Column, n: int) -> Column:

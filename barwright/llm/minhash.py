@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.components import components
-from barwright.llm.flat import Flat, flat, mix, parts, signed
+from barwright.llm.flat import Flat, flat, mix, parts, released, signed
 from barwright.llm.store import stored
 
 SHINGLE = 5
@@ -101,7 +101,7 @@ def _sketches(docs: DataFrame, shingle: int, rows: int, groups: int) -> DataFram
                     names=["doc_id", "n_shingles", "d1", "d2", "subkeys"],
                 )
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, d1 long, d2 long, subkeys array<long>")
+    return docs.mapInArrow(released(sketch), "doc_id long, n_shingles long, d1 long, d2 long, subkeys array<long>")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     texts = docs.select(F.col("doc_id").alias("text_id"), "text")
     left = pairs.join(texts, pairs["a"] == texts["text_id"]).select("a", "b", F.col("text").alias("text_a"))
     both = left.join(texts, left["b"] == texts["text_id"]).select("a", "b", "text_a", F.col("text").alias("text_b"))
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(released(compare), "a long, b long")
 
 
 def _across(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _across(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
                 )
 
     texts = classes.join(docs.withColumnRenamed("doc_id", "text_id"), F.col("class_id") == F.col("text_id")).drop("text_id")
-    sets = texts.mapInArrow(gather, "class_id long, component long, n_shingles long, tokens array<long>, marks array<long>")
+    sets = texts.mapInArrow(released(gather), "class_id long, component long, n_shingles long, tokens array<long>, marks array<long>")
     sets = stored(spark, "near-sets", sets)
     tokens = sets.select("class_id", "n_shingles", F.explode("tokens").alias("token"))
     counts = stored(spark, "near-token-counts", tokens.groupBy("token").agg(F.count("*").alias("n")))

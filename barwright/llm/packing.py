@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.flat import parts
+from barwright.llm.flat import parts, released
 from barwright.llm.store import stored
 from barwright.llm.subwords import subwords
 
@@ -143,7 +143,7 @@ def pack(
 
     names = [c.split()[0] for c in PIECE.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = stored(docs.sparkSession, "packing", rows.mapInArrow(run, f"{PIECE}, part long, window int"))
+    packed = stored(docs.sparkSession, "packing", rows.mapInArrow(released(run), f"{PIECE}, part long, window int"))
     left = packed.where("window is not null").withColumn("merge", F.floor(F.col("part") / merged))
     left = left.withColumn("doc_id", F.col("doc_id").cast("string"))
     return packed.where("window is null").select(*names).unionByName(left.groupBy("merge").applyInPandas(finish, PIECE))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.flat import parts
+from barwright.llm.flat import parts, released
 from barwright.llm.words import WORDS
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -179,7 +179,7 @@ def find_secrets(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, spans array<struct<start: int, kind: int, end: int>>")
+    return rows.mapInArrow(released(scan), "doc_id long, spans array<struct<start: int, kind: int, end: int>>")
 
 
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:
@@ -213,4 +213,4 @@ def redacted(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
                         batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
                 yield batch
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(released(scan), docs.schema)

@@ -72,3 +72,32 @@ def test_run(spark, sf_dir, documents):
         assert r["ids_crc32"] == zlib.crc32(r["ids"])
         made[r["doc_id"]] = made.get(r["doc_id"], b"") + bytes(r["ids"])
     assert made == expected
+
+
+def test_languages_decide_what_is_text(spark, sf_dir, documents):
+    """Clean documents stay, noise in letters goes, and where nothing was learnt only the letters decide."""
+    schema = "doc_id long, text string, lang string"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    noise = [(-1, "zqxjkvbw wqzxkjhq xqzvwkjy", None), (-2, "漢字漢字 龘靐齉", None), (-3, "12345 --- 67", "en"), (-4, None, "en"), (-5, "", None)]
+    rows = docs.unionByName(spark.createDataFrame(noise, schema))
+    kept = {r["doc_id"] for r in stage("language_id")(spark, rows, sf_dir).collect()}
+    assert kept == {i for i, t in documents.items() if any(c.isalpha() for c in t or "")}
+    unlabelled = rows.withColumn("lang", rows["lang"].substr(0, 0).cast("string")).replace("", None, subset=["lang"])
+    kept = {r["doc_id"] for r in stage("language_id")(spark, unlabelled, sf_dir).collect()}
+    assert kept == {i for i, t in documents.items() if any(c.isalpha() for c in t or "")} | {-1, -2}
+    assert stage("language_id")(spark, rows.limit(0), sf_dir).count() == 0
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    empty = spark.createDataFrame([], CLASHING)
+    for name, run in corpus_pipeline.STAGES:
+        assert run(spark, empty, sf_dir).count() == 0, name
+
+
+def test_packing_ignores_clashing_columns(spark, sf_dir, odd):
+    rows = [(i, t, "en", "s", 0, *"abcdef") for i, t in odd]
+    names = "doc_id long, text string, lang string, source string, start long, ids string, part string, `window` string, merge string, offset string, length string"
+    got = stage("packing")(spark, spark.createDataFrame(rows, names), sf_dir).collect()
+    plain = stage("packing")(spark, spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), sf_dir).collect()
+    assert sum(r["length"] for r in got) == sum(r["length"] for r in plain)
+    assert sum(r["doc_tokens"] for r in got if r["start"] == 0) == sum(r["length"] for r in got)

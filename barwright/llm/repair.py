@@ -34,8 +34,8 @@ from barwright.llm.store import stored
 CHUNK = 256
 MAX_RULES = 128
 RULE_ROWS = 4096
-#: Rules that one round may add, and how often a pair must occur.
-ROUND_RULES, LEAST_COUNT = 8, 4
+#: Rules that one round may add, and the share of all rows that a rule must stand for.
+ROUND_RULES, LEAST_SHARE = 8, 1 / 64
 KNOWN = 100_000
 
 # Costs of edits, blanks, ends of sentences.
@@ -177,6 +177,7 @@ def grammar(strings: DataFrame, most: int = MAX_RULES) -> list[tuple[str, str]]:
     schema = pa.schema([("pair", pa.string()), ("n", pa.int64())])
     rules: list[tuple[str, str]] = []
     rows = {c: 1 for c in TERMINALS}
+    total = strings.agg(F.sum(F.length("marks") * F.col("n"))).first()[0] or 0
     while len(rules) < most:
         so_far = list(rules)
 
@@ -190,11 +191,11 @@ def grammar(strings: DataFrame, most: int = MAX_RULES) -> list[tuple[str, str]]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], schema=schema)
 
         pairs = strings.mapInArrow(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        top = pairs.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "pair").limit(4 * ROUND_RULES).collect()
+        top = pairs.where("n > 1").orderBy(F.desc("n"), "pair").limit(4 * ROUND_RULES).collect()
         used: set[str] = set()
-        for pair, _ in top:
+        for pair, n in top:
             size = rows[pair[0]] + rows[pair[1]]
-            if used & set(pair) or size > RULE_ROWS or len(used) >= 2 * ROUND_RULES or len(rules) == most:
+            if n * size < LEAST_SHARE * total or used & set(pair) or size > RULE_ROWS or len(used) >= 2 * ROUND_RULES or len(rules) == most:
                 continue
             used |= set(pair)
             name = chr(0xE000 + len(rules))

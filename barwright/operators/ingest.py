@@ -228,6 +228,7 @@ def _kept(processed: DataFrame | ProcessedFiles | None, spark: SparkSession) ->
 
 def ingest_files(
     spark: SparkSession,
+    folder: str,
     listing: DataFrame,
     table: YearTable,
     processed: DataFrame | ProcessedFiles | None,
@@ -239,7 +240,7 @@ def ingest_files(
     batch_id: int = -1,
     mode: str = "errorifexists",
 ) -> IngestResult:
-    """Ingest the files of ``listing(path, size_bytes, modified)``; every file is opened as late and as rarely as can be.
+    """Ingest the files of ``listing(path, size_bytes, modified)`` below ``folder``; every file is opened as late and as rarely as can be.
 
     The listing decides which files an entry of the same size and time covers. The others are hashed, with their header, and
     compared with their sidecars and with the entries' hashes. What is left is parsed once, each file by its own header.
@@ -253,8 +254,7 @@ def ingest_files(
     if unknown:
         facts = staged(spark, file_facts(spark, unknown), place("facts"), mode)
         names_of = F.concat(F.col("path"), F.lit(".checksum"))
-        folders = sorted({path.rsplit("/", 1)[0] for path in unknown})
-        beside = facts.select(names_of.alias("path")).join(listed_files(spark, folders, "*.checksum", recursive=False), "path", "left_semi")
+        beside = facts.select(names_of.alias("path")).join(listed_files(spark, folder, "*.checksum"), "path", "left_semi")
         sidecars = sidecar_hashes(spark, [r["path"] for r in beside.collect()])
         verified = verify_sidecars(facts.filter("error IS NULL"), sidecars).select("path", "status")
         cached = file_cache_decisions(facts.select("path", "sha256"), known, as_of, ttl_seconds).select("path", "cached")
@@ -316,7 +316,7 @@ def ingest_csv_folder(
     (:func:`quarantined_file_rows`), which must be new.
     """
     listing = listed_files(spark, folder, "*.csv")
-    return ingest_files(spark, listing, table, processed, lambda kind: f"{work}/{kind}", as_of, work, ttl_seconds)
+    return ingest_files(spark, folder, listing, table, processed, lambda kind: f"{work}/{kind}", as_of, work, ttl_seconds)
 
 
 def quarantined_file_rows(spark: SparkSession, work: str) -> DataFrame:

@@ -33,10 +33,15 @@ class TablePrints:
         known = {r["run"] for r in self.log.read().select("run").distinct().collect()}  # one a data folder
         return [unit for unit in self._units(version) if _folder(unit) not in known]
 
+    def _rows(self, units: list[str]) -> DataFrame:
+        rows = self.table.load(units)
+        if not units:
+            return rows.withColumn("unit", F.lit(None).cast("string"))
+        return rows.withColumn("unit", F.regexp_replace(decoded_path(F.col("_metadata.file_path")), "/[^/]+$", ""))
+
     def new_rows(self, version: int | None = None) -> DataFrame:
         """The rows that have to be hashed, with the unit that holds them."""
-        unit = F.regexp_replace(decoded_path(F.col("_metadata.file_path")), "/[^/]+$", "")
-        return self.table.load(self.missing(version)).withColumn("unit", unit)
+        return self._rows(self.missing(version))
 
     def update(self, version: int | None = None) -> None:
         """Hash the rows of units that are new since the last update; repeated, it does nothing."""
@@ -44,9 +49,7 @@ class TablePrints:
         for unit in self.missing(version):
             by_folder.setdefault(_folder(unit), []).append(unit)
         for folder, units in by_folder.items():  # one or few a run: an upsert writes one data folder
-            unit = F.regexp_replace(decoded_path(F.col("_metadata.file_path")), "/[^/]+$", "")
-            rows = self.table.load(units).withColumn("unit", unit)
-            sums = rows.select("unit", "ticker", row_checksum().alias("_digest")).groupBy("unit", "ticker")
+            sums = self._rows(units).select("unit", "ticker", row_checksum().alias("_digest")).groupBy("unit", "ticker")
             self.log.record(folder, sums.agg(F.count("*").alias("rows"), *word_sums(F.col("_digest"))))
 
     def fingerprints(self, version: int | None = None) -> DataFrame:

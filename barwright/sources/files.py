@@ -10,6 +10,7 @@ import hashlib
 import re
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -84,10 +85,25 @@ def glob_free(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Named paths are listed by ``TASKS`` tasks; by default Spark starts one for every path."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(TASKS))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def _files(spark: SparkSession, paths: str | list[str], pattern: str, recursive: bool) -> DataFrame:
     given = paths if isinstance(paths, str) else [glob_free(p) for p in paths]
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(given)
+    with few_listing_tasks(spark):
+        return reader.load(given)
 
 
 def listed_files(spark: SparkSession, folder: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -153,11 +169,9 @@ def sidecar_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     given = paths if isinstance(paths, str) else [glob_free(p) for p in paths]
     if not given:
         return spark.createDataFrame([], "path string, expected string")
-    texts = (
-        spark.read.option("pathGlobFilter", "*.checksum")
-        .option("recursiveFileLookup", "true")
-        .text(given, wholetext=True)
-    )
+    reader = spark.read.option("pathGlobFilter", "*.checksum").option("recursiveFileLookup", "true")
+    with few_listing_tasks(spark):
+        texts = reader.text(given, wholetext=True)
     word = F.lower(F.regexp_extract("value", r"^\s*([0-9A-Fa-f]+)", 1))
     path = F.regexp_replace(decoded_path(F.col("_metadata.file_path")), r"\.checksum$", "")
     return texts.select(path.alias("path"), word.alias("expected"))

@@ -16,7 +16,7 @@ from barwright.functions.tickers import SUFFIX
 from barwright.functions.values import encode_payload
 from barwright.functions.paths import decoded_path
 from barwright.schema import OHLC, PRICE_KEY, PRICES, Field, struct_type
-from barwright.sources.files import file_facts, glob_free
+from barwright.sources.files import few_listing_tasks, file_facts, glob_free
 
 
 def stored_form(ticker: str) -> str:
@@ -122,9 +122,9 @@ def read_grouped_csv(spark: SparkSession, groups: list[tuple[list[str], list[str
     frames = []
     for columns, paths in groups:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, "_corrupt")])
-        rows = spark.read.schema(schema).option("columnPruning", "false").csv(  # or short lines would pass
-            [glob_free(p) for p in paths], header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt"
-        )
+        reader = spark.read.schema(schema).option("columnPruning", "false")  # or short lines would pass
+        with few_listing_tasks(spark):
+            rows = reader.csv([glob_free(p) for p in paths], header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
         given = {c: F.col(c) if c in columns else F.lit(None).cast("string") for c in wanted}
         order = {**input_order(), "_row": F.monotonically_increasing_id()}
         frames.append(rows.select(*(v.alias(c) for c, v in given.items()), "_corrupt", *(v.alias(c) for c, v in order.items())))

@@ -9,9 +9,25 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from barwright.operators.correlation import correlation_matrix, correlation_wide, pair_statistics
-from barwright.operators.portfolio import equal_weight_portfolio, equal_weights
-from barwright.operators.returns import compute_returns, cumulative_returns, last_before, log_returns, simple_returns
+from barwright.operators import correlation
+from barwright.operators.correlation import (
+    correlation_matrix,
+    correlation_wide,
+    merged_sums,
+    origins,
+    pair_statistics,
+    pair_sums,
+    statistics_of,
+)
+from barwright.operators.portfolio import equal_weight_portfolio, equal_weights, summed_by_dates, total_covariance
+from barwright.operators.returns import (
+    compute_returns,
+    cumulative_returns,
+    last_before,
+    log_returns,
+    return_series,
+    simple_returns,
+)
 from barwright.operators.stats import annualized, period_statistics
 
 CREATED = dt.datetime(2024, 2, 1)
@@ -154,3 +170,76 @@ def test_portfolio_is_deterministic(spark):
     assert a.volatility == pytest.approx(math.sqrt(wide.cov().to_numpy().mean() * 252))
     assert a.sharpe == pytest.approx(a.expected_return / a.volatility)
     assert equal_weights(returns).agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize(
+    "closes",
+    [
+        [10.0, 11.0, 12.5, 12.5, 9.0],
+        [None, 10.0, None, 12.0, None, None, 15.0],
+        [0.0, 0.0, 5.0, 6.0, 0.0, None, 7.0, 8.0],
+        [5.0, 0.0, 3.0],
+        [None, None],
+        [3.0, float("nan"), 4.0],
+        [1.0 + i % 7 for i in range(300)],
+        [None if i % 3 else 1.0 + i % 11 for i in range(200)],
+        [None if i % 40 else 2.0 + i % 13 for i in range(400)],
+    ],
+)
+def test_one_pass_equals_the_single_operators(bars, closes):
+    """Fill, lag and running product from one carried table, over years with and without values."""
+    prices = bars(series("ABCD3", closes) + series("EFGH3", closes[::-1]))
+    found = {(r.ticker, r.date): r for r in return_series(prices).collect()}
+    assert len(found) == 2 * len(closes)
+    simple = {(r.ticker, r.date): r.return_value for r in simple_returns(prices).collect()}
+    assert {k: r.return_value for k, r in found.items() if r.return_value is not None} == pytest.approx(simple)
+    logs = {(r.ticker, r.date): r.log_return for r in log_returns(prices).collect()}
+    for key, value in logs.items():
+        assert found[key].log_return == (None if value is None else pytest.approx(value))
+    grown = {(r.ticker, r.date): r.cumulative_return for r in cumulative_returns(simple_returns(prices)).collect()}
+    for key, value in grown.items():
+        assert found[key].cumulative_return == pytest.approx(value, abs=1e-9)
+
+
+def test_sums_of_years_add_up(spark):
+    returns = returns_frame(spark, tickers=7)
+    kept = origins(returns)
+    parts = [pair_sums(returns.filter(c), block=b, origin=kept) for c, b in (("date < '2020-01-01'", 2), ("date >= '2020-01-01'", 3))]
+
+    def close(df):
+        return {(r.ticker_a, r.ticker_b): (r.days, r.covariance, r.correlation) for r in df.collect()}
+
+    whole, added = close(pair_statistics(returns)), close(statistics_of(merged_sums(*parts)))
+    assert whole.keys() == added.keys()
+    for pair, (days, covariance, correlation) in whole.items():
+        assert added[pair][0] == days
+        for a, b in zip(added[pair][1:], (covariance, correlation), strict=True):
+            assert a == (None if b is None else pytest.approx(b, abs=1e-12))
+
+
+def test_memory_of_a_pair_of_blocks_does_not_grow_with_years():
+    """The sums of a pair of blocks are as large after forty years as after one."""
+    pair = correlation._Pair(0, 1)
+    days = np.arange(1, 200)
+
+    def year(n):
+        dice = np.random.default_rng(n)
+        return [(b, f"T{b}{i}", days, dice.normal(size=len(days))) for b in (0, 1) for i in range(5)]
+
+    pair.add(year(0))
+    size = pair.sums.nbytes
+    for n in range(1, 40):
+        pair.add(year(n))
+    assert pair.sums.nbytes == size and pair.sums[0].max() == 40 * len(days)
+
+
+def test_portfolio_variance_from_sums_by_date(spark):
+    """Tickers with the same dates are one series; the total equals that of all pairs, with missing dates and without."""
+    for share in (1.0, 0.6):
+        frame = returns_frame(spark, tickers=6, days=60).filter("ticker LIKE 'T%'") if share < 1 else spark.createDataFrame(
+            [(f"T{t}", dt.date(2020, 1, 1) + dt.timedelta(days=d), math.sin(t * 7 + d)) for t in range(6) for d in range(60)],
+            "ticker string, date date, return_value double",
+        )
+        assert summed_by_dates(frame).select("ticker").distinct().count() == (1 if share == 1 else 6)
+        total = pair_statistics(frame).agg(F.sum("covariance")).first()[0]
+        assert total_covariance(frame).first()[0] == pytest.approx(total)

@@ -34,7 +34,7 @@ from barwright.operators.ingest import (
     quarantined_file_rows,
     staged,
 )
-from barwright.schema import PRICES, names
+from barwright.schema import PRICES, Field, names
 from barwright.sources.prices import read_price_csv, read_prices, read_snapshot, write_snapshot
 from barwright.sources.table import YearTable
 from barwright.streaming.ingest import arrivals, counted_files, file_stream, quarantined, start_ingest
@@ -339,3 +339,23 @@ def test_csv_columns_follow_the_header(spark, tmp_path):
         "a.csv": ("AAAA3", "2023-01-02", "1.5", "7", None), "b.csv": ("AAAA3", "2023-01-03", "1.5", "7", None),
         "c.csv": (None, None, None, None, "header lacks ticker, date"), "d.csv": (None, None, None, None, "header is no text"),
     }
+
+
+def test_migration_counts_before_it_publishes(spark, bars, tmp_path):
+    table = YearTable(spark, f"{tmp_path}/prices")
+    table.upsert(bars([("AAAA3", "2021-06-01", 1.0), ("AAAA3", "2022-06-01", 2.0)]), source="feed", batch_id=4)
+    wanted = tuple(Field("last", f.kind, f.nullable) if f.name == "close" else f for f in PRICES)
+    with pytest.raises(ValueError, match="2021/.*1 -> None"):
+        table.migrate(wanted, lambda df: df.withColumnRenamed("close", "last").filter("last > 1"))
+    with pytest.raises(ValueError, match="1 -> 2"):
+        table.migrate(wanted, lambda df: df.withColumnRenamed("close", "last").unionByName(df.withColumnRenamed("close", "last")))
+    with pytest.raises(ValueError, match="keys"):
+        table.migrate(wanted[1:], lambda df: df)
+    assert table.version() == 1 and closes(table.read()) == {("AAAA3", "2021-06-01"): 1.0, ("AAAA3", "2022-06-01"): 2.0}
+    version = table.migrate(wanted, lambda df: df.withColumnRenamed("close", "last"))
+    assert table.version() == version and table.last_batch("feed") == 4
+    assert table.read().columns == [f.name for f in wanted] == [f.name for f in table.columns()]
+    assert "close" in table.read(version=1).columns
+    table.upsert(bars([("AAAA3", "2021-06-01", 9.0)]).withColumnRenamed("close", "last"))  # by the new columns
+    again = YearTable(spark, f"{tmp_path}/prices")
+    assert {(str(r.date), r.last) for r in again.read().collect()} == {("2021-06-01", 9.0), ("2022-06-01", 2.0)}

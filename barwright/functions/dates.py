@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The forms of stamps and of dates in paths.
 STAMP_FORMAT = "yyyyMMdd'T'HHmmss'Z'"
 STAMP_PATTERN = r"^\d{8}T\d{6}Z$"
+ZONE_PATTERN = r"(Z|[+-]\d{2}:?\d{2})$"
 ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 COMPACT_PATTERN = r"^\d{8}$"
 PATH_DATE_PATTERN = r"(\d{4}-\d{2}-\d{2}|\d{8})"
@@ -50,6 +54,26 @@ def compact_stamp(at: Column) -> Column:
     return F.date_format(at, STAMP_FORMAT)
 
 
+def stamp_of(at: datetime | str) -> str:
+    """The compact stamp of an instant, or a text that is one; a time without a zone is refused.
+
+    >>> stamp_of(datetime(2024, 1, 31, 12, tzinfo=timezone.utc))
+    '20240131T120000Z'
+    """
+    if isinstance(at, str):
+        if not re.fullmatch(STAMP_PATTERN, at):
+            raise ValueError(f"{at!r} is no stamp YYYYMMDDTHHMMSSZ")
+        return at
+    if at.utcoffset() is None:
+        raise ValueError(f"{at} has no time zone")
+    return at.astimezone(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+
+
+def zoned_stamp(text: Column) -> Column:
+    """The compact stamp of an ISO time in text; null for one without a zone, or that is no time."""
+    return F.when(text.rlike(ZONE_PATTERN), compact_stamp(F.try_to_timestamp(text)))
+
+
 def is_compact_stamp(text: Column) -> Column:
     return F.coalesce(text.rlike(STAMP_PATTERN), F.lit(False))
 

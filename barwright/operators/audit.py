@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barwright.functions.dates import stamp_of
 from barwright.functions.fingerprints import group_fingerprint
 from barwright.operators.quality import feed_problems, validation_events
 from barwright.schema import ERROR_TYPE
@@ -100,13 +101,20 @@ def feed_problem_events(
 
 
 def save_raw(
-    spark: SparkSession, feed: DataFrame, folder: str, stamp: str, job_id: str, at: datetime, by: tuple[str, ...] = ("provider", "ticker")
+    spark: SparkSession,
+    feed: DataFrame,
+    folder: str,
+    stamp: str | datetime,
+    job_id: str,
+    at: datetime,
+    by: tuple[str, ...] = ("provider", "ticker"),
 ) -> DataFrame:
     """Write a raw feed with a ``.checksum`` beside every file; returns one audit event per feed and file.
 
     The event names the file, its bytes' hash and size, and the number of rows and the fingerprint of the feed's values. ``folder`` may
-    hold earlier pulls; ``stamp`` names this one, and the same pull again replaces its files.
+    hold earlier pulls; ``stamp``, a compact stamp or a time with its zone, names this one, and the same pull again replaces its files.
     """
+    stamp = stamp_of(stamp)
     write_raw_feed(feed, folder, stamp, by)
     pulled = file_facts(spark, folder, "*.csv").filter(F.col("path").contains(f"/ingest_ts={stamp}/") & F.col("error").isNull())
     report = f"{folder}/_reports/{job_id}"

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barwright.functions.dates import feed_date, lenient_date
 from barwright.functions.fingerprints import row_checksum
 from barwright.functions.paths import plain_path
 from barwright.functions.tickers import lenient_ticker
@@ -26,11 +27,12 @@ from barwright.operators.diff import (
     ticker_fingerprints,
 )
 from barwright.operators.integrity import verify_sidecars
+from barwright.operators.mapping import MappingError, find_column, quoted, to_canonical
 from barwright.operators.quality import MALFORMED_LINE, Rule, annotate, valid_rows
 from barwright.schema import PRICES, names
 from barwright.sources.files import file_facts, file_hashes, listed_files, sidecar_hashes, write_sidecars
 from barwright.sources.log import PROCESSED, ProcessedFiles
-from barwright.sources.prices import INPUT_ORDER, export_json, header_groups, read_generations, read_grouped_csv, read_snapshot, write_snapshot
+from barwright.sources.prices import AS_GIVEN, INPUT_ORDER, export_json, header_groups, read_generations, read_grouped_csv, read_snapshot, write_snapshot
 from barwright.sources.table import YearTable
 
 
@@ -324,6 +326,41 @@ def quarantined_file_rows(spark: SparkSession, work: str) -> DataFrame:
     return spark.read.parquet(f"{work}/checked").filter("NOT is_valid").drop("is_valid")
 
 
+def pull_sample(
+    feed: DataFrame,
+    source: str | Column,
+    as_of: date,
+    days: int = 5,
+    start: date | str | None = None,
+    end: date | str | None = None,
+    fetched_at: datetime | Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The raw rows of a provider feed in a short range, and the same rows in canonical form; nothing is stored.
+
+    The range is the last ``days`` days (one at least) up to ``as_of`` unless ``start`` or ``end`` is given; both ends belong to it. Rows whose
+    date does not parse are in neither.
+    """
+    label = find_column(feed.columns, ("date",))
+    if label is None:
+        raise MappingError("no date column")
+    text = quoted(label).cast("string")
+    day = F.coalesce(feed_date(text), lenient_date(text))
+    if start is None and end is None:
+        start, end = as_of - timedelta(days=max(1, days)), as_of
+    raw = feed
+    if start is not None:
+        raw = raw.filter(day >= F.lit(start).cast("date"))
+    if end is not None:
+        raw = raw.filter(day <= F.lit(end).cast("date"))
+    return raw, to_canonical(raw, source, fetched_at=fetched_at)
+
+
+def save_sample(raw: DataFrame, canonical: DataFrame, folder: str) -> None:
+    """Both sides of a sample as CSV below ``raw`` and ``canonical`` of a new folder."""
+    raw.write.options(**AS_GIVEN).csv(f"{folder}/raw", header=True)
+    canonical.write.options(dateFormat="yyyy-MM-dd", **AS_GIVEN).csv(f"{folder}/canonical", header=True)
+
+
 def processed_entries(report: DataFrame, as_of: datetime) -> DataFrame:
     """File-cache entries for the files of a report that are done: ingested, or known by their hash."""
     done = report.filter("decision IN ('ingest', 'cached')")

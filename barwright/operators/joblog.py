@@ -30,8 +30,13 @@ def search_log(
     until: datetime | str | None = None,
     limit: int | None = None,
     offset: int = 0,
+    after: tuple[datetime | str, str] | None = None,
 ) -> DataFrame:
-    """Log entries that match, oldest first, one page of them when ``limit`` is given."""
+    """Log entries that match, oldest first, one page of them when ``limit`` is given.
+
+    ``after`` is ``(started_at, job_id)`` of the last entry of the page before: entries up to it are filtered out where they lie,
+    while an ``offset`` has to sort and skip them.
+    """
     found = log
     for column, value in (("ticker", ticker), ("status", status)):
         if value is not None:
@@ -40,6 +45,9 @@ def search_log(
         found = found.filter(F.col("started_at") >= F.lit(since).cast("timestamp"))
     if until is not None:
         found = found.filter(F.col("started_at") < F.lit(until).cast("timestamp"))
+    if after is not None:
+        last = F.lit(after[0]).cast("timestamp")
+        found = found.filter((F.col("started_at") > last) | ((F.col("started_at") == last) & (F.col("job_id") > after[1])))
     found = found.select(
         "ticker",
         "job_id",
@@ -52,5 +60,7 @@ def search_log(
     )
     if limit is None and not offset:
         return found
-    page = found.orderBy("started_at", "job_id").offset(offset)
+    page = found.orderBy("started_at", "job_id")
+    if offset:
+        page = page.offset(offset)
     return page if limit is None else page.limit(limit)

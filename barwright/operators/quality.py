@@ -39,6 +39,10 @@ REASON_CODES = (
 )
 
 
+#: Folders of kept invalid rows.
+QUARANTINE_BUCKETS = 64
+
+
 class ThresholdExceeded(ValueError):
     """The share of invalid rows reached the threshold."""
 
@@ -259,6 +263,7 @@ def reason_code(message: Column, column: Column | None = None) -> Column:
             found = found | text.contains(word)
         return found
 
+    # The words of messages that decide the code, in this order.
     rules = (
         (MISSING_COL, says("column") & says("not in", "missing")),
         (BAD_DATE, name.contains("date") & says("type", "datetime")),
@@ -297,9 +302,13 @@ def handle(
     id_columns: tuple[str, ...] = ("ticker", "date"),
     threshold: float = DEFAULT_THRESHOLD,
     abort: bool = True,
+    buckets: int = QUARANTINE_BUCKETS,
 ) -> tuple[DataFrame, bool]:
     """Check a feed, keep the invalid rows and their audit events below ``folder``, then apply the gate.
 
+    Invalid rows lie in ``buckets`` folders by hash of their group, sorted by it, with all columns (:func:`quarantined_rows`): the
+    number of folders does not grow with the groups.
+
     The checked frame is written once, split by validity, so the source is read once and the valid rows are
     read back by partition pruning. The folder must be new: a run never overwrites an earlier one.
     """
@@ -309,13 +318,20 @@ def handle(
     schema = T.StructType([*annotated.schema.fields])
     stored = spark.read.schema(schema).parquet(checked)
     bad = stored.filter(~F.col("is_valid")).drop("is_valid")
-    spread = bad.drop("errors").hint("rebalance", *(F.col(c) for c in by))
-    spread.write.partitionBy(*by).csv(f"{folder}/invalid", header=True)
+    bucket = F.pmod(F.xxhash64(*(F.col(c) for c in by)), F.lit(buckets))
+    spread = bad.drop("errors").withColumn("_bucket", bucket).hint("rebalance", F.col("_bucket"))
+    spread.sortWithinPartitions("_bucket", *by).write.partitionBy("_bucket").csv(f"{folder}/invalid", header=True)
     validation_events(bad, by, id_columns).write.mode("append").json(f"{folder}/events")
     passed = check_threshold(summarize(stored), threshold, abort)
     return stored.filter("is_valid").drop("is_valid", "errors"), passed
 
 
+def quarantined_rows(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """The invalid rows that :func:`handle` kept below ``folder``, as text; ``columns`` are those of the checked feed."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").csv(f"{folder}/invalid", header=True)
+
+
 def check_metadata(documents: DataFrame, column: str) -> DataFrame:
     """Check snapshot-metadata documents (JSON text) against the metadata contract; adds ``problems``."""
     # The contract's keys, types and patterns.

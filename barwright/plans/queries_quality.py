@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.operators.mapping import NUMBERED_FEED, explode_series, mapping_verdicts, to_canonical
+from barwright.functions.tickers import lenient_ticker
+from barwright.operators.ingest import pull_sample, save_sample
+from barwright.operators.mapping import (
+    NUMBERED_FEED,
+    ProviderMapping,
+    explode_series,
+    flatten_labels,
+    mapping_verdicts,
+    register_provider,
+    to_canonical,
+)
 from barwright.operators.quality import (
     annotate,
     check_metadata,
@@ -20,8 +32,10 @@ from barwright.operators.quality import (
     valid_rows,
     validation_events,
 )
+from barwright.operators.quality import quarantined_rows as read_quarantine
 from barwright.plans import views
 from barwright.plans.registry import query
+from barwright.schema import PRICES, Field
 from barwright.session import scratch_dir
 
 ERRORS_SQL = """SELECT feed_row, provider, ticker, 'date' AS "column", 'BAD_DATE' AS reason_code, raw_date AS failure_value
@@ -254,11 +268,49 @@ def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "quarantine") + "/run"
     feed = views.quotes(spark, sf_dir)
     handle(spark, feed, folder, by=("provider",), id_columns=("feed_row",), abort=False)
-    columns = [c for c in feed.columns if c != "provider"]
-    schema = ", ".join(f"{c} string" for c in columns)
-    stored = spark.read.schema(schema).csv(f"{folder}/invalid/provider=*", header=True)
-    provider = F.regexp_extract(F.col("_metadata.file_path"), "provider=([^/]+)/", 1)
-    return stored.select(provider.alias("provider"), "feed_row", "date", F.col("volume").cast("bigint").alias("volume"))
+    kept = read_quarantine(spark, folder, feed.columns)
+    return kept.select("provider", "feed_row", "date", F.col("volume").cast("bigint").alias("volume"))
+
+
+@query(
+    "feed_of_nested_labels",
+    """SELECT upper(replace(trim(ticker), '.sa', '')) AS ticker, coalesce(TRY_CAST(date AS DATE), CAST(TRY_STRPTIME(date, '%m-%d-%Y') AS DATE)) AS date,
+      TRY_CAST(close AS DOUBLE) AS close, CAST(NULL AS DOUBLE) AS adj_close, 'nested' AS source, feed_row FROM raw_quotes WHERE ticker <> '??'""",
+    ("raw_quotes",),
+)
+def feed_of_nested_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider of its own labels, in two levels, whose optional adjusted close is missing."""
+    raw = views.raw_quotes(spark, sf_dir).filter("Ticker != '??'")
+    labels = {"Open": "o", "High": "h", "Low": "l", "Close": "last price", "Volume": "traded"}
+    nested = raw.select("Ticker", "Date", "feed_row", *(F.struct(F.col(c).alias("X")).alias(label) for c, label in labels.items()))
+    register_provider(ProviderMapping("nested", {c.lower(): (label,) for c, label in labels.items()}))
+    fields = (*PRICES, Field("adj_close", "float"))
+    mapped = to_canonical(flatten_labels(nested), "nested", lenient_ticker(F.col("Ticker")), views.FETCHED, fields=fields, keep=("feed_row",))
+    return mapped.select("ticker", "date", "close", "adj_close", "source", "feed_row")
+
+
+@query(
+    "sample_pull_files",
+    """SELECT feed_row, r.close AS raw_close, c.ticker, c.date, c.close, c.volume FROM (SELECT *,
+        coalesce(TRY_CAST(date AS DATE), CAST(TRY_STRPTIME(date, '%m-%d-%Y') AS DATE)) AS d FROM raw_quotes) r
+      JOIN (SELECT feed_row, ticker, coalesce(TRY_CAST(date AS DATE), CAST(TRY_STRPTIME(date, '%m-%d-%Y') AS DATE)) AS date,
+        TRY_CAST(close AS DOUBLE) AS close, CASE WHEN TRY_CAST(volume AS DOUBLE) = floor(TRY_CAST(volume AS DOUBLE))
+        THEN CAST(TRY_CAST(volume AS DOUBLE) AS BIGINT) END AS volume FROM raw_quotes) c USING (feed_row)
+      WHERE d BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'""",
+    ("raw_quotes",),
+)
+def sample_pull_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month of a raw feed and of its canonical rows, each in files of its own, read back and put side by side."""
+    folder = scratch_dir(spark, "sample")
+    feed = views.raw_quotes(spark, sf_dir)
+    raw, canonical = pull_sample(feed, F.col("provider"), date(1997, 3, 31), start="1997-03-01", end="1997-03-31", fetched_at=views.FETCHED)
+    save_sample(raw, canonical, folder)
+    texts = spark.read.schema(", ".join(f"`{c}` string" for c in feed.columns)).csv(f"{folder}/raw", header=True)
+    rows = spark.read.schema(canonical.schema).csv(f"{folder}/canonical", header=True)
+    # the canonical checksum is that of the raw values
+    values = F.concat_ws("\x1f", *(F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in feed.columns))
+    texts = texts.select("feed_row", F.col("Close").alias("raw_close"), F.sha2(values, 256).alias("raw_checksum"))
+    return texts.join(rows, "raw_checksum").select("feed_row", "raw_close", "ticker", "date", "close", "volume")
 
 
 @query(

@@ -488,3 +488,30 @@ def log_metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search_log(views.job_log(spark, sf_dir), status="error", since="2024-01-10", limit=50, offset=100)
     return found.withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss")).drop("finished_at")
+
+
+@query(
+    "log_search_next_page",
+    """SELECT ticker, job_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, rows AS rows_fetched, error_message FROM job_log
+      WHERE status = 'error' AND (started_at, job_id) > (SELECT (started_at, job_id) FROM job_log WHERE status = 'error'
+        ORDER BY started_at, job_id LIMIT 1 OFFSET 49) ORDER BY job_log.started_at, job_log.job_id LIMIT 50""",
+    ("job_log",),
+)
+def log_search_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the errors, found by the last entry of the first."""
+    log = views.job_log(spark, sf_dir)
+    last = search_log(log, status="error", limit=50).agg(F.max(F.struct("started_at", "job_id")).alias("m")).select("m.*").first()
+    page = search_log(log, status="error", limit=50, after=(last["started_at"], last["job_id"]))
+    return page.select("ticker", "job_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "rows_fetched", "error_message")
+
+
+@query(
+    "adjusted_returns",
+    """SELECT ticker, date, round(p / prev - 1, 6) AS return_value FROM (SELECT ticker, date, close * 2 + volume AS p,
+      lag(close * 2 + volume) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM bars) WHERE prev IS NOT NULL""",
+    ("bars",),
+)
+def adjusted_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns take the adjusted close where a table has one."""
+    prices = views.bars(spark, sf_dir).withColumn("adj_close", F.col("close") * 2 + F.col("volume"))
+    return rounded(simple_returns(prices), "return_value")

@@ -167,3 +167,15 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.catalog(spark, sf_dir).select(
         "id", values.decode_payload(F.col("payload"))["start"].alias("start"), encoded.alias("encoded")
     )
+
+
+@query(
+    "zoned_stamps",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(date_trunc('second', ts), '%Y%m%dT%H%M%SZ')
+      WHEN 1 THEN strftime(date_trunc('second', ts) - INTERVAL 2 HOUR, '%Y%m%dT%H%M%SZ') END AS stamp FROM events""",
+)
+def zoned_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times with a zone become stamps; times without one are refused."""
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "+02:00").otherwise("")
+    return views.table(spark, sf_dir, "events").select("event_id", dates.zoned_stamp(F.concat(text, zone)).alias("stamp"))

@@ -199,6 +199,10 @@ def read_generations(spark: SparkSession, folders: list[str], fields: tuple[Fiel
     return reduce(DataFrame.unionByName, frames)
 
 
+#: Raw values keep their blanks, which a CSV writer would trim.
+AS_GIVEN = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_raw_feed(feed: DataFrame, path: str, stamp: str, by: tuple[str, ...] = ("provider", "ticker")) -> None:
     """Add a raw feed below ``provider=/ticker=/ingest_ts=`` as CSV; the same pull again replaces its own folders."""
     (
@@ -206,6 +210,7 @@ def write_raw_feed(feed: DataFrame, path: str, stamp: str, by: tuple[str, ...] =
         .hint("rebalance", *(F.col(c) for c in by))  # one writer per folder, more for a large one
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .options(**AS_GIVEN)
         .partitionBy(*by, "ingest_ts")
         .csv(path, header=True)
     )

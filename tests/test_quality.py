@@ -4,8 +4,10 @@ import json
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from barwright import schema
+from barwright.functions.dates import stamp_of
 from barwright.functions.values import threshold_column, threshold_setting
 from barwright.operators.mapping import (
     MappingError,
@@ -29,6 +31,7 @@ from barwright.operators.quality import (
     summarize,
     valid_rows,
     validation_events,
+    quarantined_rows,
 )
 
 
@@ -198,3 +201,24 @@ def test_metadata_contract(spark):
     found = {r.i: r.problems for r in check_metadata(frame, "d").collect()}
     assert found[0] == [] and all(found[i] for i in found if i)
     assert found[99] == ["not a JSON object"]
+
+
+def test_quarantine_has_as_many_folders_as_buckets(spark, tmp_path):
+    feed = spark.createDataFrame(
+        [(f"T{n}", "2023-01-02", "1", "0.5", "1", "1", "5", "desk", f"p{n % 3}", n) for n in range(50)],
+        "ticker string, date string, open string, high string, low string, close string, volume string, source string, provider string, n int",
+    ).withColumns({"fetched_at": F.lit("2024-01-01").cast("timestamp"), "raw_checksum": F.lit("x")})
+    handle(spark, feed, f"{tmp_path}/run", by=("provider", "ticker"), id_columns=("n",), abort=False, buckets=4)
+    assert len(list((tmp_path / "run" / "invalid").glob("_bucket=*"))) <= 4
+    kept = quarantined_rows(spark, f"{tmp_path}/run", feed.columns).collect()
+    assert sorted((r.ticker, r.provider, r.high, r.n) for r in kept) == sorted((f"T{n}", f"p{n % 3}", "0.5", str(n)) for n in range(50))
+
+
+def test_stamps_need_a_zone():
+    from datetime import datetime, timedelta, timezone
+
+    assert stamp_of(datetime(2024, 1, 31, 1, tzinfo=timezone(timedelta(hours=2)))) == "20240130T230000Z"
+    assert stamp_of("20240131T000000Z") == "20240131T000000Z"
+    for wrong in (datetime(2024, 1, 31), "2024-01-31", "20240131T000000", "20240131T000000Z "):
+        with pytest.raises(ValueError):
+            stamp_of(wrong)

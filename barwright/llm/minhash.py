@@ -230,8 +230,11 @@ def near_duplicates(
         .select(F.col("leader.class_id").alias("a"), F.col("class_id").alias("b"))
         .distinct()
     )
+    # different texts of one id: every class of the id is linked to its least
     several = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b")
-    links = _confirmed(pairs, docs, shingle, percent).unionByName(several.select("a", "b"))
+    several = stored(spark, "near-repeated-ids", several.select("doc_id", "a"))
+    several = members.join(several, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct()
+    links = _confirmed(pairs, docs, shingle, percent).unionByName(several)
     links = stored(spark, "near-links", links)
     joined = components(links)
 

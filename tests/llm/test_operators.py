@@ -34,6 +34,13 @@ def test_near_groups_of_odd_rows(run, table_dir, odd):
     assert len(got) == len(expected)
 
 
+def test_one_id_with_three_texts_joins_all_their_groups(run, table_dir):
+    texts = {3: "alpha beta gamma delta", 5: "one two three four five", 7: "red green blue yellow", 11: "one two three four five", 13: "quite another text here"}
+    rows = [*texts.items(), (9, texts[3]), (9, texts[5]), (9, texts[7])]
+    got = {r["doc_id"]: r["component_id"] for r in run("op1_minhash_dedup", table_dir(rows))}
+    assert got == {3: 3, 5: 3, 7: 3, 9: 3, 11: 3, 13: 13}
+
+
 def test_tensored_keys_cost_fewer_minhashes():
     from barwright.llm import minhash
 

@@ -97,6 +97,23 @@ def test_language_of_odd_rows(run, table_dir, odd):
     assert {r["lang_pred"] for r in run("op3_language_id", table_dir([(1, "abc", None)]))} == {"und"}
 
 
+def test_the_language_of_the_mixture_must_explain_a_word():
+    """One word that another language explains does not keep a text whose own language explains none."""
+    import numpy as np
+    import pyarrow as pa
+    from barwright.llm import language as g
+
+    table = np.full((g.BUCKETS, 2), -12.0, np.float32)  # both below chance
+    table[:, 1] = -13.0
+    texts = pa.array(["one two three four five six seven zzz", "zzz", "one", "7 8"])
+    grams, _ = g.word_grams(g.flat(pa.array(["zzz"])), g.flat(pa.array(["zzz"])).words())
+    table[grams, 1] = -10.0
+    found = g._mixed(pa.RecordBatch.from_arrays([texts], names=["text"]), ["a", "b"], table)
+    assert found.best.tolist() == [0, 1, 0, 0]
+    assert g.explained(found).tolist() == [False, True, False, False]
+    assert found.lettered.tolist() == [True, True, True, False]
+
+
 def test_mixture_has_both_languages(spark):
     import numpy as np
     from barwright.llm.language import shares

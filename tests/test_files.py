@@ -15,9 +15,19 @@ from barwright.operators.ingest import create_snapshots, ingest_csv_folder, late
 from barwright.operators.integrity import verify_restores
 from barwright.operators.quality import annotate
 from barwright.operators.retention import prune
-from barwright.sources.files import ARROW_SCHEMES, NoFileSystem, _file_system, copy_files, file_facts, listed_files, remove_files
+from barwright.sources.files import (
+    ARROW_SCHEMES,
+    NoFileSystem,
+    _file_system,
+    copy_files,
+    facts_of,
+    file_facts,
+    listed_files,
+    remove_files,
+    write_csv_folders,
+)
 from barwright.sources.log import ProcessedFiles, RunLog
-from barwright.sources.prices import header_columns
+from barwright.sources.prices import header_columns, header_groups, headers_of, read_grouped_csv, read_small_csv
 from barwright.sources.table import YearTable
 from barwright.streaming.ingest import quarantined, start_ingest
 
@@ -253,3 +263,39 @@ def test_audit_events(spark, bars, tmp_path):
     assert [d.reason_code for d in problem.error_details] == ["ADAPTER_VALIDATION"] * 2 and problem.ticker == "AAAA3"
     log.record("bad", invalid_row_events(bad, "bad", AS_OF, "n"))
     assert rows(log.events(job_id="bad").select("kind", "invalid_count")) == [("invalid_rows", 1)]
+
+
+def test_folders_of_small_files_are_those_that_spark_writes(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("a/b=c%é ^[x]{", 1, " lead", 'x,"y'), (None, 2, None, ""), ("", 3, "l\n2", "ü"), ("p:q", 4, " ", " t "), ("p:q", 5, "z", None)],
+        "k string, n int, s string, `t,u` string",
+    ).repartition(1)
+    for i, options in enumerate(({}, {"quoteAll": "true"})):
+        rows.sortWithinPartitions("k", "n").write.partitionBy("k").options(header="true", maxRecordsPerFile="1", **options).csv(f"{tmp_path}/a{i}")
+        write_csv_folders(rows, f"{tmp_path}/b{i}", ("k",), ("n",), 1, **options)
+
+        def held(root):
+            return sorted((str(f.parent.relative_to(root)), f.read_bytes()) for f in root.rglob("*.csv"))
+
+        assert held(tmp_path / f"a{i}") == held(tmp_path / f"b{i}")
+        assert not [f for f in (tmp_path / f"b{i}").rglob("*") if f.name.startswith(".")]
+    with pytest.raises(FileExistsError):
+        write_csv_folders(rows, f"{tmp_path}/b0", ("k",))
+
+
+def test_lines_read_by_the_tasks_are_those_of_sparks_csv_source(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes(
+        b'ticker,date,close\nA,2020-01-01,1\n\n  \nB,2020\nC,2020-01-01,1,extra\n"q,1",x,"2\n D , e , \xff\n"",,\r\nE,1,2\rF,"a""b",3\n,,\n#c,1,2\n'
+    )
+    (folder / "b +%1.csv").write_bytes(b'\xef\xbb\xbfDate, Ticker ,no`te\n2020-01-02,B,"x, y"\n2020-01-03,C,\n')
+    (folder / "b +%1.csv.checksum").write_bytes(b"ABC  b\n")
+    facts = file_facts(spark, str(folder), "*.csv")
+    own = facts_of(listed_files(spark, str(folder), "*.csv"), 2)
+    assert facts.orderBy("path").collect() == own.drop("expected").orderBy("path").collect()
+    assert [r.expected for r in own.orderBy("path").collect()] == [None, "abc"]
+    order = ("_path", "_block", "_row")
+    before = read_grouped_csv(spark, header_groups(facts)[0]).orderBy(*order).drop("_row").collect()
+    after = read_small_csv(own.join(headers_of(own), "header"), tasks=2).orderBy(*order).drop("_row").collect()
+    assert before == after and len(after) == 12

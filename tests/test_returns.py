@@ -243,3 +243,20 @@ def test_portfolio_variance_from_sums_by_date(spark):
         assert summed_by_dates(frame).select("ticker").distinct().count() == (1 if share == 1 else 6)
         total = pair_statistics(frame).agg(F.sum("covariance")).first()[0]
         assert total_covariance(frame).first()[0] == pytest.approx(total)
+
+
+def test_pairs_of_blocks_shuffle_no_copies_of_rows(spark):
+    """Rows are written once, in their block: the plan of the sums deals numbers of blocks only."""
+    returns = returns_frame(spark, tickers=9)
+    text = pair_sums(returns, block=2)._jdf.queryExecution().executedPlan().toString()
+    assert "Range" in text and "values" not in text and text.count("hashpartitioning(low") == 1
+    dealt = correlation._in_blocks(correlation._from_origin(correlation._packed(returns, "return_value"), origins(returns)), F.lit(4))
+    again = dealt.repartition("low", "high").sortWithinPartitions("low", "high", "year").mapInArrow(correlation._add_up, correlation.SUM_SCHEMA)
+
+    def held(df):
+        return {(r.ticker_a, r.ticker_b): tuple(r)[2:] for r in df.collect()}
+
+    one, other = held(pair_sums(returns, block=2)), held(again)
+    assert one.keys() == other.keys()
+    for pair, sums in one.items():
+        assert sums == pytest.approx(other[pair], abs=1e-12)

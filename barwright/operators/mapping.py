@@ -114,11 +114,11 @@ def explode_series(df: DataFrame, document: str, series_key: str, ticker_path: s
     series = F.from_json(
         F.get_json_object(F.col(document), f"$['{series_key}']"), "map<string,map<string,string>>"
     )
+    ticker = F.get_json_object(F.col(document), ticker_path)
+    # read once a document, by a generator of one row: beside the second generator it would be read anew for every date
+    read = df.select(F.explode(F.array(F.struct(ticker.alias("ticker"), F.map_entries(series).alias("entries")))).alias("_read"))
     entry = F.col("_entry")
-    return df.select(
-        F.get_json_object(F.col(document), ticker_path).alias("ticker"),
-        F.explode(F.map_entries(series)).alias("_entry"),
-    ).select(
+    return read.select("_read.ticker", "_read.entries").select("ticker", F.explode("entries").alias("_entry")).select(
         "ticker",
         entry["key"].alias("date"),
         *(entry["value"].getItem(label).alias(label) for label in sorted(labels)),
@@ -131,14 +131,15 @@ def to_number(value: Column) -> Column:
     Type suffixes (``1d``) and hexadecimal text are refused, although a plain cast takes them.
     """
     text = value.cast("string")
-    number = F.when(~text.rlike(r"[xX]|[0-9.][dDfF]\s*$"), text).try_cast("double")
+    usual = ~text.rlike("[xXdDfF]")  # spares most text the slower pattern, which begins anew at every place
+    number = F.when(usual | ~text.rlike(r"[xX]|[0-9.][dDfF]\s*$"), text).try_cast("double")
     return F.nanvl(number, F.lit(None).cast("double"))
 
 
 def to_count(value: Column) -> Column:
     """A whole number out of text such as ``100`` or ``100.0``; a fractional value becomes null."""
     text = value.cast("string")
-    whole = F.regexp_replace(text, r"\.0*\s*$", "").try_cast("bigint")
+    whole = F.when(text.contains("."), F.regexp_replace(text, r"\.0*\s*$", "")).otherwise(text).try_cast("bigint")
     number = to_number(value)  # only text such as 1e3 gets here
     return F.coalesce(whole, F.when(number == F.floor(number), number.try_cast("bigint")))
 

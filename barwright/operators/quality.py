@@ -7,6 +7,8 @@ the map side, so no rule, provider or ticker however common gathers its rows in
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from pyspark.sql import types as T
 
 from barwright.functions.dates import lenient_date
 from barwright.functions.values import DEFAULT_THRESHOLD, threshold_column
-from barwright.operators.mapping import MappingError, missing_feed_columns, strict_high_low, to_count, to_number
+from barwright.operators.mapping import MappingError, missing_feed_columns, quoted, strict_high_low, to_count, to_number
 from barwright.schema import ERROR_TYPE, OHLC, PRICES, Field, names, required
+from barwright.session import scratch_dir
 
 # The reason codes.
 MISSING_COL = "MISSING_COL"
@@ -71,14 +74,13 @@ class Rule:
         return F.when(self.hits, error)
 
 
+#: How the text of each checked column becomes a value.
+COERCED = {"date": lenient_date, **{name: to_number for name in OHLC}, "volume": to_count}
+
+
 def coerce(df: DataFrame) -> DataFrame:
     """Typed date, prices and volume; what does not parse becomes null."""
-    typed = {
-        "date": lambda c: lenient_date(c.cast("string")),
-        **{name: to_number for name in OHLC},
-        "volume": to_count,
-    }
-    return df.withColumns({name: make(F.col(name)) for name, make in typed.items() if name in df.columns})
+    return df.withColumns({name: make(F.col(name).cast("string")) for name, make in COERCED.items() if name in df.columns})
 
 
 def high_low_rule(strict: bool = False) -> Rule:
@@ -141,9 +143,17 @@ def annotate(
         )
         return coerce(df).withColumn("errors", F.array(error).cast(f"array<{ERROR_TYPE}>"))
     rules = [*price_rules(df, fields, strict, negative_volume), *extra_rules]
-    raw = F.struct(*(F.col(c).cast("string").alias(c) for c in ("date", *OHLC, "volume")))
-    errors = F.array_compact(F.array(*(rule.as_error() for rule in rules)))
-    return coerce(df.withColumn("_raw", raw)).withColumn("errors", errors).drop("_raw")
+    checked = ("date", *OHLC, "volume")
+    broken = reduce(or_, (rule.hits for rule in rules))
+    errors = F.when(broken, F.array_compact(F.array(*(rule.as_error() for rule in rules)))).otherwise(F.array().cast(f"array<{ERROR_TYPE}>"))
+    # Generators of one row each: a filter on the errors stays above them. Below, it would spell out every rule down to the source's
+    # own expressions, once for each mention of a column, and compute all of that for every row.
+    raw = F.struct(*(F.col(c).cast("string").alias(c) for c in checked))
+    given = df.select("*", F.explode(F.array(raw)).alias("_raw"))
+    typed = F.explode(F.array(F.struct(*(make(F.col("_raw")[c]).alias(c) for c, make in COERCED.items())))).alias("_typed")
+    columns = [F.col("_typed")[c].alias(c) if c in checked else quoted(c) for c in df.columns]
+    checked_rows = given.select("*", typed).select(*columns, "_raw")
+    return checked_rows.select("*", F.explode(F.array(errors)).alias("errors")).drop("_raw")
 
 
 def valid_rows(annotated: DataFrame) -> DataFrame:
@@ -239,7 +249,10 @@ def validation_events(
     A group with many invalid rows becomes several events (``part`` of ``parts``) of about
     ``details_per_event`` rows each, so no event grows with the data and no detail is left out.
     """
-    bad = invalid_rows(annotated)
+    spark, folder = annotated.sparkSession, f"{scratch_dir(annotated.sparkSession, 'invalid')}/t"
+    bad = invalid_rows(annotated).select(*by, *(c for c in id_columns if c not in by), "errors")
+    bad.write.parquet(folder)  # counted and joined: the rules run once, and only what they found is read twice
+    bad = spark.read.schema(bad.schema).parquet(folder)
     sizes = bad.groupBy(*by).agg(F.count("*").alias("invalid_count"))
     spread = F.pmod(F.xxhash64(*(F.col(c) for c in id_columns), F.col("errors")), F.col("parts"))
     parts = F.ceil(F.col("invalid_count") / details_per_event).cast("long")

@@ -121,7 +121,7 @@ def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.selectExpr(
         "CASE WHEN k % 127 = 0 THEN '??' WHEN k % 3 = 0 THEN concat(' ', lower(ticker), '.sa ') ELSE ticker END AS Ticker",
         "CASE WHEN k % 103 = 0 THEN 'not a date' WHEN k % 5 = 0 THEN date_format(date, 'MM-dd-yyyy') "
-        "ELSE date_format(date, 'yyyy-MM-dd') END AS Date",
+        "ELSE cast(date as string) END AS Date",
         f"CASE WHEN k % 97 = 0 THEN 'bad' ELSE {text('open')} END AS Open",
         f"CASE WHEN k % 107 = 0 THEN {text('low')} ELSE {text('high')} END AS High",
         f"CASE WHEN k % 107 = 0 THEN {text('high')} ELSE {text('low')} END AS Low",

@@ -222,3 +222,37 @@ def test_stamps_need_a_zone():
     for wrong in (datetime(2024, 1, 31), "2024-01-31", "20240131T000000", "20240131T000000Z "):
         with pytest.raises(ValueError):
             stamp_of(wrong)
+
+
+def test_a_filter_on_errors_does_not_repeat_the_source(spark):
+    from pyspark.sql import types as T
+
+    from barwright.operators.quality import annotate
+
+    text = F.concat(F.col("id").cast("string"), F.lit("marker"))
+    columns = {f.name: text if f.kind in ("string", "date", "float", "int") else F.current_timestamp() for f in schema.PRICES}
+    checked = annotate(spark.range(3).select(*(c.alias(n) for n, c in columns.items())), strict=True)
+    found = checked.filter(F.exists("errors", lambda e: e["reason_code"] == "BAD_DATE")).select("ticker", "date")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("marker") <= len(columns) and isinstance(checked.schema["date"].dataType, T.DateType)
+    assert found.count() == 3
+
+
+def test_a_document_names_its_ticker_once(spark):
+    from barwright.operators.mapping import explode_series
+
+    text = '{"Meta": {"S": "AAAA3"}, "D": {"2021-06-01": {"1. open": "1"}, "2021-06-02": {"1. open": "2"}}}'
+    found = explode_series(spark.createDataFrame([(text,), ("no document",), (None,)], "answer string"), "answer", "D", "$['Meta']['S']")
+    assert rows(found.select("ticker", "date", "`1. open`")) == [("AAAA3", "2021-06-01", "1"), ("AAAA3", "2021-06-02", "2")]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "get_json_object" not in above  # not once a date
+
+
+def test_plain_dates_are_read_like_all_others(spark):
+    from barwright.functions.dates import feed_date, lenient_date
+
+    texts = ["2021-06-01", " 2021-06-01 ", "2021-02-30", "2021-6-1", "06-01-2021", "2021-06-01\n", "2021-06-01T23:30:00-05:00", "x", "", None]
+    day, c = F.lit("2021-06-01").cast("date"), F.col("t")
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(feed_date(c) == day, lenient_date(c) == day).collect()
+    assert [r[0] for r in found] == [True, True, None, True, True, None, None, None, None, None]
+    assert [r[1] for r in found] == [True, True, None, True, None, True, False, None, None, None]

@@ -16,7 +16,8 @@ def _trimmed_upper(ticker: Column) -> Column:
 
 def lenient_ticker(ticker: Column) -> Column:
     """Trim, upper-case and drop one exchange suffix, without a validity test."""
-    return F.regexp_replace(_trimmed_upper(ticker), r"\.SA$", "")
+    lenient = F.regexp_replace(_trimmed_upper(ticker), r"\.SA$", "")
+    return F.when(ticker.rlike("^[A-Z0-9]+$") & ~ticker.endswith("\n"), ticker).otherwise(lenient)  # most are in that form already
 
 
 def normalize_ticker(ticker: Column) -> Column:

@@ -7,7 +7,7 @@ writes new ones for what it touches, so only their rows are hashed, and the sums
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.functions.fingerprints import WORDS, fingerprint_of, row_checksum, word_sums
@@ -37,7 +37,7 @@ class TablePrints:
         rows = self.table.load(units)
         if not units:
             return rows.withColumn("unit", F.lit(None).cast("string"))
-        return rows.withColumn("unit", F.regexp_replace(decoded_path(F.col("_metadata.file_path")), "/[^/]+$", ""))
+        return rows.withColumn("unit", _unit_of("_metadata.file_path"))
 
     def new_rows(self, version: int | None = None) -> DataFrame:
         """The rows that have to be hashed, with the unit that holds them."""
@@ -49,8 +49,10 @@ class TablePrints:
         for unit in self.missing(version):
             by_folder.setdefault(_folder(unit), []).append(unit)
         for folder, units in by_folder.items():  # one or few a run: an upsert writes one data folder
-            sums = self._rows(units).select("unit", "ticker", row_checksum().alias("_digest")).groupBy("unit", "ticker")
-            self.log.record(folder, sums.agg(F.count("*").alias("rows"), *word_sums(F.col("_digest"))))
+            rows = self.table.load(units).select(F.col("_metadata.file_path").alias("_file"), "ticker", row_checksum().alias("_digest"))
+            files = rows.groupBy("_file", "ticker").agg(F.count("*").alias("rows"), *word_sums(F.col("_digest")))  # paths are decoded once a file and ticker
+            sums = files.withColumn("unit", _unit_of("_file")).groupBy("unit", "ticker")
+            self.log.record(folder, sums.agg(F.sum("rows").alias("rows"), *(F.sum(f"w{i}").alias(f"w{i}") for i in range(WORDS))))
 
     def fingerprints(self, version: int | None = None) -> DataFrame:
         """``ticker, checksum, rows`` of a version, the newest by default: as :func:`ticker_fingerprints` of its rows."""
@@ -61,6 +63,11 @@ class TablePrints:
         return kept.groupBy("ticker").agg(fingerprint_of(F.sum("rows"), words).alias("checksum"), F.sum("rows").alias("rows"))
 
 
+def _unit_of(file: str) -> Column:
+    """The folder that a file lies in."""
+    return F.regexp_replace(decoded_path(F.col(file)), "/[^/]+$", "")
+
+
 def _folder(unit: str) -> str:
     """The name of the data folder that a unit lies in, which its upsert has written."""
     return unit.split("/_year=", 1)[0].rsplit("/", 1)[1]

@@ -17,9 +17,9 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barwright.functions.tickers import lenient_ticker
-from barwright.operators.diff import merge
 from barwright.schema import PRICE_KEY, PRICES, Field, fields_from_json, fields_to_json, struct_type
 from barwright.sources.prices import read_prices, stored_form
 
@@ -130,7 +130,8 @@ class YearTable:
     ) -> int:
         """Merge rows that are unique by key, and publish the result as the next version.
 
-        ``combine(stored, incoming)`` gives the merged rows; the default replaces rows with equal keys. The incoming rows
+        ``combine(stored, incoming)`` gives the merged rows; the default replaces rows with equal keys: the incoming rows are
+        written as units at once, and the stored rows that stay are added to them. The incoming rows
         are computed once, and their keys are checked before anything is merged: stored rows were checked when they
         came. Only the units that the incoming rows touch are read and written. ``source`` and ``batch_id`` are kept
         with the version, also when a batch has no rows. ``prepared`` rows are taken as they are: written already, with typed
@@ -139,19 +140,28 @@ class YearTable:
         current = self._published()
         version = current[0]["version"] if current else 0
         fields = self._declared(current)
-        staged = self._placed(incoming, fields) if prepared else self._staged(incoming, fields)
+        number = max(self._numbers(), default=0) + 1
+        target = f"{self.root}/data/v={number}-{uuid.uuid4().hex}"
+        if combine is None:
+            rows = incoming.select(*(f.name for f in fields)) if prepared else self._typed(incoming, fields)
+            self._write(rows, target)
+            staged = self._written(target, fields)
+            if not prepared:
+                self._check_keys(staged)
+        else:
+            staged = self._placed(incoming, fields) if prepared else self._staged(incoming, fields)
         units = sorted(tuple(r) for r in staged.select("_year", "_bucket").distinct().collect())  # years x buckets at most
         if not units and source is None:
             return version
+        version = number
         touched = set(units)
         kept = [r for r in current if r["path"] is not None and (r["year"], r["bucket"]) not in touched]
         paths = [r["path"] for r in current if (r["year"], r["bucket"]) in touched and r["path"] is not None]
         stored = self.load(paths, fields)
-        version = max(self._numbers(), default=0) + 1
-        target = f"{self.root}/data/v={version}-{uuid.uuid4().hex}"
-        if units:
-            merged = (combine or (lambda old, new: merge(old, new, self.keys)))(stored, staged.drop("_year", "_bucket"))
-            self._write(merged, target)
+        if combine is not None and units:
+            self._write(combine(stored, staged.drop("_year", "_bucket")), target)
+        elif paths:
+            self._add_kept(stored, staged, target)
         marks = {r["source"]: r["batch_id"] for r in current if r["source"] is not None}
         if source is not None:
             marks[source] = batch_id
@@ -188,13 +198,34 @@ class YearTable:
         self._publish(version, _units_of(target, units), marks, current, fields_to_json(fields))
         return version
 
-    def _write(self, rows: DataFrame, target: str) -> None:
+    def _written(self, target: str, fields: tuple[Field, ...]) -> DataFrame:
+        """The rows of the units below a data folder, with their unit."""
+        schema = struct_type(fields).add("_year", T.IntegerType()).add("_bucket", T.IntegerType())
+        return self.spark.read.schema(schema).parquet(target)
+
+    def _add_kept(self, stored: DataFrame, staged: DataFrame, target: str) -> None:
+        """Add the stored rows whose keys do not come again to the units of the incoming rows.
+
+        Which keys stay is found on keys alone; whole rows are moved only for keys that stay.
+        """
+        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+        keys = list(self.keys)
+        stored.select(*keys).join(staged.select(*keys), keys, "left_anti").write.option("compression", "zstd").parquet(staging)
+        staying = self.spark.read.schema(stored.select(*keys).schema).parquet(staging)
+        if not staying.isEmpty():
+            self._write(stored.join(staying, keys, "left_semi"), target, "append")
+
+    def _write(self, rows: DataFrame, target: str, mode: str = "errorifexists") -> None:
         """Rows as unit folders; AQE splits big units and packs small ones, without sampling."""
+        texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in self.keys]
         (
             rows.withColumns({"_year": F.year("date"), "_bucket": self._bucket()})
+            .withColumns({name: _packed(F.col(name)) for name in texts})
             .hint("rebalance", F.col("_year"), F.col("_bucket"))
+            .withColumns({name: _unpacked(F.col(name)) for name in texts})
             .sortWithinPartitions("_year", "_bucket", *self.keys)
-            .write.mode("errorifexists")
+            .write.mode(mode)
+            .option("compression", "zstd")  # checksums are half of a row, and other codecs leave them as they are
             .partitionBy("_year", "_bucket")
             .parquet(target)
         )
@@ -211,14 +242,17 @@ class YearTable:
         """The table's columns with the unit that each row belongs to."""
         return rows.select(*(f.name for f in fields)).withColumns({"_year": F.year("date"), "_bucket": self._bucket()})
 
-    def _staged(self, incoming: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
-        """Incoming rows in stored form, written once, with their keys checked."""
-        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+    def _typed(self, incoming: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+        """Incoming rows in stored form."""
         rows = incoming
         if "ticker" in incoming.columns:
             rows = rows.withColumn("ticker", F.nullif(lenient_ticker(F.col("ticker")), F.lit("")))
-        rows = rows.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in fields))
-        self._placed(rows, fields).write.parquet(staging)
+        return rows.select(*(F.col(f.name).cast(f.spark_type).alias(f.name) for f in fields))
+
+    def _staged(self, incoming: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+        """Incoming rows in stored form, written once, with their keys checked."""
+        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+        self._placed(self._typed(incoming, fields), fields).write.option("compression", "zstd").parquet(staging)
         staged = self.spark.read.parquet(staging)
         self._check_keys(staged)
         return staged
@@ -238,5 +272,18 @@ class YearTable:
         return self.spark.read.schema(VERSION_SCHEMA).json(f"{self.root}/versions/v=*")
 
 
+def _packed(text: Column) -> Column:
+    """A text as bytes for a shuffle: a checksum, half of a row's bytes there, as the bytes that it spells. Null stays null."""
+    spelled = F.unhex(F.when(F.octet_length(text) == 64, text))
+    plain = F.concat(F.lit(b"\0"), text.cast("binary"))
+    return F.when(F.coalesce(F.lower(F.hex(spelled)) == text, F.lit(False)), F.concat(F.lit(b"\1"), spelled)).otherwise(plain)
+
+
+def _unpacked(packed: Column) -> Column:
+    """The text of :func:`_packed` bytes."""
+    held = F.substring(packed, 2, 2**31 - 1)
+    return F.when(F.substring(packed, 1, 1) == F.lit(b"\1"), F.lower(F.hex(held))).otherwise(held.cast("string"))
+
+
 def _units_of(target: str, units: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     return [(year, bucket, f"{target}/_year={year}/_bucket={bucket}") for year, bucket in units]

@@ -359,3 +359,32 @@ def test_migration_counts_before_it_publishes(spark, bars, tmp_path):
     table.upsert(bars([("AAAA3", "2021-06-01", 9.0)]).withColumnRenamed("close", "last"))  # by the new columns
     again = YearTable(spark, f"{tmp_path}/prices")
     assert {(str(r.date), r.last) for r in again.read().collect()} == {("2021-06-01", 9.0), ("2022-06-01", 2.0)}
+
+
+def test_first_rows_are_written_once_and_kept_rows_join_their_unit(spark, bars, tmp_path):
+    table = YearTable(spark, f"{tmp_path}/prices", buckets=1)
+    table.upsert(bars([("AAAA3", "2021-06-01", 1.0), ("BBBB3", "2021-06-01", 2.0)]))
+    assert not Path(f"{tmp_path}/prices/staging").exists()  # the units are the only copy
+    table.upsert(bars([("BBBB3", "2021-06-01", 3.0), ("CCCC3", "2021-06-01", 4.0)]))
+    assert closes(table.read()) == {("AAAA3", "2021-06-01"): 1.0, ("BBBB3", "2021-06-01"): 3.0, ("CCCC3", "2021-06-01"): 4.0}
+    assert len(table.unit_paths()) == 1 and closes(table.read(version=1))[("BBBB3", "2021-06-01")] == 2.0
+
+
+def test_texts_come_back_from_a_shuffle_as_they_were(spark):
+    from barwright.sources.table import _packed, _unpacked
+
+    digest = "0123456789abcdef" * 4
+    texts = [digest, digest.upper(), digest[:-1] + "x", digest[:-2], "", "\x01" + digest, "é" * 32, None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _packed(F.col("t")).alias("p"))
+    found = frame.select("t", _unpacked(F.col("p")).alias("u"), F.octet_length("p").alias("n")).collect()
+    assert [r.u for r in found] == texts and found[0].n == 33
+
+
+def test_word_sums_add_plain_longs(spark):
+    from barwright.functions.fingerprints import WORDS, word_sums
+
+    digests = ["ffffffff" * WORDS, "0001ffff" * WORDS, "00000001" * WORDS]
+    sums = spark.createDataFrame([(d,) for d in digests], "d string").groupBy().agg(*word_sums(F.col("d")))
+    assert {f.dataType.simpleString() for f in sums.schema} == {"decimal(38,0)"}
+    assert [int(v) for v in sums.first()] == [0xFFFFFFFF + 0x1FFFF + 1] * WORDS
+    assert "sum(cast(conv" not in sums._jdf.queryExecution().optimizedPlan().toString().lower()

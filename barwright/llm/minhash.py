@@ -7,8 +7,9 @@ and not ``2 * GROUPS**2 * ROWS``. Two documents of similarity s share a table wi
 
 Documents with equal sets are one class first, so copies never meet pairwise. Sub-keys that only one class has are dropped
 before pairs of sub-keys are formed. In a table's bucket every class is compared with the smallest one. Where a bucket's
-members are then still in several components, they are compared across components by a join on their rarest shingles,
-which leaves out no similar pair; links inside a component can't change the result.
+members are then still in several components, they are compared across components by a join on their rarest shingles: in
+rounds one member of each component first, until a round links nothing, then all that are still apart, each pair once. This leaves out
+no similar pair; links inside a component can't change the result.
 
 Defined cases: a null or wordless text has no shingles, is in no link and a component of its own. Fewer words than a shingle are
 one shingle. Rows with the same doc_id are one document, linked with whatever one of its texts is linked with; ``n_shingles`` is
@@ -24,7 +25,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.components import components
@@ -36,6 +37,7 @@ PERCENT = 80
 ROWS = 3
 GROUPS = 10
 MARKS = 512
+HEAD = 32
 
 _RANDOM = np.random.default_rng(7919)
 _ODD = _RANDOM.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,13 +127,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(released(compare), "a long, b long")
 
 
-def _across(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``classes(class_id, n_shingles, component)`` in different components that may be similar enough.
+def _prefixes(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``class_id, n_shingles, marks, place, token``: the rarest shingles of ``classes(class_id, n_shingles)`` that similar sets must share.
 
-    Two filters leave out no similar pair. Of the shingles of a set, rarest first, similar sets share one of the first
-    ``n - ceil(percent * n / 100) + 1``: what one of two similar sets lacks is less than that. And a set's marks are ``MARKS`` bits, each
-    the parity of the shingles that hash to it, so that bits which differ are no more than the shingles which differ. For
-    every shingle the members of its largest component only meet others.
+    Of the shingles of a set, rarest first, similar sets share one of the first ``n - ceil(percent * n / 100) + 1``: what one of two
+    similar sets lacks is less than that. ``place`` counts them from 1. A set's marks are ``MARKS`` bits, each the parity of the
+    shingles that hash to it, so that bits which differ are no more than the shingles which differ.
     """
     spark = classes.sparkSession
     words = MARKS // 64
@@ -149,12 +150,11 @@ def _across(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words), pa.array(marks)),
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("class_id", "component", "n_shingles")), *lists],
-                    names=["class_id", "component", "n_shingles", "tokens", "marks"],
+                    [*(batch.column(c) for c in ("class_id", "n_shingles")), *lists], names=["class_id", "n_shingles", "tokens", "marks"]
                 )
 
     texts = classes.join(docs.withColumnRenamed("doc_id", "text_id"), F.col("class_id") == F.col("text_id")).drop("text_id")
-    sets = texts.mapInArrow(released(gather), "class_id long, component long, n_shingles long, tokens array<long>, marks array<long>")
+    sets = texts.mapInArrow(released(gather), "class_id long, n_shingles long, tokens array<long>, marks array<long>")
     sets = stored(spark, "near-sets", sets)
     tokens = sets.select("class_id", "n_shingles", F.explode("tokens").alias("token"))
     counts = stored(spark, "near-token-counts", tokens.groupBy("token").agg(F.count("*").alias("n")))
@@ -165,28 +165,70 @@ def _across(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
         .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))  # one text's shingles
         .select("class_id", F.slice("all", F.lit(1), first.cast("int")).alias("x"))
         .join(sets.drop("tokens"), "class_id")
-        .select("class_id", "component", "n_shingles", "marks", F.explode("x.token").alias("token"))
+        .select("class_id", "n_shingles", "marks", F.posexplode("x.token").alias("place", "token"))
+        .withColumn("place", F.col("place") + 1)
     )
-    prefixes = stored(spark, "near-prefixes", prefixes)
-    sizes = prefixes.groupBy("token", "component").agg(F.count("*").alias("n"))
+    return stored(spark, "near-prefixes", prefixes)
+
+
+def _met(prefixes: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` whose token several components have, with ``component`` and the token's largest one, ``home``."""
+    spark = prefixes.sparkSession
+    rows = prefixes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
+    rows = stored(spark, "near-with-components", rows.withColumn("component", F.coalesce("component", "class_id")))
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
     homes = sizes.groupBy("token").agg(F.max(F.struct("n", "component")).alias("home"), F.count("*").alias("n")).where("n > 1")
     homes = stored(spark, "near-homes", homes.select("token", F.col("home.component").alias("home")))
-    met = prefixes.join(homes, "token")
-    guests = met.where("component <> home").select(
-        "token", F.col("class_id").alias("g"), F.col("component").alias("cg"), F.col("n_shingles").alias("ng"), F.col("marks").alias("mg")
+    return stored(spark, "near-met", rows.join(homes, "token"))
+
+
+def _similar(a: str, b: str, percent: int) -> Column:
+    """Whether two rows of ``_met`` at their token, given as structs, may be of similar sets.
+
+    Leaves out no similar pair at its first common token: there the sets share that token and at most what comes after it in either.
+    """
+    differ = reduce(add, (F.bit_count(F.col(f"{a}.marks")[i].bitwiseXOR(F.col(f"{b}.marks")[i])) for i in range(MARKS // 64)))
+    return F.expr(
+        f"100 * least({a}.n_shingles, {b}.n_shingles) >= {percent} * greatest({a}.n_shingles, {b}.n_shingles)"
+        f" and {100 + percent} * (1 + least({a}.n_shingles - {a}.place, {b}.n_shingles - {b}.place)) >= {percent} * ({a}.n_shingles + {b}.n_shingles)"
+    ) & ((100 + percent) * differ <= (100 - percent) * F.expr(f"{a}.n_shingles + {b}.n_shingles"))
+
+
+_ONE = ("class_id", "n_shingles", "place", "marks")
+
+
+def _by_component(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): at every token, one member of each component and one of the largest. No more rows than ``met`` has."""
+    ones = met.groupBy("token", "home", "component").agg(F.min(F.struct(*_ONE)).alias("x"))
+    of_home = F.max(F.when(F.col("component") == F.col("home"), F.col("x"))).alias("y")
+    homes = stored(met.sparkSession, "near-home-members", ones.groupBy("token").agg(of_home))
+    return (
+        ones.where("component <> home")
+        .join(homes, "token")
+        .where(_similar("x", "y", percent))
+        .select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b"))
     )
-    differ = reduce(add, (F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("mg")[i])) for i in range(words)))
-    similar = (
-        (F.col("cg") != F.col("component"))
-        & (100 * F.least("ng", "n_shingles") >= percent * F.greatest("ng", "n_shingles"))
-        & ((100 + percent) * differ <= (100 - percent) * (F.col("ng") + F.col("n_shingles")))
+
+
+def _across(met: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) in different components that may be similar enough.
+
+    For every token the members of its largest component only meet others. A pair is taken at its first common token: each row
+    holds the first ``HEAD`` tokens of its set; only a pair without a common one among these may come several times.
+    """
+    tokens = F.sort_array(F.collect_list(F.struct("place", "token")))  # one text's shingles
+    heads = met.groupBy("class_id").agg(F.slice(tokens, 1, HEAD).alias("head")).select("class_id", F.col("head.token").alias("head"))
+    met = met.join(stored(met.sparkSession, "near-heads", heads), "class_id")
+    met = stored(met.sparkSession, "near-met", met.select("token", "component", "home", "head", F.struct(*_ONE).alias("x")))
+    guests = met.where("component <> home").select(
+        F.col("token").alias("own"), F.col("component").alias("guest"), F.col("head").alias("own_head"), F.col("x").alias("y")
     )
-    return (
-        guests.join(met.drop("home"), "token")
-        .where(similar)
-        .select(F.least("g", "class_id").alias("a"), F.greatest("g", "class_id").alias("b"))
-        .distinct()
+    first = F.get(F.array_intersect("own_head", "head"), 0)
+    once = F.expr("guest <> component and (component = home or y.class_id < x.class_id)")
+    pairs = guests.join(
+        met, (F.col("own") == F.col("token")) & once & _similar("x", "y", percent) & (first.isNull() | (first == F.col("token")))
     )
+    return pairs.select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b"))
 
 
 def near_duplicates(
@@ -245,12 +287,25 @@ def near_duplicates(
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     mixed = mixed.where("low <> high and n > 2")
     mixed = stored(spark, "near-mixed", mixed.select("key"))  # of two members one is the leader, which met the other
-    left_over = placed.join(mixed, "key", "left_semi").select("class_id", "n_shingles", "component").distinct()
-    across = stored(spark, "near-across", _across(stored(spark, "near-left", left_over), docs, shingle, percent))
-    if not across.isEmpty():
-        more = stored(spark, "near-links", _confirmed(across, docs, shingle, percent))
-        if not more.isEmpty():
-            joined = components(links.unionByName(more))
+    left_over = placed.join(mixed, "key", "left_semi").select("class_id", "n_shingles").distinct()
+    left_over = stored(spark, "near-left", left_over)
+    if not left_over.isEmpty():
+        prefixes = _prefixes(left_over, docs, shingle, percent)
+        met, tried = _met(prefixes, joined), spark.createDataFrame([], "a long, b long")
+        candidates = _by_component
+        while True:
+            found = stored(spark, "near-across", candidates(met, percent).distinct().join(tried, ["a", "b"], "left_anti"))
+            more = stored(spark, "near-links", _confirmed(found, docs, shingle, percent))
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                joined = components(links)
+            if candidates is _across:
+                break
+            tried = tried.unionByName(found)
+            if more.isEmpty():
+                candidates = _across  # no more of the cheap links: whatever is still apart
+            else:
+                met = _met(prefixes, joined)
     joined = joined.withColumnRenamed("node", "class_id")
     placed_docs = members.join(joined, "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))

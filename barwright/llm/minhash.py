@@ -290,12 +290,15 @@ def near_duplicates(
     left_over = placed.join(mixed, "key", "left_semi").select("class_id", "n_shingles").distinct()
     left_over = stored(spark, "near-left", left_over)
     if not left_over.isEmpty():
-        prefixes = _prefixes(left_over, docs, shingle, percent)
+        # few texts are left, and every round looks at them: the others are not shuffled again
+        left_docs = docs.join(left_over.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+        left_docs = stored(spark, "near-left-texts", left_docs)
+        prefixes = _prefixes(left_over, left_docs, shingle, percent)
         met, tried = _met(prefixes, joined), spark.createDataFrame([], "a long, b long")
         candidates = _by_component
         while True:
             found = stored(spark, "near-across", candidates(met, percent).distinct().join(tried, ["a", "b"], "left_anti"))
-            more = stored(spark, "near-links", _confirmed(found, docs, shingle, percent))
+            more = stored(spark, "near-links", _confirmed(found, left_docs, shingle, percent))
             if not more.isEmpty():
                 links = links.unionByName(more)
                 joined = components(links)

@@ -243,6 +243,102 @@ def test_gradients_are_those_of_the_loss():
         assert grad[place] == pytest.approx(slope, rel=0.1, abs=2e-4)
 
 
+def of_many_ids():
+    """Ids that share classes and groups, and a text in which each is followed by the same one."""
+    import numpy as np
+    from barwright.llm import attention as a
+
+    ids = np.tile(np.random.default_rng(3).permutation(600), 40).astype("<u2")
+    counts = np.bincount(ids, minlength=900).astype(float)
+    kinds = a.classes(counts)
+    return ids, counts, kinds, a.tree_of(kinds, counts)
+
+
+def test_context_tells_ids_of_a_class_apart():
+    import numpy as np
+    from barwright.llm import attention as a
+
+    ids, counts, kinds, tree = of_many_ids()
+    model, words = a.Model.first(np.bincount(kinds.of, counts, a.CLASSES)), a.Words.first(len(counts), tree)
+    bounds = np.array([0, 601])
+    plain = a.Scorer(model, kinds).score(ids[:601], bounds)[0]
+    start = a.Scorer(model, kinds, words, tree).score(ids[:601], bounds)[0]
+    assert start == pytest.approx(plain, rel=1e-3)  # vectors of zeros leave the frequencies
+    learner = a.Learner(model, words, tree, kinds.of)
+    at = np.random.default_rng(4).integers(0, len(ids) - a.CONTEXT - 1, (64, 200))
+    for k in range(200):
+        learner.fit(np.stack([ids[s : s + a.CONTEXT + 1] for s in at[:, k]]))
+    learnt = a.Scorer(learner.model()[0], kinds, learner.model()[1], tree).score(ids[:601], bounds)[0]
+    assert learnt > 0.2 * plain  # the class alone leaves more than 25 ids open
+
+
+def test_ids_share_all_probability():
+    import numpy as np
+    from barwright.llm import attention as a
+
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 50, 2000).astype(float)
+    kinds = a.classes(counts)
+    tree = a.tree_of(kinds, counts)
+    assert (tree.node[0] >= 0).any() and (tree.node[1] >= 0).any()
+    words = a.Words(*(rng.normal(0, 0.5, t.shape).astype(np.float32) for t in vars(a.Words.first(2000, tree)).values()))
+    model = a.Model.of_flat(rng.normal(0, 0.3, a.Model.first(np.ones(a.CLASSES)).flat().shape))
+    scorer = a.Scorer(model, kinds, words, tree)
+    text = [5, 7, 1999, 3]
+    many = np.array([[*text, i] for i in range(2000)])
+    ends = scorer.score(many.ravel(), np.arange(0, 10001, 5)) - scorer.score(np.array(text), np.array([0, 4]))
+    assert (10**ends).sum() == pytest.approx(1, rel=1e-3)
+
+
+def test_gradients_of_ids_are_those_of_the_loss():
+    import numpy as np
+    from barwright.llm import attention as a
+
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 50, 700).astype(float)
+    kinds = a.classes(counts)
+    tree = a.tree_of(kinds, counts)
+    model = a.Model.of_flat(rng.normal(0, 0.3, a.Model.first(np.ones(a.CLASSES)).flat().shape))
+    tables = [rng.normal(0, 0.3, t.shape).astype(np.float32) for t in vars(a.Words.first(700, tree)).values()]
+    window = rng.integers(0, 700, (4, a.CONTEXT + 1))
+    _, g, p, (ids, _, rows), runs = a.word_gradients(model, a.Words(*tables), tree, kinds.of, window)
+    slopes = [np.zeros_like(t) for t in tables]
+    slopes[0][ids], slopes[1] = rows, p
+    for start, end, run, _ in runs:
+        slopes[2][start:end] += run
+
+    def loss(tables, model=model):
+        return a.word_gradients(model, a.Words(*tables), tree, kinds.of, window)[0]
+
+    for which, slope in enumerate(slopes):
+        for place in np.argsort(-np.abs(slope), axis=None)[[0, 5, 20]]:
+            up, down = ([t.copy() for t in tables] for _ in range(2))
+            up[which].flat[place] += 1e-2
+            down[which].flat[place] -= 1e-2
+            assert slope.flat[place] == pytest.approx((loss(up) - loss(down)) / 2e-2, rel=0.1, abs=2e-4)
+    flat = model.flat()
+    for place in np.argsort(-np.abs(g.flat()))[[0, 50, 400]]:
+        up, down = flat.copy(), flat.copy()
+        up[place] += 1e-2
+        down[place] -= 1e-2
+        assert g.flat()[place] == pytest.approx((loss(tables, a.Model.of_flat(up)) - loss(tables, a.Model.of_flat(down))) / 2e-2, rel=0.1, abs=2e-4)
+
+
+def test_scores_see_the_order_of_rare_words(spark):
+    """Words that all have the same frequency: only a model of ids can know which one follows."""
+    from pyspark.sql import functions as F
+
+    from barwright.llm import queries, scoring
+
+    words = ["river", "garden", "window", "market", "silver", "doctor", "forest", "yellow", "winter", "summer"]
+    forwards = " ".join(words * 30)
+    rows = [(i, forwards) for i in range(40)] + [(90, forwards), (91, " ".join(words[::-1] * 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in scoring.score_texts(docs, F.col("doc_id") < 90, queries.vocabulary("word_bpe_49k.json")).collect()}
+    assert got[90]["base_score"] == pytest.approx(got[91]["base_score"])
+    assert got[90]["score"] > got[91]["score"] + 50
+
+
 # 6: secrets
 
 

@@ -299,3 +299,65 @@ def test_lines_read_by_the_tasks_are_those_of_sparks_csv_source(spark, tmp_path)
     before = read_grouped_csv(spark, header_groups(facts)[0]).orderBy(*order).drop("_row").collect()
     after = read_small_csv(own.join(headers_of(own), "header"), tasks=2).orderBy(*order).drop("_row").collect()
     assert before == after and len(after) == 12
+
+
+def test_folders_are_listed_and_hashed_by_tasks(spark, tmp_path, monkeypatch):
+    """What Spark's own listing gives, without a file's path on the driver."""
+    from barwright.sources import files
+    from barwright.sources.files import file_hashes, sidecar_hashes
+
+    root = tmp_path / "a b+%20"
+    for n in range(3):
+        for t in ("x", "y é", "_k=1", "_hidden", ".dot"):
+            folder = root / f"{n}" / f"_t={n}%2F" / t / "deep"
+            folder.mkdir(parents=True)
+            (folder / "f.csv").write_text(f"date,ticker\n{n},{t}\n")
+            (folder / "f.csv.checksum").write_text(f"\n AB{n}  f.csv\n")
+            for name in ("_SUCCESS", ".f.csv", "empty.csv", "g.txt"):
+                (folder / name).write_text("" if name == "empty.csv" else "x")
+    (root / "top.csv").write_text("date\n")
+
+    def found():
+        listed = [sorted(tuple(r) for r in listed_files(spark, str(root), p).collect()) for p in ("*", "*.csv", "?.txt")]
+        hashed = sorted(tuple(r) for r in file_hashes(spark, f"{root}/", "*.csv").collect())
+        return listed, hashed, sorted(tuple(r) for r in sidecar_hashes(spark, str(root)).collect())
+
+    def never(*_):
+        raise AssertionError("listed on the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "_files", never)
+        own = found()
+    monkeypatch.setattr(files, "listing_of", lambda *_: None)
+    assert own == found() and len(own[0][1]) == 10 and len(own[2]) == 9
+    assert {e for _, e in own[2]} == {"ab0", "ab1", "ab2"}
+
+
+def test_lines_of_files_that_are_read_in_several_chunks(spark, tmp_path, monkeypatch):
+    from io import BytesIO
+
+    from barwright.sources import files
+
+    data = "h\r\na,é\r\n\r\nb\rc\n\nd€\r".encode() + b"\xff\xe2\x82"
+    whole = list(enumerate(__import__("re").split("\r\n|\n|\r", data.decode(errors="replace"))))
+    for size in range(1, len(data) + 2):
+        monkeypatch.setattr(files, "CHUNK", size)
+        assert list(files._split(BytesIO(data))) == whole
+
+
+def test_snapshots_are_read_by_tasks(spark, bars, tmp_path, monkeypatch):
+    from barwright.sources import prices
+
+    frame = bars([("AAAA3", "2023-01-02", 1.0), ("a/b=%+ é", "2023-01-02", 2.0), ("B,\"3", "2023-01-03", 3.0)])
+    frame = frame.unionByName(frame.limit(1).withColumns({"date": F.lit("2023-05-05").cast("date"), "close": F.lit(None).cast("double"), "source": F.lit(None).cast("string")}))
+    prices.write_snapshot(frame, f"{tmp_path}/g/snapshot", 1)
+    folder = f"{tmp_path}/g/snapshot"
+    wanted = spark.createDataFrame([(f"{folder}/_ticker=a/b=%+ é",)], "_folder string")
+
+    def found():
+        return rows(prices.read_snapshot(spark, folder)), rows(prices.read_generations(spark, [folder])), rows(prices.read_generations(spark, [folder], only=wanted))
+
+    own = found()
+    assert own[0] == rows(frame.select(*(f.name for f in prices.PRICES))) and len(own[2]) == 1
+    monkeypatch.setattr(prices, "listing_of", lambda *_: None)
+    assert own == found()

@@ -29,7 +29,7 @@ from barwright.sources.files import (
 from barwright.sources.log import ProcessedFiles, RunLog
 from barwright.sources.prices import header_columns, header_groups, headers_of, read_grouped_csv, read_small_csv
 from barwright.sources.table import YearTable
-from barwright.streaming.ingest import quarantined, start_ingest
+from barwright.streaming.ingest import counted_files, quarantined, start_ingest
 
 AS_OF = datetime(2024, 1, 31)
 HEADER = "ticker,date,open,high,low,close,volume,source,fetched_at,raw_checksum"
@@ -361,3 +361,19 @@ def test_snapshots_are_read_by_tasks(spark, bars, tmp_path, monkeypatch):
     assert own[0] == rows(frame.select(*(f.name for f in prices.PRICES))) and len(own[2]) == 1
     monkeypatch.setattr(prices, "listing_of", lambda *_: None)
     assert own == found()
+
+
+def test_a_stream_lists_its_files_in_few_tasks_and_stages_no_listing(spark, bars, tmp_path):
+    from barwright.sources import files
+
+    before = spark.conf.get(files.LISTING)
+    own = files.listing_session(spark)
+    assert own.conf.get(files.LISTING) == str(files.TASKS) and spark.conf.get(files.LISTING) == before
+    for n in range(3):
+        write(tmp_path / "in", f"{n}.csv", f"date,ticker,open,high,low,close,volume\n2023-01-0{n + 2},AAAA3,1,2,1,1.5,10\n")
+    (tmp_path / "in" / "1.csv.checksum").write_text("ab  1.csv\n")
+    prices = YearTable(spark, f"{tmp_path}/t")
+    start_ingest(spark, f"{tmp_path}/in", prices, f"{tmp_path}/c", f"{tmp_path}/w", AS_OF, files_per_batch=2).awaitTermination()
+    assert sorted(str(r.date) for r in prices.read().collect()) == ["2023-01-02", "2023-01-04"]  # the other's sidecar is wrong
+    assert sorted(r.decision for r in counted_files(spark, f"{tmp_path}/w").collect()) == ["bad_checksum", "ingest", "ingest"]
+    assert not os.path.exists(f"{tmp_path}/w/listing")

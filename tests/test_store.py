@@ -388,3 +388,27 @@ def test_word_sums_add_plain_longs(spark):
     assert {f.dataType.simpleString() for f in sums.schema} == {"decimal(38,0)"}
     assert [int(v) for v in sums.first()] == [0xFFFFFFFF + 0x1FFFF + 1] * WORDS
     assert "sum(cast(conv" not in sums._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_units_that_only_get_new_keys_are_not_written_again(spark, bars, tmp_path, monkeypatch):
+    from barwright.operators.ingest import apply_changes
+    from barwright.operators.prints import TablePrints
+    from barwright.sources import table as module
+
+    monkeypatch.setattr(module, "LAYERS", 3)
+    table = YearTable(spark, f"{tmp_path}/t", buckets=1)
+    days = ["2021-06-01", "2021-06-02", "2021-06-03", "2021-06-04", "2021-06-05"]
+    written = []
+    for n, day in enumerate(days):
+        apply_changes(table, bars([("AAAA3", day, 1.0 + n), ("AAAA3", f"2022-06-0{n + 1}", 1.0)]), f"{tmp_path}/w{n}")
+        paths = table.unit_paths()
+        assert len(paths) == len(set(paths)) and table.read().count() == 2 * (n + 1)
+        written.append(len([p for p in paths if "_year=2021" in p]))
+    assert written == [1, 2, 3, 1, 2]  # the third folder is the last one before the unit is written anew
+    apply_changes(table, bars([("AAAA3", days[0], 9.0), ("AAAA3", "2022-06-09", 3.0)]), f"{tmp_path}/changed")
+    paths = table.unit_paths()
+    assert [len([p for p in paths if f"_year={y}" in p]) for y in (2021, 2022)] == [1, 3]
+    assert sorted(r.close for r in table.read(end="2021-12-31").collect()) == [2.0, 3.0, 4.0, 5.0, 9.0]
+    assert table.read(version=2).count() == 4
+    found = TablePrints(spark, table).fingerprints().collect()
+    assert rows(spark.createDataFrame(found).select("ticker", "checksum", "rows")) == rows(ticker_fingerprints(table.read()).select("ticker", "checksum", "rows"))

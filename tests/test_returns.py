@@ -260,3 +260,36 @@ def test_pairs_of_blocks_shuffle_no_copies_of_rows(spark):
     assert one.keys() == other.keys()
     for pair, sums in one.items():
         assert sums == pytest.approx(other[pair], abs=1e-12)
+
+
+def test_small_blocks_are_read_once_a_pair_of_tiles(tmp_path, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from barwright.operators import correlation
+
+    rng = np.random.default_rng(0)
+    for block in range(6):
+        for year in (2020, 2021):
+            folder = tmp_path / f"block={block}" / f"year={year}"
+            folder.mkdir(parents=True)
+            if block == 5 and year == 2021:
+                continue
+            rows = pa.table({"ticker": [f"T{block}{i}" for i in range(3)], "days": [list(range(1, 9))] * 3, "values": rng.normal(size=(3, 8)).tolist()})
+            pq.write_table(rows.cast(pa.schema([("ticker", pa.string()), ("days", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])), folder / "a.parquet")
+    reads = []
+    plain = correlation._rows_of
+    monkeypatch.setattr(correlation, "_rows_of", lambda system, block, paths: reads.append(block) or plain(system, block, paths))
+
+    def sums(tile):
+        reads.clear()
+        tiles = -(-6 // tile)
+        pairs = [(i, j) for i in range(tiles) for j in range(i, tiles)]
+        asked = pa.RecordBatch.from_pydict({"low": [p[0] for p in pairs], "high": [p[1] for p in pairs]})
+        out = [r for batch in correlation._add_stored(iter([asked]), str(tmp_path), tile) for r in batch.to_pylist()]
+        return sorted(map(str, out)), len(reads)
+
+    one, many = sums(1), sums(4)
+    assert one[0] == many[0] and len(one[0]) == 18 * 19 // 2
+    assert 3 * many[1] <= one[1]

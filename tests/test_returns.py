@@ -293,3 +293,21 @@ def test_small_blocks_are_read_once_a_pair_of_tiles(tmp_path, monkeypatch):
     one, many = sums(1), sums(4)
     assert one[0] == many[0] and len(one[0]) == 18 * 19 // 2
     assert 3 * many[1] <= one[1]
+
+
+def test_total_covariance_is_that_of_all_pairs_and_no_pair_leaves_its_task(spark, monkeypatch):
+    from barwright.operators import correlation
+
+    rows = [(f"T{t}", f"2020-0{1 + d % 9}-{1 + d:02d}", float((t * 7 + d * 3) % 11) + t) for t in range(9) for d in range(20) if (t + d) % (2 + t % 3)]
+    rows += [("ALONE", "2023-05-05", 1.0), ("NONE", "2020-01-01", None)]
+    returns = spark.createDataFrame(rows, "ticker string, date string, return_value double").withColumn("date", F.col("date").cast("date"))
+    expected = pair_statistics(returns).agg(F.sum("covariance")).first()[0]
+    for size in (2, 512):
+        monkeypatch.setattr(correlation, "BLOCK", size)
+        found = correlation.total_covariance_of(returns)
+        assert "ticker_a" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.first()[0] == pytest.approx(expected, rel=1e-12)
+    assert correlation.total_covariance_of(returns.filter("ticker = 'ALONE'")).first()[0] is None
+    assert correlation.total_covariance_of(returns.limit(0)).first()[0] is None
+    monkeypatch.setattr(correlation, "arrow_opens", lambda _: False)
+    assert correlation.total_covariance_of(returns).first()[0] == pytest.approx(expected, rel=1e-12)
